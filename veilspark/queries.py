@@ -1,0 +1,234 @@
+"""The registered queries on the redaction engine and, where SQL can say the same, their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions import normalize as N
+from veilspark.functions import spans
+from veilspark.functions.entropy import shannon_entropy
+from veilspark.functions.rules import BUILTIN_RULES
+from veilspark.operators.detector import Detector, explode_matches, native_redact
+from veilspark.operators.messages import redact_messages, redact_strings
+from veilspark.operators.reports import audit, match_counts, rollup_counts, top_documents
+from veilspark.plans.config import Config, CustomRule, Entropy
+from veilspark.sources.tables import read_table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents")
+
+
+def _rule_values(spark: SparkSession, sf: str, rule: str, whitelist: bool = True) -> DataFrame:
+    found = spans.rule_spans(F.col("text"), rule, whitelist)
+    return docs(spark, sf).select("doc_id", F.inline(found)).select("doc_id", "value", "start", "end", "confidence")
+
+
+# A rule whose guards are its own alphabet: take whole runs of the alphabet, keep those that match in full.
+def _runs(alphabet: str, full: str, extra: str = "") -> str:
+    return f"""
+    WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{alphabet}')) AS value FROM documents)
+    SELECT doc_id, value FROM runs WHERE regexp_full_match(value, '{full}') {extra}"""
+
+
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+_IP = _runs("[.0-9]+", rf"({_OCTET}\.){{3}}{_OCTET}")
+
+
+@query(_runs("[.0-9]+", rf"({_OCTET}\.){{3}}{_OCTET}", r"AND NOT regexp_matches(value, '^(0\.0\.0\.0$|255\.255\.255\.255$|10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.)')"))
+def rule_ipv4(spark, sf):
+    return _rule_values(spark, sf, "ipv4").select("doc_id", "value")
+
+
+@query(f"""
+    WITH ip AS ({_IP})
+    SELECT doc_id, count(*) AS n_ip, count(*) FILTER (WHERE regexp_matches(value, '^(10\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|192\\.168\\.)')) AS n_private
+    FROM ip GROUP BY doc_id""")
+def ipv4_scope(spark, sf):
+    ip = _rule_values(spark, sf, "ipv4", whitelist=False)
+    return ip.groupBy("doc_id").agg(F.count("*").alias("n_ip"), F.count_if(F.col("value").rlike(r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.)")).alias("n_private"))
+
+
+for _name, _alphabet, _full in (
+    ("uuid", "[0-9a-fA-F-]+", "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
+    ("uuid_hex", "[0-9a-fA-F]+", "[0-9a-fA-F]{32}"),
+    ("sha_hash", "[0-9a-fA-F]+", "[0-9a-fA-F]{64}"),
+    ("phone_cn", "[0-9]+", "1[3-9][0-9]{9}"),
+    ("aws_access_key", "[0-9A-Za-z]+", "[Aa][Kk][Ii][Aa][0-9A-Za-z]{16}"),
+    ("github_token", "[0-9A-Za-z_]+", "(ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{22,}"),
+    ("ipv6_hyphen", "[0-9a-fA-F-]+", "[0-9a-fA-F]{4}(-[0-9a-fA-F]{4}){7}"),
+):
+    _gate = "AND doc_id IN (SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 5000)" if _name == "ipv6_hyphen" else ""
+
+    def _rule_query(spark, sf, rule=_name):
+        return _rule_values(spark, sf, rule).select("doc_id", "value")
+
+    _rule_query.__name__ = f"rule_{_name}"
+    query(_runs(_alphabet, _full, _gate))(_rule_query)
+
+# Guards outside the alphabet: one character of context is captured and cut off.
+# (all but digits and hyphens are doubled first, so that two cards can share one)
+_CARD = r"(4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(011|5\d{2}))(-|\s\s)?\d{4}(-|\s\s)?\d{4}(-|\s\s)?\d{4}"
+_LUHN = """
+    list_sum(list_transform(range(1, length(d) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST(d[length(d) + 1 - i] AS INT)
+             WHEN CAST(d[length(d) + 1 - i] AS INT) > 4 THEN 2 * CAST(d[length(d) + 1 - i] AS INT) - 9
+             ELSE 2 * CAST(d[length(d) + 1 - i] AS INT) END)) % 10 = 0"""
+
+
+@query(rf"""
+    WITH hits AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9-])', '\1\1', 'g'), '(?:^|[^d-])({_CARD})(?:$|[^d-])', 1)) AS value FROM documents),
+    digits AS (SELECT doc_id, regexp_replace(value, '(\s)\s', '\1', 'g') AS value, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM hits)
+    SELECT doc_id, value, CASE WHEN {_LUHN} THEN 'high' ELSE 'low' END AS confidence FROM digits""")
+def rule_credit_card(spark, sf):
+    return _rule_values(spark, sf, "credit_card").select("doc_id", "value", "confidence")
+
+
+@query(r"""
+    WITH hits AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9_.-]+')) AS value FROM documents)
+    SELECT doc_id, value FROM hits WHERE regexp_full_match(value, '[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9_.-]+\.[A-Za-z]{2,}')
+    AND lower(regexp_extract(value, '[^@]*$')) NOT IN ('localhost', 'localhost.localdomain', 'example.com', 'example.org', 'example.net', 'test.com', 'test.local')""")
+def rule_email(spark, sf):
+    return _rule_values(spark, sf, "email").select("doc_id", "value")
+
+
+@query("SELECT doc_id, NOT (regexp_matches(text, '%[0-9a-fA-F]{2}') OR regexp_matches(text, '[​-‏﻿­⁠-⁤⁦-⁩︀-️]') OR regexp_matches(text, '&(amp|lt|gt|quot|#[xX]?[0-9a-fA-F]+);')) AS normal FROM documents")
+def already_normalized(spark, sf):
+    return docs(spark, sf).select("doc_id", N.is_already_normalized(F.col("text")).alias("normal"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[​-‏﻿­⁠-⁤⁦-⁩︀-️]', '', 'g')) AS n FROM documents")
+def strip_invisible(spark, sf):
+    return docs(spark, sf).select("doc_id", F.length(N.strip_invisible(F.col("text"))).cast("long").alias("n"))
+
+
+@query("""
+    WITH p AS (SELECT page_id, unnest(string_split(regexp_replace(url, '%(..)', '\x01\\1\x02', 'g'), '\x01')) AS piece, generate_subscripts(string_split(regexp_replace(url, '%(..)', '\x01\\1\x02', 'g'), '\x01'), 1) AS k FROM pages),
+    q AS (SELECT page_id, k, CASE WHEN regexp_matches(piece, '^[0-9a-fA-F]{2}\x02') THEN chr(CAST(concat('0x', left(piece, 2)) AS INT)) || substr(piece, 4)
+                                  WHEN contains(piece, '\x02') THEN '%' || replace(piece, '\x02', '') ELSE piece END AS piece FROM p)
+    SELECT page_id, string_agg(piece, '' ORDER BY k) AS decoded FROM q GROUP BY page_id""")
+def url_decode_pages(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", N.url_decode_once(F.col("url")).alias("decoded"))
+
+
+@query("""
+    WITH c AS (SELECT doc_id, unnest(string_split(left(text, 64), '')) AS c FROM documents WHERE text <> '')
+    SELECT doc_id, round(entropy(c), 6) AS bits FROM c GROUP BY doc_id""")
+def entropy_of_openings(spark, sf):
+    """The first 64 characters are the input of this query, as the entropy search has a sample of 1024."""
+    head = F.substring("text", 1, 64)
+    return docs(spark, sf).filter("text <> ''").select("doc_id", F.round(shannon_entropy(head), 6).alias("bits"))
+
+
+@query("""
+    SELECT doc_id, octet_length(encode(text)) AS n_bytes, octet_length(encode(text)) > 100000 AS over_cap, octet_length(encode(text)) > 5000 AS no_ipv6 FROM documents""")
+def size_gates(spark, sf):
+    n = F.octet_length("text")
+    return docs(spark, sf).select("doc_id", n.cast("long").alias("n_bytes"), (n > 100_000).alias("over_cap"), (n > 5_000).alias("no_ipv6"))
+
+
+@query("SELECT p_partkey, length(d) BETWEEN 13 AND 19 AND " + _LUHN + " AS valid FROM (SELECT p_partkey, CAST(4000000000000000 + p_partkey * 7919 AS VARCHAR) AS d FROM part)")
+def luhn_numbers(spark, sf):
+    return read_table(spark, sf, "part").select("p_partkey", spans.luhn_valid((F.lit(4000000000000000) + F.col("p_partkey") * 7919).cast("string")).alias("valid"))
+
+
+@query()
+def redact_documents(spark, sf):
+    """Flagship: all rules over whole documents."""
+    r = docs(spark, sf).select("doc_id", Detector().filter("text").alias("r"))
+    return r.select("doc_id", F.col("r.text").alias("text"), F.col("r.replacements").alias("replacements"))
+
+
+@query()
+def redact_ipv4_native(spark, sf):
+    d = docs(spark, sf).select("doc_id", N.normalize_native(F.col("text")).alias("text"))
+    r = d.select("doc_id", native_redact(F.col("text"), "ipv4").alias("r"))
+    return r.select("doc_id", "r.text", "r.replacements")
+
+
+@query()
+def scan_documents(spark, sf):
+    return explode_matches(docs(spark, sf), "text", "doc_id")
+
+
+@query()
+def scan_entropy(spark, sf):
+    return explode_matches(docs(spark, sf), "text", "doc_id", detector=Detector(Config(entropy=Entropy(threshold=3.0)))).filter("rule_name = 'high_entropy'")
+
+
+@query()
+def custom_rule_scan(spark, sf):
+    found = Detector().add_rule_direct(CustomRule("license_line", r"Licensed under [^\n]+", "[LICENSE]")).scan_with("text", ["license_line"])
+    return docs(spark, sf).select("doc_id", F.inline(found))
+
+
+@query()
+def filter_with_override(spark, sf):
+    r = Detector().filter_with("text", ["ipv4", "email", "credit_card"], "[X]")
+    return docs(spark, sf).select("doc_id", r.alias("r")).select("doc_id", "r.text", "r.replacements")
+
+
+@query()
+def html_unescape_documents(spark, sf):
+    return docs(spark, sf).select("doc_id", N.html_unescape(F.col("text")).alias("text"))
+
+
+@query()
+def audit_log(spark, sf):
+    return audit(docs(spark, sf), "doc_id")
+
+
+@query()
+def matches_by_source(spark, sf):
+    return match_counts(docs(spark, sf), ["source", "lang"])
+
+
+@query()
+def matches_rollup(spark, sf):
+    return rollup_counts(docs(spark, sf), ["lang", "source"])
+
+
+@query()
+def top_documents_by_matches(spark, sf):
+    return top_documents(docs(spark, sf), "doc_id")
+
+
+@query()
+def redact_conversations(spark, sf):
+    turns = read_table(spark, sf, "conversations")
+    done = turns.select("conv_id", F.element_at(redact_strings(F.array("text")), 1).alias("r"))
+    return done.groupBy("conv_id").agg(F.sum("r.n").alias("n_redacted"), F.count("*").alias("n_turns"))
+
+
+@query()
+def redact_nested_messages(spark, sf):
+    """Turns as nested messages: a text part, a tool part and a file part."""
+    kind = F.when(F.col("turn") % 3 == 0, "text").when(F.col("turn") % 3 == 1, "tool").otherwise("file")
+    part = F.struct(
+        kind.alias("type"), F.when(kind == "text", F.col("text")).alias("text"),
+        F.struct(F.when(kind == "tool", F.col("text")).alias("output"), F.lit(None).cast("string").alias("error")).alias("state"),
+        F.struct(F.struct(F.when(kind == "file", F.col("text")).alias("value")).alias("text")).alias("source"),
+    )
+    info = F.struct(F.lit("mail ops@corp.test now").alias("system"), F.struct(F.lit(None).cast("string").alias("body")).alias("summary"))
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.struct(info.alias("info"), F.array(part).alias("parts"))).alias("messages"))
+    return redact_messages(turns).select("conv_id", "turn", "total_redacted", F.to_json("messages").alias("messages"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.name}', '{r.placeholder}', {r.priority})" for i, r in enumerate(BUILTIN_RULES)) + ") AS t(ord, rule_name, placeholder, priority)")
+def rule_catalogue(spark, sf):
+    rows = [(i, r.name, r.placeholder, r.priority) for i, r in enumerate(BUILTIN_RULES)]
+    return spark.createDataFrame(rows, "ord int, rule_name string, placeholder string, priority int")
