@@ -46,3 +46,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """k, th, z: the rows with compressed UTF-8 text.
+
+    ``k`` is the key (NULL: the smallest long); ``th`` is 0 where every key occurs once, and
+    otherwise a hash of the text, so that rows that repeat a key are told apart by it.
+    """
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    repeated = bool(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").take(1))
+    rows = rows.select("k", (text_hash(F.col("t")) if repeated else F.lit(0)).cast("long").alias("th"), "t")
+
+    def pack(batches):
+        import pyarrow as pa
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = [compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["k", "th", "z"])
+
+    return rows.mapInArrow(pack, "k long, th long, z binary")
+
+
+def unpack(z) -> list[bytes]:
+    import zstandard
+
+    decompress = zstandard.ZstdDecompressor().decompress
+    return [decompress(x) for x in z.to_pylist()]
+
+
+def out_key(name: str) -> Column:
+    """The key column as it came."""
+    return F.when(F.col("k") != -(1 << 63), F.col("k")).alias(name)
