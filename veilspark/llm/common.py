@@ -48,8 +48,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """k, th, z: the rows with compressed UTF-8 text.
+def packed_texts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """k, th, z: the rows with compressed UTF-8 text; and whether a key repeats.
 
     ``k`` is the key (NULL: the smallest long); ``th`` is 0 where every key occurs once, and
     otherwise a hash of the text, so that rows that repeat a key are told apart by it.
@@ -67,7 +67,7 @@ def packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
             z = [compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["k", "th", "z"])
 
-    return rows.mapInArrow(pack, "k long, th long, z binary")
+    return rows.mapInArrow(pack, "k long, th long, z binary"), repeated
 
 
 def unpack(z) -> list[bytes]:

@@ -114,7 +114,7 @@ def _cut(digest: bool):
 
 def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """k, th, n_words, n_removed, kept: the words that stay, joined by spaces, or the SHA-256 of that."""
-    docs = packed_texts(df, key, text)
+    docs, _ = packed_texts(df, key, text)
     parts = partitions(df.sparkSession)
     near = gathered(mark_repeats(docs.mapInArrow(anchors, ROW_DDL), parts))
     on = lambda marks: (docs.k == marks.pk) & (docs.th == marks.pth)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, fingerprints, licenses, packing, passages, quality, toxicity, urls
+from veilspark.llm import bpe, fingerprints, licenses, packing, passages, quality, suffixes, toxicity, urls
 from veilspark.llm.common import read
 
 SQL: dict[str, str] = {}
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_digests(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"))
 
