@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that ends a word: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -48,15 +49,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed_texts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
-    """k, th, z: the rows with compressed UTF-8 text; and whether a key repeats.
+def packed_texts(df: DataFrame, key: str, text: str, carry: list[str] = ()) -> tuple[DataFrame, bool]:
+    """k, th, z and the columns to carry as c0, c1 ...: the rows with compressed UTF-8 text; and whether a key repeats.
 
     ``k`` is the key (NULL: the smallest long); ``th`` is 0 where every key occurs once, and
     otherwise a hash of the text, so that rows that repeat a key are told apart by it.
     """
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *rest)
     repeated = bool(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").take(1))
-    rows = rows.select("k", (text_hash(F.col("t")) if repeated else F.lit(0)).cast("long").alias("th"), "t")
+    rows = rows.select("k", (text_hash(F.col("t")) if repeated else F.lit(0)).cast("long").alias("th"), "t", *(f"c{i}" for i in range(len(rest))))
 
     def pack(batches):
         import pyarrow as pa
@@ -65,9 +67,11 @@ def packed_texts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             z = [compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["k", "th", "z"])
+            names = ["k", "th", "z", *batch.schema.names[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), *batch.columns[3:]], names)
 
-    return rows.mapInArrow(pack, "k long, th long, z binary"), repeated
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("th", T.LongType()), T.StructField("z", T.BinaryType()), *rows.schema.fields[3:]])
+    return rows.mapInArrow(pack, schema), repeated
 
 
 def unpack(z) -> list[bytes]:

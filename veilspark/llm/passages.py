@@ -21,6 +21,8 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.llm.blocks import BASES, ROW, ROW_DDL, Rolling, combined, gathered, mark_repeats, mix, slices, word_hashes
 from veilspark.llm.common import out_key, packed_texts, partitions, unpack
@@ -94,9 +96,6 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-RESULT = "k long, th long, n_words long, n_removed long, kept string"
-
-
 def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,26 +103,42 @@ def _cut(digest: bool):
             for data, starts in zip(unpack(batch.column(2)), batch.column(3), strict=True):
                 words = data.split()
                 gone = covered(len(words), np.array(starts.values, np.int64), np.int64(WINDOW)) if starts.is_valid and len(starts) else None
-                kept = b" ".join(words if gone is None else compress(words, ~gone))
-                rows.append((len(words), 0 if gone is None else int(gone.sum()), sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")))
+                if digest or gone is not None:
+                    data = b" ".join(words if gone is None else compress(words, ~gone))
+                rows.append((len(words), 0 if gone is None else int(gone.sum()), sha256(data).hexdigest() if digest else data.decode("utf-8", "surrogatepass")))
             n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["k", "th", "n_words", "n_removed", "kept"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "th", "n_words", "n_removed", "kept", *batch.schema.names[4:]])
 
     return run
 
 
-def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """k, th, n_words, n_removed, kept: the words that stay, joined by spaces, or the SHA-256 of that."""
-    docs, _ = packed_texts(df, key, text)
+def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, carry: list[str] = ()) -> DataFrame:
+    """k, th, n_words, n_removed, kept and the carried columns as c0, c1 ...
+
+    ``kept`` is the text itself where nothing is removed, and otherwise the words that stay, joined by spaces;
+    with ``digest`` the SHA-256 of the words that stay, so joined.
+    """
+    docs, _ = packed_texts(df, key, text, carry)
     parts = partitions(df.sparkSession)
-    near = gathered(mark_repeats(docs.mapInArrow(anchors, ROW_DDL), parts))
-    on = lambda marks: (docs.k == marks.pk) & (docs.th == marks.pth)
+    texts = docs.select("k", "th", "z")
+    near = gathered(mark_repeats(texts.mapInArrow(anchors, ROW_DDL), parts))
+    on = lambda marks: (F.col("k") == marks.pk) & (F.col("th") == marks.pth)
     candidates = docs.join(near, on(near)).select("k", "th", "z", "starts")
     repeats = gathered(mark_repeats(candidates.mapInArrow(windows, ROW_DDL), parts))
-    whole = docs.join(repeats, on(repeats), "left").select("k", "th", "z", "starts")
-    return whole.mapInArrow(_cut(digest), RESULT)
+    extra = [f for f in docs.schema.fields[3:]]
+    whole = docs.join(repeats, on(repeats), "left").select("k", "th", "z", "starts", *(f.name for f in extra))
+    fixed = [T.StructField("k", T.LongType()), T.StructField("th", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    return whole.mapInArrow(_cut(digest), T.StructType([*fixed, *extra]))
 
 
 def passage_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept_sha256."""
-    return passage_dedup(df, key, text, digest=True).select(out_key(key), "n_words", "n_removed", "kept").withColumnRenamed("kept", "kept_sha256")
+    return passage_dedup(df, key, text, digest=True).select(out_key(key), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+def without_passages(df: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """The rows with all their columns, repeated passages cut out of the text; ``chars`` names a column with its length."""
+    cut = passage_dedup(df, key, text, carry=df.columns)
+    new = {text: F.col("kept")} | ({chars: F.length("kept").cast(df.schema[chars].dataType)} if chars in df.columns else {})
+    return cut.select(*((new[c] if c in new else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)))
