@@ -76,7 +76,7 @@ def numbered_kmers(text: str) -> list[tuple[str, Column]]:
     """Named steps from a text column to ``o``: its k-mers, numbered, as longs in any order. Each step is used twice or more, which keeps it from being evaluated within lambdas."""
     b = POSITION_BITS
     return [
-        ("_h", F.expr(f"transform(regexp_extract_all({text}, '{WORD}', 0), x -> xxhash64(x))")),
+        ("_h", F.expr(f"transform(regexp_extract_all({text}, r'{WORD}', 0), x -> xxhash64(x))")),
         ("_s", F.expr(f"sort_array(IF(size(_h) = 0, array(shiftleft(shiftright(xxhash64(''), {b}), {b})), transform(slice(_h, 1, greatest(size(_h) - {K - 1}, 1)), (h, i) -> shiftleft(shiftright(xxhash64(h, get(_h, i + 1), get(_h, i + 2)), {b}), {b}) | least(i, {MASK}))))")),
         ("_e", F.expr(f"zip_with(_s, slice(_s, 2, size(_s)), (x, y) -> coalesce(shiftright(x ^ y, {b}) = 0, false))")),
         ("_d", F.expr("IF(array_contains(_e, true), filter(_s, (x, i) -> _e[i] OR (i > 0 AND _e[greatest(i - 1, 0)])), array())")),
