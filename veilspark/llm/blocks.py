@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Rows that a task combines at a time.
-COMBINE = 1_000_000
+COMBINE = 250_000
 
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
 _TO_SPACE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -55,7 +55,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def _letters(seed: int) -> np.ndarray:
+def letters(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed))
 
 
@@ -95,7 +95,7 @@ def word_hashes(texts: list[bytes], table: bytes = _TO_SPACE) -> tuple[np.ndarra
             edge = np.concatenate(([0], edge))
         starts, ends = edge[::2], edge[1::2]
         if len(starts):
-            h = Rolling(_letters(0)[raw]).window(starts, ends)
+            h = Rolling(letters(0)[raw]).window(starts, ends)
             with np.errstate(over="ignore"):
                 hashes.append(mix(h + (ends - starts).astype(np.uint64)))
             counts.append(starts + at)
@@ -120,15 +120,37 @@ def slices(texts: list, size: int = PIECE, length=len) -> Iterator[slice]:
 
 # --- marking -------------------------------------------------------------------------
 
-ROW = np.dtype([("h", "<i8"), ("c", "<i8"), ("k", "<i8"), ("th", "<i8"), ("at", "<i8"), ("n", "<i4"), ("state", "<i4")])
-ROW_DDL = "h long, c long, k long, th long, at long, n int, state int"
-ROW_SCHEMA = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("state", pa.int32())])
-#: state: one of its task; the first of several of its task; known to repeat an earlier one of its task.
+#: h and c: what must be equal; k and th: the document; w: place, number of windows and state in one.
+ROW = np.dtype([("c", "<i8"), ("th", "<i8"), ("h", "<i8"), ("k", "<i8"), ("w", "<i8")])
+ROW_DDL = "c long, th long, h long, k long, w long"
+ORDER = ("h", "c", "k", "th", "w")
+#: state: one of its task; the first of several of its task (or of several already); known to repeat an earlier one of its task.
 ALONE, FIRST, KNOWN = 0, 1, 2
+_N_BITS, _STATE_BITS = 20, 2
 
 
-def to_batch(rows: np.ndarray, schema: pa.Schema = ROW_SCHEMA) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[f.name])) for f in schema], schema=schema)
+def make_rows(h: np.ndarray, c: np.ndarray | int, k, th, at: np.ndarray, n=1, state=ALONE) -> np.ndarray:
+    rows = np.empty(len(h), ROW)
+    rows["h"], rows["k"], rows["th"] = h.view(np.int64), k, th
+    rows["c"] = c if isinstance(c, int) else c.view(np.int64)
+    rows["w"] = (np.asarray(at, np.int64) << (_N_BITS + _STATE_BITS)) | (np.asarray(n, np.int64) << _STATE_BITS) | state
+    return rows
+
+
+def place_of(rows: np.ndarray) -> np.ndarray:
+    return rows["w"] >> (_N_BITS + _STATE_BITS)
+
+
+def windows_of(rows: np.ndarray) -> np.ndarray:
+    return (rows["w"] >> _STATE_BITS) & ((1 << _N_BITS) - 1)
+
+
+def state_of(rows: np.ndarray) -> np.ndarray:
+    return rows["w"] & ((1 << _STATE_BITS) - 1)
+
+
+def to_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[name])) for name in ROW.names], list(ROW.names))
 
 
 def from_batch(batch: pa.RecordBatch) -> np.ndarray:
@@ -139,7 +161,7 @@ def from_batch(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def combined(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows as batches; of rows with equal (h, c) in a run of COMBINE rows all but the first in (k, th, at) order are KNOWN."""
+    """Rows as batches; of rows with equal (h, c) in a run of COMBINE rows all but the first in (k, th, place) order are KNOWN."""
     held: list[np.ndarray] = []
     total = 0
 
@@ -148,16 +170,19 @@ def combined(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
             return
         rows = np.concatenate(held)
         held.clear()
-        rows = rows[np.lexsort((rows["at"], rows["th"], rows["k"], rows["c"], rows["h"]))]
+        rows = rows[np.lexsort((rows["w"], rows["th"], rows["k"], rows["c"], rows["h"]))]
         same = np.zeros(len(rows) + 1, bool)
         same[1:-1] = (rows["h"][1:] == rows["h"][:-1]) & (rows["c"][1:] == rows["c"][:-1])
-        rows["state"] = np.where(same[:-1], KNOWN, np.where(same[1:], FIRST, ALONE))
+        known, first = same[:-1], ~same[:-1] & same[1:]
+        # the first of several speaks for all that were several before, too
+        several = np.maximum.reduceat(state_of(rows), np.flatnonzero(~known))[np.cumsum(~known) - 1] if len(rows) else state_of(rows)
+        state = np.where(known, KNOWN, np.where(first | (several == FIRST), FIRST, ALONE))
+        rows["w"] = (rows["w"] >> _STATE_BITS << _STATE_BITS) | state
         # known rows are dealt evenly
-        known = same[:-1]
-        spread = mix(rows["at"][known].view(np.uint64) * np.uint64(31) + rows["k"][known].view(np.uint64))
+        spread = mix(rows["w"][known].view(np.uint64) * np.uint64(31) + rows["k"][known].view(np.uint64))
         rows["h"][known] = spread.view(np.int64)
-        for at in range(0, len(rows), 200_000):
-            yield to_batch(rows[at : at + 200_000])
+        for at in range(0, len(rows), 50_000):
+            yield to_batch(rows[at : at + 50_000])
 
     for part in parts:
         held.append(part)
@@ -168,6 +193,27 @@ def combined(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def sorted_rows(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "h").sortWithinPartitions(*ORDER)
+
+
+def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted rows with two flags: an equal one stands before, behind. Rows that are KNOWN equal none here."""
+    last, open_ = np.empty(0, ROW), False
+    for batch in batches:
+        got = np.concatenate((last, from_batch(batch)))
+        if not len(got):
+            continue
+        known = state_of(got) == KNOWN
+        same = (got["h"][1:] == got["h"][:-1]) & (got["c"][1:] == got["c"][:-1]) & ~known[1:] & ~known[:-1]
+        before = np.concatenate(([open_], same))
+        yield got[:-1], before[:-1], same
+        # the last row waits for what follows it
+        last, open_ = got[-1:], bool(before[-1])
+    if len(last):
+        yield last, np.array([open_]), np.array([False])
+
+
 POSITIONS_DDL = "k long, th long, starts array<long>, counts array<int>"
 POSITIONS_SCHEMA = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
@@ -181,36 +227,123 @@ def positions(k: np.ndarray, th: np.ndarray, at: np.ndarray, n: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(th[new]), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32)))], schema=POSITIONS_SCHEMA)
 
 
+def by_document(rows: np.ndarray) -> pa.RecordBatch:
+    return positions(rows["k"], rows["th"], place_of(rows), windows_of(rows))
+
+
 def mark_repeats(rows: DataFrame, parts: int, later_only: bool = False) -> DataFrame:
-    """k, th, starts, counts of rows whose (h, c) others have too - with ``later_only``, of all such rows but the first in (k, th, at) order."""
+    """k, th, starts, counts of rows whose (h, c) others have too - with ``later_only``, of all such rows but the first in (k, th, place) order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: np.ndarray | None = None  # the last row, not yet decided if it was alone so far
-        open_ = False
-        for batch in batches:
-            got = from_batch(batch)
-            if not len(got):
-                continue
-            if last is not None:
-                got = np.concatenate((last, got))
-            same = (got["h"][1:] == got["h"][:-1]) & (got["c"][1:] == got["c"][:-1]) & (got["state"][1:] != KNOWN) & (got["state"][:-1] != KNOWN)
-            before = np.concatenate(([open_], same))
-            after = np.concatenate((same, [False]))
-            hit = before | (got["state"] == KNOWN) if later_only else before | after | (got["state"] != ALONE)
-            # the last row waits for the next batch
-            last, open_ = got[-1:], bool(before[-1])
-            done = got[:-1][hit[:-1]]
+        for got, before, after in flagged(batches):
+            state = state_of(got)
+            done = got[before | (state == KNOWN) if later_only else before | after | (state != ALONE)]
             if len(done):
-                yield positions(done["k"], done["th"], done["at"], done["n"])
-        if last is not None:
-            hit = open_ or last["state"][0] == KNOWN or (not later_only and last["state"][0] != ALONE)
-            if hit:
-                yield positions(last["k"], last["th"], last["at"], last["n"])
-
-    ordered = rows.repartition(parts, "h").sortWithinPartitions("h", "c", "k", "th", "at")
-    return ordered.mapInArrow(run, POSITIONS_DDL)
-
-
-def gathered(marks: DataFrame) -> DataFrame:
-    """One row for each document: all its starts and counts. A document has no more of them than positions."""
-    return marks.groupBy(F.col("k").alias("pk"), F.col("th").alias("pth")).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
+                yield by_document(done)
+
+    return sorted_rows(rows, parts).mapInArrow(run, POSITIONS_DDL)
+
+
+#: What becomes of a span: decided as a whole; gathered with the others of its key; or sent on window by window.
+WHOLE, SORT, WIDE = 0, 1, 2
+SPANS_DDL = "kind int, k long, th long, starts array<long>, counts array<int>, hs array<long>"
+
+
+def classify(batches: Iterator[pa.RecordBatch], most: int, later_only: bool) -> Iterator[pa.RecordBatch]:
+    """Spans sorted by key h, content c and place.
+
+    Spans with equal content repeat each other as a whole - with ``later_only``, the first of
+    them doesn't.  One span of each content goes on if its key has other contents: to be
+    sorted together if there are at most ``most``, otherwise by windows.  ``hs`` is then h, or
+    without ``later_only`` whether the content stands elsewhere too.
+    """
+    last_h: int | None = None
+    held: list[np.ndarray] = []  # contents of the key that is still open, at most ``most``
+    n_held, hot = 0, False
+
+    def out(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.lexsort((rows["w"], rows["th"], rows["k"]))]
+        batch = by_document(rows)
+        more = np.zeros(len(rows), np.int64) if kind == WHOLE else np.ascontiguousarray(rows["h"]) if later_only else (state_of(rows) == FIRST).astype(np.int64)
+        hs = pa.ListArray.from_arrays(batch.column(2).offsets, pa.array(more))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), *batch.columns, hs], ["kind", "k", "th", "starts", "counts", "hs"])
+
+    for got, before, after in flagged(batches):
+        state = state_of(got)
+        whole = got[before | (state == KNOWN) if later_only else before | after | (state != ALONE)]
+        if len(whole):
+            yield out(WHOLE, whole)
+        mine = state != KNOWN
+        rows, before, after = got[mine], before[mine], after[mine]
+        if not len(rows):
+            continue
+        rows["w"] |= np.where(after, FIRST, 0)
+        new_h = np.concatenate(([rows["h"][0] != last_h], rows["h"][1:] != rows["h"][:-1]))
+        last_h = rows["h"][-1]
+        group, groups = np.cumsum(new_h)[~before], int(new_h.sum())
+        firsts = rows[~before]
+        more = firsts[group == 0]
+        sort, wide = [], []
+        if hot:
+            wide.append(more)
+        else:
+            held.append(more)
+            n_held += len(more)
+            if n_held > most:
+                wide += held
+                held, hot = [], True
+        if groups:
+            if not hot and n_held > 1:
+                sort += held
+            inner = (group > 0) & (group < groups)
+            sizes = np.bincount(group, minlength=groups + 1)[group]
+            sort.append(firsts[inner & (sizes > 1) & (sizes <= most)])
+            wide.append(firsts[inner & (sizes > most) & (sizes > 1)])
+            held, n_held, hot = [firsts[group == groups]], int((group == groups).sum()), False
+            if n_held > most:
+                wide += held
+                held, hot = [], True
+        for kind, parts in ((SORT, sort), (WIDE, wide)):
+            if sum(map(len, parts)):
+                yield out(kind, np.concatenate(parts))
+    if not hot and n_held > 1:
+        yield out(SORT, np.concatenate(held))
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each ``width`` consecutive values: suffix minima of blocks against prefix minima of the next ones."""
+    n = len(values)
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = values
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+_PLACE = np.uint64((1 << 22) - 1)
+
+
+def spans_of(rolling: Rolling, doc: np.ndarray, window: int, gram: int, take: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: first window, number of windows, minimizer hash, content hash.
+
+    A minimizer is the least hash of ``gram`` values within a window; equal windows have it at
+    the same place. ``doc`` gives the text of each value, windows lie in one text; ``take`` selects windows.
+    """
+    grams = mix(rolling.every(gram))
+    place = sliding_least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), window - gram + 1) & _PLACE
+    valid = doc[: len(place)] == doc[window - 1 :]
+    if take is not None:
+        valid &= take[: len(place)]
+    same = valid[1:] & valid[:-1] & (place[1:] == place[:-1]) & (doc[1 : len(place)] == doc[: len(place) - 1])
+    first = np.flatnonzero(valid & ~np.concatenate(([False], same)))
+    n = np.flatnonzero(valid & ~np.concatenate((same, [False]))) - first + 1
+    at = place[first].astype(np.int64)
+    shape = ((at - first) * 4096 + n).astype(np.uint64)
+    return first, n, grams[at], mix(rolling.window(first, first + n - 1 + window) ^ mix(shape))
+
+
+def gathered(marks: DataFrame, *more: str) -> DataFrame:
+    """One row for each document: all its starts and counts, and lists that go with them. A document has no more of them than positions."""
+    lists = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts", *more))
+    return marks.groupBy(F.col("k").alias("pk"), F.col("th").alias("pth")).agg(*lists)

@@ -65,15 +65,24 @@ def packed_texts(df: DataFrame, key: str, text: str, carry: list[str] = ()) -> t
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in small_batches(batches):
             z = [compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
             names = ["k", "th", "z", *batch.schema.names[3:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), *batch.columns[3:]], names)
 
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("th", T.LongType()), T.StructField("z", T.BinaryType()), *rows.schema.fields[3:]])
+    # no NULLs: then inner and outer joins read the same exchange
+    fixed = [T.StructField(c, t, False) for c, t in (("k", T.LongType()), ("th", T.LongType()), ("z", T.BinaryType()))]
+    schema = T.StructType([*fixed, *rows.schema.fields[3:]])
     return rows.mapInArrow(pack, schema), repeated
 
 
+def small_batches(batches, rows: int = 500):
+    """Slices of batches, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def unpack(z) -> list[bytes]:
     import zstandard
 

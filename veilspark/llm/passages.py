@@ -4,8 +4,10 @@ Difference-cover anchors: a hash of ANCHOR words is taken only where a word's nu
 PERIOD is in COVER.  Any two residues have a difference that COVER holds, so two equal
 windows of PERIOD - 1 + ANCHOR words share an anchor at the same place within both.  Where
 an anchor occurs once, no window around it can repeat.  Around anchors that occur again
-matches are extended to whole windows: each is hashed (64 and 64 bits) and counted over all
-documents.  Every repeated window is found, and only windows are decided, never pairs.
+matches are extended: runs of windows that share their least GRAM-word hash are held against
+each other as a whole, and where one such hash has runs that differ, window by window (each
+hashed twice, 64 and 64 bits).  Every repeated window is found, and only runs and windows
+are decided, never pairs.
 
 Defined results: NULL and blank texts have no words; a text shorter than a window keeps all;
 rows that repeat a key are documents of their own, so equal rows repeat each other; an empty
@@ -24,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.blocks import BASES, ROW, ROW_DDL, Rolling, combined, gathered, mark_repeats, mix, slices, word_hashes
-from veilspark.llm.common import out_key, packed_texts, partitions, unpack
+from veilspark.llm.blocks import ALONE, FIRST, ROW_DDL, SPANS_DDL, WHOLE, Rolling, classify, combined, gathered, make_rows, mark_repeats, mix, slices, sorted_rows, spans_of, word_hashes
+from veilspark.llm.common import out_key, packed_texts, partitions, small_batches, unpack, written
 
 WINDOW = 35
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)  # differences modulo 21: every residue
 ANCHOR = WINDOW - PERIOD + 1
-assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD)) and len(BASES) == 2
+GRAM = 5
+assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
 
 def _numbers(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,16 +45,9 @@ def _numbers(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, number, per_text[doc] - number
 
 
-def _rows(h: np.ndarray, c: np.ndarray | int, k: np.ndarray, th: np.ndarray, at: np.ndarray) -> np.ndarray:
-    rows = np.zeros(len(h), ROW)
-    rows["h"], rows["k"], rows["th"], rows["at"], rows["n"] = h.view(np.int64), k, th, at, 1
-    rows["c"] = c if isinstance(c, int) else c.view(np.int64)
-    return rows
-
-
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[np.ndarray]:
-        for batch in batches:
+        for batch in small_batches(batches):
             keys, hashes = (batch.column(i).to_numpy() for i in (0, 1))
             data = unpack(batch.column(2))
             for part in slices(data):
@@ -61,29 +57,52 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, number, left = _numbers(per_text)
                 # a text shorter than a window has none
                 at = np.flatnonzero((left >= ANCHOR) & np.isin(number % PERIOD, COVER) & (per_text[doc] >= WINDOW))
-                yield _rows(mix(Rolling(h).window(at, at + ANCHOR)), 0, keys[part][doc[at]], hashes[part][doc[at]], number[at])
+                yield make_rows(mix(Rolling(h).window(at, at + ANCHOR)), 0, keys[part][doc[at]], hashes[part][doc[at]], number[at])
 
     return combined(parts())
 
 
-def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole windows around repeated anchors (k, th, z, starts)."""
+def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows around repeated anchors (k, th, z, starts)."""
 
     def parts() -> Iterator[np.ndarray]:
-        for batch in batches:
+        for batch in small_batches(batches):
             keys, hashes = (batch.column(i).to_numpy() for i in (0, 1))
             data, starts = unpack(batch.column(2)), batch.column(3)
             for part in slices(data):
                 h, per_text = word_hashes(data[part])
-                doc, number, left = _numbers(per_text)
+                if len(h) < WINDOW:
+                    continue
+                doc, number, _ = _numbers(per_text)
                 first = np.cumsum(per_text) - per_text
                 some = starts.slice(part.start, part.stop - part.start)
                 at = some.flatten().to_numpy(zero_copy_only=False) + np.repeat(first, some.value_lengths().to_numpy(zero_copy_only=False))
                 edge = np.zeros(len(h) + 1, np.int64)
                 np.add.at(edge, np.maximum(at - PERIOD + 1, first[doc[at]]), 1)
                 np.add.at(edge, at + 1, -1)
-                take = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (left >= WINDOW))
-                yield _rows(mix(Rolling(h).window(take, take + WINDOW)), mix(Rolling(h, 1).window(take, take + WINDOW)), keys[part][doc[take]], hashes[part][doc[take]], number[take])
+                start, n, least, content = spans_of(Rolling(h), doc, WINDOW, GRAM, np.cumsum(edge[:-1]) > 0)
+                yield make_rows(least, content, keys[part][doc[start]], hashes[part][doc[start]], number[start], n)
+
+    return combined(parts())
+
+
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of spans (k, th, z, starts, counts, hs), as two hashes; those of a content that stands elsewhere are several already."""
+
+    def parts() -> Iterator[np.ndarray]:
+        for batch in small_batches(batches):
+            keys, hashes = (batch.column(i).to_numpy() for i in (0, 1))
+            data = unpack(batch.column(2))
+            for part in slices(data):
+                h, per_text = word_hashes(data[part])
+                first = np.cumsum(per_text) - per_text
+                start, n, several = (batch.column(c).slice(part.start, part.stop - part.start) for c in (3, 4, 5))
+                doc = np.repeat(np.arange(len(per_text)), start.value_lengths().to_numpy(zero_copy_only=False))
+                start, n, several = (c.flatten().to_numpy(zero_copy_only=False) for c in (start, n, several))
+                number = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                doc, several = np.repeat(doc, n), np.repeat(several, n)
+                at = number + first[doc]
+                yield make_rows(*(mix(Rolling(h, w).window(at, at + WINDOW)) for w in (0, 1)), keys[part][doc], hashes[part][doc], number, 1, np.where(several, FIRST, ALONE))
 
     return combined(parts())
 
@@ -98,17 +117,17 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
-            for data, starts in zip(unpack(batch.column(2)), batch.column(3), strict=True):
+            for data, starts, counts in zip(unpack(batch.column(2)), batch.column(3), batch.column(4), strict=True):
                 words = data.split()
-                gone = covered(len(words), np.array(starts.values, np.int64), np.int64(WINDOW)) if starts.is_valid and len(starts) else None
+                gone = covered(len(words), np.array(starts.values), np.array(counts.values, np.int64) + WINDOW - 1) if starts.is_valid and len(starts) else None
                 if digest or gone is not None:
                     data = b" ".join(words if gone is None else compress(words, ~gone))
                 rows.append((len(words), 0 if gone is None else int(gone.sum()), sha256(data).hexdigest() if digest else data.decode("utf-8", "surrogatepass")))
             n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "th", "n_words", "n_removed", "kept", *batch.schema.names[4:]])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[5:]]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "th", "n_words", "n_removed", "kept", *batch.schema.names[5:]])
 
     return run
 
@@ -124,10 +143,15 @@ def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest
     texts = docs.select("k", "th", "z")
     near = gathered(mark_repeats(texts.mapInArrow(anchors, ROW_DDL), parts))
     on = lambda marks: (F.col("k") == marks.pk) & (F.col("th") == marks.pth)
-    candidates = docs.join(near, on(near)).select("k", "th", "z", "starts")
-    repeats = gathered(mark_repeats(candidates.mapInArrow(windows, ROW_DDL), parts))
+    candidates = texts.join(near, on(near)).select("k", "th", "z", "starts")
+    # read twice, so computed once
+    found = written(sorted_rows(candidates.mapInArrow(spans, ROW_DDL), parts).mapInArrow(lambda batches: classify(batches, 1, False), SPANS_DDL), "passages")
+    differ = gathered(found.filter(F.col("kind") != WHOLE), "hs")
+    by_window = texts.join(differ, on(differ)).select("k", "th", "z", "starts", "counts", "hs").mapInArrow(windows, ROW_DDL)
+    marks = found.filter(F.col("kind") == WHOLE).select("k", "th", "starts", "counts").unionByName(mark_repeats(by_window, parts))
+    repeats = gathered(marks)
     extra = [f for f in docs.schema.fields[3:]]
-    whole = docs.join(repeats, on(repeats), "left").select("k", "th", "z", "starts", *(f.name for f in extra))
+    whole = docs.join(repeats, on(repeats), "left").select("k", "th", "z", "starts", "counts", *(f.name for f in extra))
     fixed = [T.StructField("k", T.LongType()), T.StructField("th", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return whole.mapInArrow(_cut(digest), T.StructType([*fixed, *extra]))
 

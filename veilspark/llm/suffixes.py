@@ -34,49 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.blocks import KNOWN, PIECE, ROW, ROW_DDL, Rolling, _letters, combined, from_batch, gathered, mark_repeats, mix, positions, slices
-from veilspark.llm.common import out_key, packed_texts, partitions, unpack, written
+from veilspark.llm.blocks import PIECE, ROW_DDL, SORT, SPANS_DDL, WHOLE, WIDE, Rolling, classify, combined, gathered, letters, make_rows, mark_repeats, mix, positions, slices, sorted_rows, spans_of
+from veilspark.llm.common import out_key, packed_texts, partitions, small_batches, unpack, written
 from veilspark.llm.passages import covered
 
 LENGTH = 100
 GRAM = 32
-WIDTH = LENGTH - GRAM + 1  # places for a minimizer within a window
 HOT = 4_000
 #: Span bytes that a task sorts at a time.
-SORTED = 2 << 20
-
-_PLACE = np.uint64((1 << 22) - 1)
-
-
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each ``width`` consecutive values: suffix minima of blocks against prefix minima of the next ones."""
-    n = len(values)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-
-
-def _spans_of(raw: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of bytes and the document of each: start, windows, minimizer hash and span hash of every span."""
-    rolling = Rolling(_letters(1)[raw])
-    grams = mix(rolling.every(GRAM))
-    place = sliding_least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), WIDTH) & _PLACE
-    valid = doc[: len(place)] == doc[LENGTH - 1 :]
-    same = valid[1:] & valid[:-1] & (place[1:] == place[:-1]) & (doc[1 : len(place)] == doc[: len(place) - 1])
-    first = np.flatnonzero(valid & ~np.concatenate(([False], same)))
-    last = np.flatnonzero(valid & ~np.concatenate((same, [False])))
-    n = last - first + 1
-    at = place[first].astype(np.int64)
-    shape = ((at - first) * 128 + n).astype(np.uint64)
-    return first, n, grams[at], mix(rolling.window(first, last + LENGTH) ^ mix(shape))
-
+SORTED = 1 << 20
 
 def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[np.ndarray]:
-        for batch in batches:
+        for batch in small_batches(batches):
             keys, hashes = (batch.column(i).to_numpy() for i in (0, 1))
             data = unpack(batch.column(2))
             for part in slices(data):
@@ -89,74 +59,13 @@ def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     piece = slice(at, at + PIECE + LENGTH - 1)
                     if len(raw[piece]) < LENGTH:
                         continue
-                    first, n, least, whole = _spans_of(raw[piece], doc[piece])
+                    first, n, least, content = spans_of(Rolling(letters(1)[raw[piece]]), doc[piece], LENGTH, GRAM)
                     d = doc[piece][first]
-                    rows = np.zeros(len(first), ROW)
-                    rows["h"], rows["c"], rows["k"], rows["th"], rows["at"], rows["n"] = least.view(np.int64), whole.view(np.int64), keys[part][d], hashes[part][d], first + at - start[d], n
-                    yield rows
+                    yield make_rows(least, content, keys[part][d], hashes[part][d], first + at - start[d], n)
 
     return combined(parts())
 
 
-WHOLE, SORT, WIDE = 0, 1, 2  # decided; to a suffix array; to hashes of windows
-SPANS_DDL = "kind int, k long, th long, starts array<long>, counts array<int>, hs array<long>"
-
-
-def _by_document(kind: int, rows: np.ndarray) -> pa.RecordBatch:
-    rows = rows[np.lexsort((rows["at"], rows["th"], rows["k"]))]
-    batch = positions(rows["k"], rows["th"], rows["at"], rows["n"])
-    hs = pa.ListArray.from_arrays(batch.column(2).offsets, pa.array(np.ascontiguousarray(rows["h"]) if kind else np.zeros(len(rows), np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), *batch.columns, hs], ["kind", "k", "th", "starts", "counts", "hs"])
-
-
-def classify(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by minimizer, span and position: repeats of a span are decided; first ones of minimizers with other spans go on."""
-    last: tuple[int, int] | None = None
-    held: list[np.ndarray] = []  # first spans of the minimizer that is still open, at most ``most``
-    n_held, hot = 0, False
-    for batch in batches:
-        got = from_batch(batch)
-        known = got["state"] == KNOWN
-        whole = [got[known]]
-        rows = got[~known]
-        if len(rows):
-            new_h = np.concatenate(([last is None or rows["h"][0] != last[0]], rows["h"][1:] != rows["h"][:-1]))
-            new_c = new_h | np.concatenate(([last is None or rows["c"][0] != last[1]], rows["c"][1:] != rows["c"][:-1]))
-            last = (rows["h"][-1], rows["c"][-1])
-            whole.append(rows[~new_c])
-            group = np.cumsum(new_h)
-            firsts, group, groups = rows[new_c], group[new_c], int(group[-1])
-            more = firsts[group == 0]
-            sort, wide = [], []
-            if hot:
-                wide.append(more)
-            else:
-                held.append(more)
-                n_held += len(more)
-                if n_held > most:
-                    wide += held
-                    held, hot = [], True
-            if groups:
-                if not hot and n_held > 1:
-                    sort += held
-                inner = (group > 0) & (group < groups)
-                sizes = np.bincount(group, minlength=groups + 1)[group]
-                sort.append(firsts[inner & (sizes > 1) & (sizes <= most)])
-                wide.append(firsts[inner & (sizes > most)])
-                held, n_held, hot = [firsts[group == groups]], int((group == groups).sum()), False
-                if n_held > most:
-                    wide += held
-                    held, hot = [], True
-            for kind, parts in ((SORT, sort), (WIDE, wide)):
-                if sum(map(len, parts)):
-                    yield _by_document(kind, np.concatenate(parts))
-        done = np.concatenate(whole)
-        if len(done):
-            yield _by_document(WHOLE, done)
-    if not hot and n_held > 1:
-        yield _by_document(SORT, np.concatenate(held))
-
-
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """k, th, text, starts, counts, minimizers of each row."""
     columns = [batch.column(i) for i in range(6)]
@@ -169,7 +78,7 @@ BODY_DDL = "h long, k long, th long, at long, n int, body binary"
 
 def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of spans (k, th, z, starts, counts, hs)."""
-    for batch in batches:
+    for batch in small_batches(batches):
         rows: list[tuple] = []
         for k, th, data, starts, counts, hs in _pieces(batch):
             rows += [(h, k, th, at, n, data[at : at + n + LENGTH - 1]) for h, at, n in zip(hs.tolist(), starts.tolist(), counts.tolist(), strict=True)]
@@ -251,14 +160,11 @@ def wide_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of spans (k, th, z, starts, counts, hs), as two hashes."""
 
     def parts() -> Iterator[np.ndarray]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for k, th, data, starts, counts, _ in _pieces(batch):
                 for at, n in zip(starts.tolist(), counts.tolist(), strict=True):
                     raw = np.frombuffer(data, np.uint8, n + LENGTH - 1, at)
-                    rows = np.zeros(n, ROW)
-                    rows["h"], rows["c"] = (mix(Rolling(_letters(w)[raw], w).every(LENGTH)).view(np.int64) for w in (0, 1))
-                    rows["k"], rows["th"], rows["at"], rows["n"] = k, th, at + np.arange(n), 1
-                    yield rows
+                    yield make_rows(*(mix(Rolling(letters(w)[raw], w).every(LENGTH)) for w in (0, 1)), k, th, at + np.arange(n))
 
     return combined(parts())
 
@@ -268,7 +174,7 @@ RESULT = "k long, th long, n_bytes long, n_removed long, n_spans long, kept bina
 
 def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for i, data in enumerate(unpack(batch.column(2))):
                 starts, counts = batch.column(3)[i], batch.column(4)[i]
@@ -289,13 +195,12 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest:
     docs, repeated = packed_texts(df, key, text)
     parts = partitions(df.sparkSession)
     single = docs.dropDuplicates(["k", "th"]) if repeated else docs
-    dealt = single.mapInArrow(spans, ROW_DDL).repartition(parts, "h").sortWithinPartitions("h", "c", "k", "th", "at")
+    dealt = sorted_rows(single.select("k", "th", "z").mapInArrow(spans, ROW_DDL), parts)
     # read three times, so computed once
-    found = written(dealt.mapInArrow(lambda batches: classify(batches, hot), SPANS_DDL), "spans")
+    found = written(dealt.mapInArrow(lambda batches: classify(batches, hot, True), SPANS_DDL), "spans")
 
     def texts_with(kind: int) -> DataFrame:
-        some = found.filter(F.col("kind") == kind).groupBy(F.col("k").alias("pk"), F.col("th").alias("pth"))
-        some = some.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "counts", "hs")))
+        some = gathered(found.filter(F.col("kind") == kind), "hs")
         return single.join(some, (single.k == some.pk) & (single.th == some.pth)).select("k", "th", "z", "starts", "counts", "hs")
 
     by_minimizer = texts_with(SORT).mapInArrow(bodies, BODY_DDL).repartition(parts, "h").sortWithinPartitions("h", "k", "th", "at")
