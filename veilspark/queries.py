@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import normalize as N
 from veilspark.functions import spans
 from veilspark.functions.entropy import shannon_entropy
-from veilspark.functions.rules import BUILTIN_RULES
+from veilspark.functions.rules import BUILTIN_RULES, BY_NAME
 from veilspark.operators.detector import Detector, explode_matches, native_redact
 from veilspark.operators.messages import redact_messages, redact_strings
 from veilspark.operators.reports import audit, match_counts, rollup_counts, top_documents
@@ -80,6 +80,67 @@ for _name, _alphabet, _full in (
     _rule_query.__name__ = f"rule_{_name}"
     query(_runs(_alphabet, _full, _gate))(_rule_query)
 
+# Rules without look-around: the pattern itself (possessive repeats as greedy ones).
+for _name in ("api_key_prefix", "ssh_private_key", "ssh_public_key", "db_connection_string", "db_cli", "url_query_credential", "ipv6"):
+    _pattern = BY_NAME[_name].pattern.replace("}+|", "}|").replace(")++", ")+").replace("'", "''")
+    _gate = "WHERE octet_length(encode(text)) <= 5000" if _name == "ipv6" else ""
+
+    def _plain_query(spark, sf, rule=_name):
+        return _rule_values(spark, sf, rule).select("doc_id", "value")
+
+    _plain_query.__name__ = f"rule_{_name}"
+    query(f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern}')) AS value FROM documents {_gate}) WHERE value <> ''")(_plain_query)
+
+
+# Guarded by a class G: characters outside G are doubled, so that one guard character can be consumed on each side.
+def _guarded(guard: str, body: str) -> str:
+    return rf"""
+    WITH d AS (SELECT doc_id, regexp_replace(text, '([^{guard}])', '\1\1', 'g') AS t FROM documents),
+    hits AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?s)(?:^|[^{guard}])({body})(?:$|[^{guard}])', 1)) AS value FROM d)
+    SELECT doc_id, regexp_replace(value, '(?s)([^{guard}]).', '\1', 'g') AS value FROM hits"""
+
+
+_SEP = r"(?:\s\s|\.\.|--)?"
+_DASH = r"(?:--|\s\s)?"
+for _name, _guard, _body in (
+    ("ssn_us", "0-9", r"\d{3}--\d{2}--\d{4}"),
+    ("phone_intl", "0-9", rf"\+\+[1-9]\d{{0,2}}{_SEP}(?:\d{_SEP}){{5,14}}\d"),
+    ("phone_cn_sep", "0-9", rf"(?:\(\()?1[3-9]\d(?:\)\))?{_SEP}\d{{4}}{_SEP}\d{{4}}"),
+    ("id_card_cn", "0-9Xx", r"[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[Xx\d]"),
+    ("id_card_cn_sep", "0-9Xx", rf"[1-9]\d{{5}}{_DASH}(?:19|20)\d{{2}}{_DASH}(?:0[1-9]|1[0-2]){_DASH}(?:0[1-9]|[12]\d|3[01]){_DASH}\d{{3}}{_DASH}[Xx\d]"),
+    ("jwt", "A-Za-z0-9_-", r"eyJ[A-Za-z0-9_-]{10,}\.\.[A-Za-z0-9_-]{10,}\.\.[A-Za-z0-9_-]{10,}"),
+    ("jwt_multiline", "A-Za-z0-9_-", r"eyJ[A-Za-z0-9_-]{10,}\s*\.\.\s*[A-Za-z0-9_-]{4,}\s*\.\.\s*[A-Za-z0-9_-]{4,}"),
+):
+
+    def _guarded_query(spark, sf, rule=_name):
+        return _rule_values(spark, sf, rule).select("doc_id", "value")
+
+    _guarded_query.__name__ = f"rule_{_name}"
+    query(_guarded(_guard, _body))(_guarded_query)
+
+
+@query(r"""
+    WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9a-fA-Fx]+')) AS run FROM documents)
+    SELECT doc_id, regexp_extract(run, '^(0x[0-9a-fA-F]{8})(x|$)', 1) AS value FROM runs WHERE regexp_matches(run, '^0x[0-9a-fA-F]{8}(x|$)')""")
+def rule_ipv4_hex(spark, sf):
+    return _rule_values(spark, sf, "ipv4_hex").select("doc_id", "value")
+
+
+# The look-behind of this rule allows a line start, an underscore or a letter s before the keyword; its look-ahead a word character or the assignment itself.
+@query(r"""
+    SELECT doc_id, unnest(regexp_extract_all(text, '(?im)^(?:\s*\w*[_s]|(?:\s*\n)?)(?:password|secret|credential|token|api[_\\s]?keys?)(?:[_a-z0-9]\w*\s*)?[:=]\s*\S{4,}')) AS value FROM documents""")
+def rule_credential_value(spark, sf):
+    return _rule_values(spark, sf, "credential_value").select("doc_id", "value")
+
+
+_INLINE = BY_NAME["credential_inline"].pattern.replace("(?i)(?<![a-zA-Z0-9])", "")
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^a-zA-Z0-9])({_INLINE})', 1)) AS value FROM documents")
+def rule_credential_inline(spark, sf):
+    return _rule_values(spark, sf, "credential_inline").select("doc_id", "value")
+
+
 # Guards outside the alphabet: one character of context is captured and cut off.
 # (all but digits and hyphens are doubled first, so that two cards can share one)
 _CARD = r"(4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(011|5\d{2}))(-|\s\s)?\d{4}(-|\s\s)?\d{4}(-|\s\s)?\d{4}"
