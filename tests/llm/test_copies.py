@@ -214,7 +214,8 @@ def brute_signature(text):
             g = signed(h4(occurrence, h8(g, 42))) >> 26
         numbered.append((g, i))
     sig = []
-    least = [min((signed(h8(g, h4(j, 42))) & ~fingerprints.MASK) | i for g, i in numbered) for j in range(2 * fingerprints.ENTRIES)]
+    orders = [fingerprints.order_of(j) for j in range(2 * fingerprints.ENTRIES)]
+    least = [min(((g << 26) | i) ^ c for g, i in numbered) ^ c for c in orders]
     for i in range(fingerprints.ENTRIES):
         a, b = sorted(least[2 * i : 2 * i + 2], key=lambda x: x & fingerprints.MASK)
         sig.append((h8(b >> 26, h8(a >> 26, h4(i, 42))) >> 32) & 0xFFFFFFFF)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.blocks import LOWER_TO_SPACE, Rolling, mix, slices, word_hashes
-from veilspark.llm.common import packed_texts, unpack, written
+from veilspark.llm.common import packed_texts, small_batches, unpack, written
 
 BUCKET_BITS, MANTISSA, ROWS = 8, 10, 5
 BUCKETS = 1 << BUCKET_BITS
@@ -128,7 +128,7 @@ SKETCH_DDL = "rid long, k long, n long, d1 long, d2 long, sketch binary"
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             data = unpack(batch.column(2))
             for part in slices(data):
                 sets = shingle_sets(data[part], k)
