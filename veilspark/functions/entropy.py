@@ -16,14 +16,10 @@ _CJK = re.compile(r"[一-鿿぀-ゟ゠-ヿ가-힯]")
 
 def shannon_entropy(text: Column) -> Column:
     """Bits per character over code points; 0 for the empty string, NULL for NULL."""
-
-    def of(chars: Column) -> Column:
-        total = F.size(chars).cast("double")
-        share = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda d: d == c)) / total)
-        return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-
-    split = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(F.array(split), of)[0]
+    total = F.length(text).cast("double")
+    kinds = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
+    share = F.transform(kinds, lambda c: (total - F.length(F.replace(text, c, F.lit("")))) / total)
+    return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
 def entropy_of(counts: dict[str, int], total: int) -> float:

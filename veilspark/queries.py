@@ -187,12 +187,10 @@ def url_decode_pages(spark, sf):
 
 
 @query("""
-    WITH c AS (SELECT doc_id, unnest(string_split(left(text, 64), '')) AS c FROM documents WHERE text <> '')
+    WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')
     SELECT doc_id, round(entropy(c), 6) AS bits FROM c GROUP BY doc_id""")
-def entropy_of_openings(spark, sf):
-    """The first 64 characters are the input of this query, as the entropy search has a sample of 1024."""
-    head = F.substring("text", 1, 64)
-    return docs(spark, sf).filter("text <> ''").select("doc_id", F.round(shannon_entropy(head), 6).alias("bits"))
+def entropy_of_texts(spark, sf):
+    return docs(spark, sf).filter("text <> ''").select("doc_id", F.round(shannon_entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("""
