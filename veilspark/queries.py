@@ -13,7 +13,7 @@ from veilspark.operators.detector import Detector, explode_matches, native_redac
 from veilspark.operators.messages import redact_messages, redact_strings
 from veilspark.operators.reports import audit, match_counts, rollup_counts, top_documents
 from veilspark.plans.config import Config, CustomRule, Entropy
-from veilspark.sources.tables import read_table
+from veilspark.sources.tables import read_table, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents")
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _rule_values(spark: SparkSession, sf: str, rule: str, whitelist: bool = True) -> DataFrame:

@@ -17,6 +17,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """The rows over all cores if they are few bytes for each core: a small file has one row group, which one task reads.
+
+    Larger inputs have splits enough and are left alone, so this never shuffles much.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < small * cores else df
+
+
 def read_texts(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """parquet, orc, json, csv or text; whole text files come as path and text."""
     if kind == "text":
