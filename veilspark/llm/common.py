@@ -62,8 +62,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed_texts(df: DataFrame, key: str, text: str, carry: list[str] = ()) -> tuple[DataFrame, bool]:
-    """k, th, z and the columns to carry as c0, c1 ...: the rows with compressed UTF-8 text; and whether a key repeats.
+def keyed_texts(df: DataFrame, key: str, text: str, carry: list[str] = ()) -> tuple[DataFrame, bool]:
+    """k, th, t and the columns to carry as c0, c1 ...; and whether a key repeats.
 
     ``k`` is the key (NULL: the smallest long); ``th`` is 0 where every key occurs once, and
     otherwise a hash of the text, so that rows that repeat a key are told apart by it.
@@ -71,7 +71,11 @@ def packed_texts(df: DataFrame, key: str, text: str, carry: list[str] = ()) -> t
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *rest)
     repeated = bool(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").take(1))
-    rows = rows.select("k", (text_hash(F.col("t")) if repeated else F.lit(0)).cast("long").alias("th"), "t", *(f"c{i}" for i in range(len(rest))))
+    return rows.select("k", (text_hash(F.col("t")) if repeated else F.lit(0)).cast("long").alias("th"), "t", *(f"c{i}" for i in range(len(rest)))), repeated
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The same with the text as compressed UTF-8, ``z``, for a shuffle."""
 
     def pack(batches):
         import pyarrow as pa
@@ -79,14 +83,13 @@ def packed_texts(df: DataFrame, key: str, text: str, carry: list[str] = ()) -> t
 
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in small_batches(batches):
-            z = [compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
+            z = [compress(x) for x in unpack(batch.column(2))]
             names = ["k", "th", "z", *batch.schema.names[3:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), *batch.columns[3:]], names)
 
     # no NULLs: then inner and outer joins read the same exchange
     fixed = [T.StructField(c, t, False) for c, t in (("k", T.LongType()), ("th", T.LongType()), ("z", T.BinaryType()))]
-    schema = T.StructType([*fixed, *rows.schema.fields[3:]])
-    return rows.mapInArrow(pack, schema), repeated
+    return rows.mapInArrow(pack, T.StructType([*fixed, *rows.schema.fields[3:]]))
 
 
 def small_batches(batches, rows: int = 500):
@@ -96,11 +99,16 @@ def small_batches(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
-def unpack(z) -> list[bytes]:
-    import zstandard
+def unpack(texts) -> list[bytes]:
+    """UTF-8 of an Arrow column of strings, or of compressed ones."""
+    import pyarrow as pa
+
+    if pa.types.is_binary(texts.type):
+        import zstandard
 
-    decompress = zstandard.ZstdDecompressor().decompress
-    return [decompress(x) for x in z.to_pylist()]
+        decompress = zstandard.ZstdDecompressor().decompress
+        return [decompress(x) for x in texts.to_pylist()]
+    return [x.encode("utf-8", "surrogatepass") for x in texts.to_pylist()]
 
 
 def out_key(name: str) -> Column:

@@ -14,8 +14,9 @@ Groups are never expanded into pairs:
 2. In each group of a key every node is held against one other, the one that shares most
    keys with others (a source that all copies resemble).  That is a pair for each row.
 3. Components of confirmed links.  Only where a key's group still falls into several
-   components are nodes of different components paired; large such groups are cut first by a
-   second key that both must share, which a linked pair does not do with a probability of 3e-9.
+   components are nodes of the smaller ones paired with nodes of others, each pair at the first key
+   they share and only if they share a second one (a linked pair does not with a probability
+   below 5e-8).
 
 So no cap drops a candidate. Components are found by alternating stars over tables in the
 shared folder; nothing of the size of the corpus reaches the driver.
@@ -29,7 +30,6 @@ an empty table gives no rows; columns other than the two named ones are ignored.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,15 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.blocks import LOWER_TO_SPACE, Rolling, mix, slices, word_hashes
-from veilspark.llm.common import packed_texts, small_batches, unpack, written
+from veilspark.llm.common import keyed_texts, packed, small_batches, unpack, written
 
 BUCKET_BITS, MANTISSA, ROWS = 8, 10, 5
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 #: Two different minima agree in a register with this probability: equal zeros (1/3) and equal mantissas.
 BY_CHANCE = 2.0**-MANTISSA / 3
-#: Groups of a key with more nodes than this, in several components, are cut by a second key.
-LARGE = 32
+#: Keys that a pair of different components shares at least.
+SHARED = 2
 NULL_KEY = -(1 << 63)
 
 
@@ -146,37 +146,32 @@ def _sketches(k: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, sketch) to (band, node, n)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            keys = band_keys(sketch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS)), pa.array(np.repeat(part.column(1).to_numpy(), BANDS))], ["band", "node", "n"]
-            )
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, sketch) to (node, n, keys)."""
+    for batch in small_batches(batches):
+        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        keys = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS, band_keys(sketch).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["node", "n", "keys"])
 
 
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: OrderedDict[int, frozenset] = OrderedDict()
+        last: dict[int, tuple[int, frozenset]] = {}
 
-        def of(rid: int, z: bytes) -> frozenset:
-            if rid not in sets:
-                sets[rid] = exact_set(unpack_one(z), k)
-                if len(sets) > 64:
-                    sets.popitem(last=False)
-            return sets[rid]
+        def of(side: int, rid: int, z: bytes) -> frozenset:
+            """The set of a side; rows come with one side's documents in runs."""
+            if side not in last or last[side][0] != rid:
+                last[side] = rid, exact_set(unpack_one(z), k)
+            return last[side][1]
 
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for a, za, sa, b, zb, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(sa, np.uint16), np.frombuffer(sb, np.uint16)
                 spread = 6 * (0.25 / min(BUCKETS, max(1, len(np.unique(x[0]))))) ** 0.5
                 if estimate(*x) < percent / 100 - spread:
                     continue
-                p, q = of(a, za), of(b, zb)
+                p, q = of(0, a, za), of(1, b, zb)
                 both = len(p & q)
                 if both and 100 * both >= percent * (len(p) + len(q) - both):
                     out.append((a, b))
@@ -226,22 +221,22 @@ def _fits(n: str, m: str, percent: int):
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
     """key, th, n_shingles, component_id, kept for each row; ``th`` is 0 unless a key repeats."""
-    docs, repeated = packed_texts(df, key, text)
-    rid = F.xxhash64("k", "th") if repeated else F.col("k")
-    docs = docs.select(rid.alias("rid"), "k", "z", "th")
-    single = docs.dropDuplicates(["rid"]) if repeated else docs
-    sketches = written(single.select("rid", "k", "z").mapInArrow(_sketches(shingle), SKETCH_DDL), "sketches")
+    rows, repeated = keyed_texts(df, key, text)
+    rid = (F.xxhash64("k", "th") if repeated else F.col("k")).alias("rid")
+    single = rows.dropDuplicates(["k", "th"]) if repeated else rows
+    sketches = written(single.select(rid, "k", "t").mapInArrow(_sketches(shingle), SKETCH_DDL), "sketches")
 
     classes = sketches.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("node"))
     nodes = classes.select("node", "n").join(sketches.select("rid", "sketch"), F.col("node") == F.col("rid")).select("node", "n", "sketch")
-    bands = nodes.mapInArrow(_bands, "band long, node long, n long")
+    nodes = written(nodes.mapInArrow(_keys, "node long, n long, keys array<long>"), "keys")
+    bands = nodes.select("node", "n", F.explode("keys").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     groups = written(bands.join(shared, "band").select("band", "node", "n", "size"), "groups")
 
     # the texts of nodes that share a key with another
     some = groups.select("node").distinct()
     registers_of = sketches.select(F.col("rid").alias("srid"), "sketch")
-    bodies = single.select("rid", "z").join(some, F.col("rid") == F.col("node"), "left_semi").join(registers_of, F.col("rid") == F.col("srid")).select("rid", "z", "sketch")
+    bodies = packed(single).select(rid, "z").join(some, F.col("rid") == F.col("node"), "left_semi").join(registers_of, F.col("rid") == F.col("srid")).select("rid", "z", "sketch")
     bodies = written(bodies, "bodies")
 
     weight = groups.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -253,23 +248,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     roots = components(links)
     placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    open_ = written(placed.join(split, "band"), "open")
-    few = open_.filter(F.col("size") <= LARGE).select("band", "node", "n", "root")
-    many = open_.filter(F.col("size") > LARGE).select("band", "node", "n", "root")
-    second = groups.select("node", F.col("band").alias("other"))
-    cut = many.join(second, "node").filter("band <> other")
-    cut = cut.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "node", "n", "root").distinct()
-    rest = few.unionByName(cut)
-    other = rest.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    crossed = rest.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b"))).filter(_fits("n", "m", percent))
-    late = confirmed(crossed.select(F.col("node").alias("a"), "b").distinct(), bodies, shingle, percent)
+    open_ = placed.join(split, "band").select("band", "node", "n", "root")
+    # the largest component of each group; of two nodes of different components one is outside it
+    sizes = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("major"))
+    open_ = open_.join(nodes.select("node", "keys"), "node").join(major, "band")
+    minor = open_.filter("root <> major").select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("keys").alias("keys_b"))
+    both = F.filter(F.zip_with("keys", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    once = (F.col("root") == F.col("major")) | (F.col("node") < F.col("b"))
+    crossed = open_.join(minor, "band").filter((F.col("root") != F.col("root_b")) & once).filter(_fits("n", "m", percent))
+    crossed = crossed.filter((F.get(both, F.lit(0)) == F.col("band")) & (F.size(both) >= SHARED)).select(F.col("node").alias("a"), "b")
+    late = confirmed(crossed, bodies, shingle, percent)
     roots = components(links.unionByName(late))
 
     member = sketches.select("rid", "k", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("rid", "k", "n", F.coalesce("node", "rid").alias("node"))
     member = member.join(roots, "node", "left").select("rid", "k", "n", F.coalesce("root", "node").alias("root"))
     if repeated:
         least = member.groupBy("root").agg(F.min("k").alias("component_id"))
-        member = docs.select("rid", "k", "th").join(member.drop("k").join(least, "root"), "rid").select("k", "th", "n", "component_id")
+        member = rows.select(rid, "k", "th").join(member.drop("k").join(least, "root"), "rid").select("k", "th", "n", "component_id")
     else:
         member = member.select("k", F.lit(0).cast("long").alias("th"), "n", F.col("root").alias("component_id"))
     null = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm.blocks import ALONE, FIRST, ROW_DDL, SPANS_DDL, WHOLE, Rolling, classify, combined, gathered, make_rows, mark_repeats, mix, slices, sorted_rows, spans_of, word_hashes
-from veilspark.llm.common import out_key, packed_texts, partitions, small_batches, unpack, written
+from veilspark.llm.common import keyed_texts, out_key, packed, partitions, small_batches, unpack, written
 
 WINDOW = 35
 PERIOD = 21
@@ -138,10 +138,11 @@ def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest
     ``kept`` is the text itself where nothing is removed, and otherwise the words that stay, joined by spaces;
     with ``digest`` the SHA-256 of the words that stay, so joined.
     """
-    docs, _ = packed_texts(df, key, text, carry)
+    rows, _ = keyed_texts(df, key, text, carry)
+    docs = packed(rows)
     parts = partitions(df.sparkSession)
     texts = docs.select("k", "th", "z")
-    near = gathered(mark_repeats(texts.mapInArrow(anchors, ROW_DDL), parts))
+    near = gathered(mark_repeats(rows.select("k", "th", "t").mapInArrow(anchors, ROW_DDL), parts))
     on = lambda marks: (F.col("k") == marks.pk) & (F.col("th") == marks.pth)
     candidates = texts.join(near, on(near)).select("k", "th", "z", "starts")
     # read twice, so computed once

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.blocks import PIECE, ROW_DDL, SORT, SPANS_DDL, WHOLE, WIDE, Rolling, classify, combined, gathered, letters, make_rows, mark_repeats, mix, positions, slices, sorted_rows, spans_of
-from veilspark.llm.common import out_key, packed_texts, partitions, small_batches, unpack, written
+from veilspark.llm.common import keyed_texts, out_key, packed, partitions, small_batches, unpack, written
 from veilspark.llm.passages import covered
 
 LENGTH = 100
 GRAM = 32
-HOT = 4_000
+HOT = 1_000
 #: Span bytes that a task sorts at a time.
 SORTED = 1 << 20
 
@@ -192,10 +192,12 @@ def _cut(digest: bool):
 
 def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, hot: int = HOT) -> DataFrame:
     """k, th, n_bytes, n_removed, n_spans, kept: the bytes that stay, or the SHA-256 of them in hexadecimal."""
-    docs, repeated = packed_texts(df, key, text)
+    rows, repeated = keyed_texts(df, key, text)
     parts = partitions(df.sparkSession)
-    single = docs.dropDuplicates(["k", "th"]) if repeated else docs
-    dealt = sorted_rows(single.select("k", "th", "z").mapInArrow(spans, ROW_DDL), parts)
+    docs = packed(rows)
+    rows = rows.dropDuplicates(["k", "th"]) if repeated else rows
+    single = packed(rows) if repeated else docs
+    dealt = sorted_rows(rows.mapInArrow(spans, ROW_DDL), parts)
     # read three times, so computed once
     found = written(dealt.mapInArrow(lambda batches: classify(batches, hot, True), SPANS_DDL), "spans")
 
