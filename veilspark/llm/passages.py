@@ -164,6 +164,7 @@ def passage_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def without_passages(df: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
     """The rows with all their columns, repeated passages cut out of the text; ``chars`` names a column with its length."""
-    cut = passage_dedup(df, key, text, carry=df.columns)
     new = {text: F.col("kept")} | ({chars: F.length("kept").cast(df.schema[chars].dataType)} if chars in df.columns else {})
-    return cut.select(*((new[c] if c in new else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)))
+    rest = [c for c in df.columns if c not in new]  # the text goes along once, compressed
+    cut = passage_dedup(df, key, text, carry=rest)
+    return cut.select(*((new[c] if c in new else F.col(f"c{rest.index(c)}")).alias(c) for c in df.columns))
