@@ -16,7 +16,9 @@ Groups are never expanded into pairs:
 3. Components of confirmed links.  Only where a key's group still falls into several
    components are nodes of the smaller ones paired with nodes of others, each pair at the first key
    they share and only if they share a second one (a linked pair does not with a probability
-   below 5e-8).
+   below 5e-8).  Shingles that no other node of these groups has can't be shared, so they bound
+   what two nodes may have in common: copies with many edits of their own, which share keys
+   with all their kin but are linked with none, drop out before they are paired.
 
 So no cap drops a candidate. Components are found by alternating stars over tables in the
 shared folder; nothing of the size of the corpus reaches the driver.
@@ -154,6 +156,20 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["node", "n", "keys"])
 
 
+def _shingles(k: int):
+    """(rid, z) to (h, node), a row for each shingle of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            data = unpack(batch.column(1))
+            for part in slices(data):
+                sets = shingle_sets(data[part], k)
+                node = np.repeat(batch.column(0).to_numpy()[part], [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], ["h", "node"])
+
+    return run
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[int, frozenset]] = {}
@@ -252,11 +268,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     # the largest component of each group; of two nodes of different components one is outside it
     sizes = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
     major = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("major"))
-    open_ = open_.join(nodes.select("node", "keys"), "node").join(major, "band")
-    minor = open_.filter("root <> major").select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("keys").alias("keys_b"))
+    kin = open_.select("node").distinct()
+    shingles = bodies.select("rid", "z").join(kin, F.col("rid") == F.col("node"), "left_semi").mapInArrow(_shingles(shingle), "h long, node long")
+    single_use = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = single_use.groupBy("node").agg(F.count("*").alias("own"))
+    facts = nodes.select("node", "keys").join(kin, "node", "left_semi").join(own, "node", "left").select("node", "keys", F.coalesce("own", F.lit(0)).alias("own"))
+    open_ = open_.join(facts, "node").join(major, "band")
+    minor = open_.filter("root <> major").select("band", *(F.col(c).alias(d) for c, d in (("node", "b"), ("n", "m"), ("root", "root_b"), ("keys", "keys_b"), ("own", "own_b"))))
+    most = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("own_b"))
     both = F.filter(F.zip_with("keys", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     once = (F.col("root") == F.col("major")) | (F.col("node") < F.col("b"))
-    crossed = open_.join(minor, "band").filter((F.col("root") != F.col("root_b")) & once).filter(_fits("n", "m", percent))
+    crossed = open_.join(minor, "band").filter((F.col("root") != F.col("root_b")) & once).filter(100 * most >= percent * (F.col("n") + F.col("m") - most))
     crossed = crossed.filter((F.get(both, F.lit(0)) == F.col("band")) & (F.size(both) >= SHARED)).select(F.col("node").alias("a"), "b")
     late = confirmed(crossed, bodies, shingle, percent)
     roots = components(links.unionByName(late))
