@@ -36,8 +36,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    return _without(docs, neardup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).filter("NOT kept"))
+    """Keeps exactly one row of each group of near-duplicates, that with the smallest doc_id."""
+    return neardup.without_near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

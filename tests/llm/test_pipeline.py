@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force."""
 
+import random
 import re
 
 import pytest
@@ -62,6 +63,25 @@ def test_stages_against_brute_force(spark, folder):
     check_packing(rows, pairs(docs), 1024)
 
 
+def test_one_row_of_each_group(spark, frame, tmp_path):
+    """Repeated rows, and copies under one key or none."""
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    twice, keyless, keyed, lone = text(80), text(80), text(80), text(80)
+    docs = [(1, twice), (1, twice), (1, twice), (2, twice + " end")]
+    docs += [(None, keyless), (None, keyless), (None, keyless + " end"), (None, lone)]
+    docs += [(3, keyed), (3, keyed + " end"), (3, text(80)), (4, "alone " + text(60)), (5, "")]
+    df = frame(docs).drop("k", "t", "th")
+    out = written(dict(pipeline.STAGES)["near_dedup"](spark, df, ""), "test")
+    assert out.schema == df.schema
+    got = pairs(out)
+    assert sorted((k for k, _ in got), key=repr) == sorted([1, None, None, 3, 3, 4, 5], key=repr)
+    assert sum(t.startswith(keyless) for _, t in got) == 1 and (None, lone) in got and sum(t.startswith(keyed) for _, t in got) == 1
+    assert (1, twice) in got
+    cut = dict(pairs(dict(pipeline.STAGES)["substring_dedup"](spark, out, "")))
+    assert cut[1] == twice and cut[5] == "" and all(t for k, t in cut.items() if k != 5)
+
+
 def test_run_and_scratch(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.count() == out.select("doc_id", "start").distinct().count() > 0

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.blocks import LOWER_TO_SPACE, Rolling, mix, slices, word_hashes
-from veilspark.llm.common import keyed_texts, packed, small_batches, unpack, written
+from veilspark.llm.common import keyed_texts, packed, small_batches, text_hash, unpack, written
 
 BUCKET_BITS, MANTISSA, ROWS = 8, 10, 5
 BUCKETS = 1 << BUCKET_BITS
@@ -235,8 +235,8 @@ def _fits(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
-    """key, th, n_shingles, component_id, kept for each row; ``th`` is 0 unless a key repeats."""
+def _members(df: DataFrame, key: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, bool]:
+    """k, th, n, component_id, root for each row, and whether a key repeats: only ``root`` tells groups apart whose smallest keys are equal."""
     rows, repeated = keyed_texts(df, key, text)
     rid = (F.xxhash64("k", "th") if repeated else F.col("k")).alias("rid")
     single = rows.dropDuplicates(["k", "th"]) if repeated else rows
@@ -287,8 +287,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     member = member.join(roots, "node", "left").select("rid", "k", "n", F.coalesce("root", "node").alias("root"))
     if repeated:
         least = member.groupBy("root").agg(F.min("k").alias("component_id"))
-        member = rows.select(rid, "k", "th").join(member.drop("k").join(least, "root"), "rid").select("k", "th", "n", "component_id")
+        member = rows.select(rid, "k", "th").join(member.drop("k").join(least, "root"), "rid").select("k", "th", "n", "component_id", "root")
     else:
-        member = member.select("k", F.lit(0).cast("long").alias("th"), "n", F.col("root").alias("component_id"))
+        member = member.select("k", F.lit(0).cast("long").alias("th"), "n", F.col("root").alias("component_id"), "root")
+    return member, repeated
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
+    """key, th, n_shingles, component_id, kept for each row; ``th`` is 0 unless a key repeats."""
+    member, _ = _members(df, key, text, shingle, percent)
     null = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
     return member.select(null("k").alias(key), "th", F.col("n").alias("n_shingles"), null("component_id").alias("component_id"), (F.col("k") == F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
+    """Exactly one row of each group, with all its columns.
+
+    That is the row with the smallest key (NULL first); of rows that share it, the one with the smallest
+    text hash, and of rows that repeat both, the least by all columns.
+    """
+    member, repeated = _members(df, key, text, shingle, percent)
+    k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
+    if not repeated:
+        gone = member.filter("k <> component_id").select(F.col("k").alias("_k"))
+        return df.join(gone, k == F.col("_k"), "left_anti")
+    # repeated rows meet within a task before the shuffle
+    th = text_hash(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    one = df.groupBy(k.alias("_k"), th.alias("_th")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_row"))
+    first = member.groupBy("root").agg(F.min(F.struct("k", "th")).alias("first")).select(F.col("first.k").alias("_k"), F.col("first.th").alias("_th"))
+    return one.join(first, ["_k", "_th"], "left_semi").select("_row.*")
