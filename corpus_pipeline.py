@@ -7,10 +7,9 @@ read again as the next stage's documents. All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspark.llm import neardup, packing, passages, quality, toxicity
-from veilspark.llm.common import read, text_hash, written
+from veilspark.llm.common import read, written
 
 #: SQL has neither the learned grammar of the second stage nor the vocabulary of the last.
 ORACLE_SQL = None
@@ -18,16 +17,9 @@ ORACLE_SQL = None
 SHINGLE, PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows that are not among (doc_id, th); th 0 stands for any text."""
-    gone = rejected.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & ((F.col("_th") == 0) | (F.col("_th") == text_hash(F.coalesce(docs["text"], F.lit("")))))
-    return docs.join(gone, same, "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or consist mostly of lines their host repeats."""
-    return _without(docs, quality.quality_rules(docs).filter("NOT kept"))
+    """Rejects documents that fail the base rules or consist mostly of lines their host repeats; removes such lines from the others, n_chars follows."""
+    return quality.kept_documents(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,23 @@ def test_copies_are_not_boilerplate(frame):
     assert all(r.kept for r in got)
 
 
+def test_lines_above_the_limit_are_removed(frame):
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    body = {i: (line(), line()) for i in range(90)}
+    # the footer stands in each document, with other digits and spaces; the same line is not above the limit of the other host
+    docs = [(i, f"{a}\n\n Page  {i} of THE site\n{b}\npage 7 of the site", "en", "s") for i, (a, b) in body.items()]
+    docs += [(100, body[0][0] + "\npage 1 of the site", "en", "u"), (None, line() + "\npage 1 of the site", "en", "s"), (101, "page 1 of the site\n" * 30, "en", "s"), (102, None, "en", "s")]
+    df = frame(docs)
+    out = quality.kept_documents(df)
+    assert out.schema == df.schema
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == out.count() == 92 and all(r.n_chars == len(r.text) for r in got.values())
+    assert all(got[i].text == f"{a}\n\n{b}" for i, (a, b) in body.items())
+    assert got[100].text == docs[90][1] and got[None].text == docs[91][1].split("\n")[0]
+    assert quality.kept_documents(df.filter("false")).count() == 0
+
+
 # --- URLs
 
 

@@ -2,7 +2,7 @@
 
 DataFrame functions only.  Every line is hashed in a normalised form and counted over the
 distinct documents of its host; a document that consists mostly of lines above the limit is
-depleted and goes.
+depleted and goes, and ``kept_documents`` removes such lines from the others.
 
 Copies must not make each other look like boilerplate: documents are told apart by the
 smallest line digest they hold (a one-value MinHash of their lines), so that a family of
@@ -91,7 +91,7 @@ def document_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host:
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """k, th, line_chars and removed_chars of the documents that hold a line above the limit (one row for repeated rows)."""
+    """k, th, line_chars, removed_chars and the hashes of the lines, for documents that hold a line above the limit (one row for repeated rows)."""
     lines = document_lines(df, key, text, host)
     sizes = df.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
     # equal lines of one document identity meet before the shuffle, and again before they are counted
@@ -101,16 +101,36 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.select("k", "th", "lh", "n", "total", F.pmod(F.xxhash64("k", "th"), F.lit(SALTS)).cast("int").alias("salt"))
     hit = salted.join(above, ["lh", "salt"]).select("k", "th", "lh", "n", "total").distinct()
-    return hit.groupBy("k", "th").agg(F.max("total").cast("long").alias("line_chars"), F.sum("n").cast("long").alias("removed_chars"))
+    return hit.groupBy("k", "th").agg(F.max("total").cast("long").alias("line_chars"), F.sum("n").cast("long").alias("removed_chars"), F.collect_list("lh").alias("above"))
 
 
-def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """A row for each row of ``df``: the key, the base counts, base_failed, removed_chars, kept; ``th`` is the hash of the text."""
+def _judged(df: DataFrame, key: str, text: str, host: str, line_docs: int, line_share: float, left_share: float) -> DataFrame:
+    """A row for each row of ``df``: k, th, the base counts, base_failed, removed_chars, kept, above (NULL without lines above the limit)."""
     removed = removed_lines(df, key, text, host, line_docs, line_share).withColumnsRenamed({"k": "rk", "th": "rth"})
     counts = text_counts(df, key, text)
     joined = counts.join(removed, F.col("k").eqNullSafe(F.col("rk")) & (F.col("th") == F.col("rth")), "left")
     depleted = F.coalesce(F.col("line_chars") - F.col("removed_chars") < left_share * F.col("line_chars"), F.lit(False))
     return joined.select(
-        F.col("k").alias(key), "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"), (~F.col("base_failed") & ~depleted).alias("kept"),
+        "k", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"), (~F.col("base_failed") & ~depleted).alias("kept"), "above",
     )
+
+
+def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """A row for each row of ``df``: the key, the base counts, base_failed, removed_chars, kept; ``th`` is the hash of the text."""
+    return _judged(df, key, text, host, line_docs, line_share, left_share).drop("above").withColumnRenamed("k", key)
+
+
+def kept_documents(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", chars: str | None = "n_chars", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """The rows that are kept, with all their columns, lines above the limit removed from the text; ``chars`` names a column with its length."""
+    judged = _judged(df, key, text, host, line_docs, line_share, left_share).filter(~F.col("kept") | F.col("above").isNotNull())
+    judged = judged.select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("kept").alias("_kept"), F.col("above").alias("_above")).dropDuplicates(["_k", "_th"])
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    h = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    rows = df.join(judged, df[key].eqNullSafe(F.col("_k")) & (text_hash(t) == F.col("_th")), "left").filter(F.coalesce("_kept", F.lit(True)))
+    left = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains("_above", F.xxhash64(h, normal_line(x)))), "\n")
+    rows = rows.withColumn("_left", F.when(F.col("_above").isNotNull(), left))
+    new = {text: F.coalesce("_left", text)}
+    if chars in df.columns:
+        new[chars] = F.coalesce(F.length("_left").cast(df.schema[chars].dataType), F.col(chars))
+    return rows.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
