@@ -84,6 +84,25 @@ def test_passages_cut_from_rows(frame):
         assert removed or r.text == dict(docs)[k]
 
 
+def test_spans_do_not_depend_on_the_place(monkeypatch):
+    """A window and its copy beyond the places that the low bits hold have one key and one content."""
+    monkeypatch.setattr(blocks, "PLACE_BITS", 8)
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    values[2000:2100] = values[50:150]
+    doc = np.zeros(len(values), np.int64)
+    take = np.zeros(len(values) - 34, bool)
+    take[50:116] = take[2000:2066] = True
+    first, n, least, content = blocks.spans_of(blocks.Rolling(values), doc, 35, 5, take)
+    a, b = first < 1000, first >= 1000
+    assert a.sum() > 1 and (first[a] + 1950 == first[b]).all()
+    assert (n[a] == n[b]).all() and (least[a] == least[b]).all() and (content[a] == content[b]).all()
+    grams = blocks.mix(blocks.Rolling(values).every(5))
+    high = grams >> np.uint64(8)
+    want = [i + int(np.argmin(high[i : i + 31])) for i in range(len(grams) - 30)]
+    assert blocks.least_places(grams, 31).tolist() == want
+
+
 # --- suffixes
 
 

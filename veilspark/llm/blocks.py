@@ -321,7 +321,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-_PLACE = np.uint64((1 << 22) - 1)
+#: Low bits of a value that hold its place within a piece.
+PLACE_BITS = 22
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` consecutive values, the first of equal ones. Worked on in pieces that overlap, so that any place fits."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    step = (1 << PLACE_BITS) - width + 1  # windows of a piece
+    places = []
+    for at in range(0, len(values) - width + 1, step):
+        piece = values[at : at + step + width - 1]
+        places.append((sliding_least((piece & ~low) | np.arange(len(piece), dtype=np.uint64), width) & low).astype(np.int64) + at)
+    return np.concatenate(places)
 
 
 def spans_of(rolling: Rolling, doc: np.ndarray, window: int, gram: int, take: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -331,14 +343,14 @@ def spans_of(rolling: Rolling, doc: np.ndarray, window: int, gram: int, take: np
     the same place. ``doc`` gives the text of each value, windows lie in one text; ``take`` selects windows.
     """
     grams = mix(rolling.every(gram))
-    place = sliding_least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), window - gram + 1) & _PLACE
+    place = least_places(grams, window - gram + 1)
     valid = doc[: len(place)] == doc[window - 1 :]
     if take is not None:
         valid &= take[: len(place)]
     same = valid[1:] & valid[:-1] & (place[1:] == place[:-1]) & (doc[1 : len(place)] == doc[: len(place) - 1])
     first = np.flatnonzero(valid & ~np.concatenate(([False], same)))
     n = np.flatnonzero(valid & ~np.concatenate((same, [False]))) - first + 1
-    at = place[first].astype(np.int64)
+    at = place[first]
     shape = ((at - first) * 4096 + n).astype(np.uint64)
     return first, n, grams[at], mix(rolling.window(first, first + n - 1 + window) ^ mix(shape))
 
