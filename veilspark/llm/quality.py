@@ -7,7 +7,9 @@ depleted and goes, and ``kept_documents`` removes such lines from the others.
 Copies must not make each other look like boilerplate: documents are told apart by the
 smallest line digest they hold (a one-value MinHash of their lines), so that a family of
 exact or near copies counts about once while a line pasted into unrelated documents counts
-for each of them.
+for each of them that has a smaller digest than the lines they share.  Documents whose smallest
+digest is a shared line count as one for all their lines, so such lines are undercounted; the
+query's SQL defines the count this way.
 
 Defined results: a NULL or blank text has no words, fails the base rules and is not kept; a
 NULL host is a host of its own; repeated rows are judged each; ties don't arise; an empty
