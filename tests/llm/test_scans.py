@@ -100,7 +100,6 @@ def test_odd_rows_and_no_labels(spark, frame, odd):
 
 
 def brute_quality(docs, line_docs, line_share, left):
-    import hashlib
     from collections import defaultdict
 
     hosts, idents, sizes = defaultdict(set), {}, defaultdict(int)
@@ -109,7 +108,7 @@ def brute_quality(docs, line_docs, line_share, left):
         norm = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower())
         own = {norm(x) for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)}
         lines.append(own)
-        idents[i] = min((hashlib.md5(x.encode()).hexdigest() for x in own), default=None)
+        idents[i] = frozenset(own)
         sizes[h or ""] += 1
         for x in own:
             hosts[h or "", x].add(idents[i])
@@ -152,6 +151,25 @@ def test_copies_are_not_boilerplate(frame):
     assert all(r.kept for r in got)
 
 
+def test_documents_that_are_mostly_shared_lines(frame):
+    """30 menu lines and one line of its own in each document: each document counts, whatever the hashes of the lines."""
+    rng = random.Random(2)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    menu = [line(3) for _ in range(30)]
+    docs = [(i, "\n".join([*menu, line(12)]), "en", "s") for i in range(60)] + [(1000 + i, line(70), "en", "s") for i in range(200)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(docs)).collect()}
+    assert all(got[i].removed_chars == sum(map(len, menu)) and not got[i].kept for i in range(60))
+    assert all(got[1000 + i].kept and got[1000 + i].removed_chars == 0 for i in range(200))
+
+
+def test_a_line_at_the_limit_stays(frame):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(60))
+    docs = [(i, line() + "\nthe footer", "en", "a" if i < 20 else "b") for i in range(41)]
+    got = {r.doc_id: r.removed_chars for r in quality.quality_rules(frame(docs)).collect()}
+    assert all(got[i] == (0 if i < 20 else len("the footer")) for i in range(41))
+
+
 def test_lines_above_the_limit_are_removed(frame):
     rng = random.Random(6)
     line = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))

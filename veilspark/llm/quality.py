@@ -4,16 +4,14 @@ DataFrame functions only.  Every line is hashed in a normalised form and counted
 distinct documents of its host; a document that consists mostly of lines above the limit is
 depleted and goes, and ``kept_documents`` removes such lines from the others.
 
-Copies must not make each other look like boilerplate: documents are told apart by the
-smallest line digest they hold (a one-value MinHash of their lines), so that a family of
-exact or near copies counts about once while a line pasted into unrelated documents counts
-for each of them that has a smaller digest than the lines they share.  Documents whose smallest
-digest is a shared line count as one for all their lines, so such lines are undercounted; the
-query's SQL defines the count this way.
-
-Defined results: a NULL or blank text has no words, fails the base rules and is not kept; a
-NULL host is a host of its own; repeated rows are judged each; ties don't arise; an empty
-table gives no rows; columns other than the three named ones are ignored.
+A distinct document is a distinct set of normalised lines: exact copies, and rows that repeat,
+count once, so that they don't make each other look like boilerplate; a document that differs
+in any line counts for itself, however many lines it shares.
+
+Defined results: a NULL or blank text has no words and no lines, fails the base rules and is
+not kept; a NULL host is the empty one; repeated rows are judged each and alike; a line at the limit
+is not above it; texts are read whole, however long; a NULL key is a key of its own; an empty
+table gives no rows; columns other than the three named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import NOT_SPACE, SPACE, text_hash
+from veilspark.llm.common import NOT_SPACE, SPACE, text_hash, written
 
 # Fixed values of the base rules.
 MIN_WORDS = 50
@@ -82,21 +80,22 @@ def text_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def document_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """A row for each distinct normalised line of each row: key, text hash, host, line hash (within the host), characters, the document's identity."""
+    """A row for each distinct normalised line of each row: key, text hash, host, line hash (within the host), characters; ``ident`` is the hash of all the row's lines, ``total`` their characters."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     h = F.coalesce(F.col(host).cast("string"), F.lit(""))
     rows = df.select(F.col(key).alias("k"), text_hash(t).alias("th"), h.alias("host"), F.array_distinct(F.transform(_lines(t), normal_line)).alias("l"))
-    rows = rows.withColumns({"ident": F.xxhash64(F.array_min(F.transform("l", F.md5))), "total": F.length(F.array_join("l", ""))})
-    # not explode: for that the optimiser infers a filter on the array and computes it twice
-    rows = rows.select("k", "th", "host", "ident", "total", F.explode_outer("l").alias("line")).filter("line IS NOT NULL")
-    return rows.select("k", "th", "host", "ident", "total", F.xxhash64("host", "line").alias("lh"), F.length("line").alias("n"))
+    rows = rows.withColumn("s", F.transform("l", lambda x: F.struct(F.xxhash64("host", x).alias("lh"), F.length(x).alias("n"))))
+    rows = rows.withColumns({"ident": F.xxhash64(F.sort_array(F.col("s.lh"))), "total": F.aggregate("s.n", F.lit(0).cast("long"), lambda a, x: a + x)})
+    # not inline: for that the optimiser infers a filter on the array and computes it twice
+    return rows.select("k", "th", "host", "ident", "total", F.inline_outer("s")).filter("lh IS NOT NULL")
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """k, th, line_chars, removed_chars and the hashes of the lines, for documents that hold a line above the limit (one row for repeated rows)."""
-    lines = document_lines(df, key, text, host)
+    # read twice, so split, normalised and hashed once
+    lines = written(document_lines(df, key, text, host), "lines")
     sizes = df.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    # equal lines of one document identity meet before the shuffle, and again before they are counted
+    # equal lines of one document meet before the shuffle, and again before they are counted
     counted = lines.select("host", "lh", "ident").distinct().groupBy("host", "lh").agg(F.count("*").alias("n_docs"))
     above = counted.filter(F.col("n_docs") > line_docs).join(sizes, "host").filter(F.col("n_docs") > line_share * F.col("host_docs")).select("lh")
     # a line that a third of the documents share is dealt over SALTS tasks; the few lines above the limit are repeated for each
