@@ -11,14 +11,22 @@ more than six deviations below the threshold go; all others are confirmed on ful
 Groups are never expanded into pairs:
 
 1. Documents with equal sets are one node.
-2. In each group of a key every node is held against one other, the one that shares most
-   keys with others (a source that all copies resemble).  That is a pair for each row.
-3. Components of confirmed links.  Only where a key's group still falls into several
-   components are nodes of the smaller ones paired with nodes of others, each pair at the first key
-   they share and only if they share a second one (a linked pair does not with a probability
-   below 5e-8).  Shingles that no other node of these groups has can't be shared, so they bound
-   what two nodes may have in common: copies with many edits of their own, which share keys
-   with all their kin but are linked with none, drop out before they are paired.
+2. In each group of a key every node is held against one other, the group's head: the one that
+   shares most keys with others (a source that all copies resemble).  That is a pair for each row.
+3. Components of confirmed links.  Only where a key's group still falls into several components
+   links may be left that no head shows, and they are sought by what nodes differ in from the head.
+   With D(x) = x minus H and H minus x together, the difference of x and y has
+   |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, and x and y are linked if these are at most t of
+   |x| + |y|, t = (100 - percent) / (100 + percent).  So linked nodes share at least
+   o = (w(x) + w(y)) / 2 elements of D, w(x) = |D(x)| - t |x|; and o > 0 unless both are linked
+   with H.  Hence, with elements in one order, rarest first, the first |D(x)| - o + 1 of x and the
+   first |D(y)| - o + 1 of y have one in common.  Nodes of a head are put into classes by w; a node
+   emits for each class of partners as many elements as the class' least w demands.  Elements that
+   no other node has take their places in that prefix but are not emitted, so that a copy with
+   many edits of its own emits nothing, however many others share its keys.
+4. Rows that share (head, classes, element) are groups again, to which 2 and 3 are applied: each
+   node against a head of the group; and in those that still fall into several components, nodes
+   outside the largest component against nodes of other components.
 
 So no cap drops a candidate. Components are found by alternating stars over tables in the
 shared folder; nothing of the size of the corpus reaches the driver.
@@ -26,12 +34,15 @@ shared folder; nothing of the size of the corpus reaches the driver.
 Defined results: texts without words have an empty set and are linked with nothing; with
 fewer words than a shingle has, all of them are one shingle; rows equal in key and text are one
 document; rows that repeat a key with other texts are nodes of their own, and component_id is
-the smallest key of the component; a NULL key counts as the smallest and comes out as NULL;
-an empty table gives no rows; columns other than the two named ones are ignored.
+the smallest key of the component; ties between heads go to the smallest key, which changes no
+result; a NULL key counts as the smallest and comes out as NULL; very long texts are hashed in pieces
+and confirmed whole; an empty table gives no rows; columns other than the two named ones are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,8 +59,10 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS
 #: Two different minima agree in a register with this probability: equal zeros (1/3) and equal mantissas.
 BY_CHANCE = 2.0**-MANTISSA / 3
-#: Keys that a pair of different components shares at least.
-SHARED = 2
+#: Nodes of a head are put into classes of w as wide as what the head's own size allows, divided by STEPS; far ones into classes that grow by FAR.
+STEPS, FAR = 8, 1.25
+#: Classes of equal sets with so many documents are dealt over SALTS tasks.
+LARGE_CLASS, SALTS = 1_000, 64
 NULL_KEY = -(1 << 63)
 
 
@@ -156,20 +169,71 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["node", "n", "keys"])
 
 
-def _shingles(k: int):
-    """(rid, z) to (h, node), a row for each shingle of the set."""
+def _differences(k: int, percent: int):
+    """(node, z, root, head, z of the head) to (head, node, root, size, w, class, d): w times 100 + percent, and the elements of D."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] | None = None
         for batch in small_batches(batches):
             data = unpack(batch.column(1))
+            heads = batch.column(3).to_pylist()
             for part in slices(data):
-                sets = shingle_sets(data[part], k)
-                node = np.repeat(batch.column(0).to_numpy()[part], [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], ["h", "node"])
+                rows: list[tuple] = []
+                for i, own in zip(range(part.start, part.stop), shingle_sets(data[part], k), strict=True):
+                    if last is None or last[0] != heads[i]:
+                        last = heads[i], shingle_sets([unpack_one(batch.column(4)[i].as_py())], k)[0]
+                    d = np.setxor1d(own, last[1], assume_unique=True)
+                    w = (100 + percent) * len(d) - (100 - percent) * len(own)
+                    rows.append((len(d), w, weight_class(w, len(last[1]), percent), d.view(np.int64)))
+                n, w, c, d = zip(*rows, strict=True)
+                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                size = part.stop - part.start
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(j).slice(part.start, size) for j in (3, 0, 2)), pa.array(n, pa.int64()), pa.array(w, pa.int64()), pa.array(c, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(d))],
+                    ["head", "node", "root", "size", "w", "class", "d"],
+                )
 
     return run
 
 
+DIFFERENCES_DDL = "head long, node long, root long, size long, w long, class long, d array<long>"
+
+
+def weight_class(w: int, head_size: int, percent: int) -> int:
+    """Below 2 * STEPS if the node is linked with the head; w is at least -(100 - percent) * head_size."""
+    unit = max(1, (100 - percent) * head_size)
+    above = w + unit
+    if above <= 2 * unit:
+        return min(2 * STEPS - 1, STEPS * above // unit)
+    if above < 5 * unit:
+        return STEPS * above // unit
+    return 5 * STEPS + int(math.log(above / (5 * unit), FAR))
+
+
+def prefix_keys(differences: DataFrame, percent: int) -> DataFrame:
+    """key, node, root: what a node's prefixes hold besides elements of its own, for each class of partners in its head's groups."""
+    facts = ["head", "node", "root", "size", "w", "class"]
+    each = differences.select(*facts, F.explode("d").alias("h"))
+    shared = each.groupBy("head", "h").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = each.join(shared, ["head", "h"]).groupBy(*facts).agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("common"))
+    # a head has some 50 classes
+    kinds = differences.groupBy("head", "class").agg(F.min("w").alias("least"), F.max("size").alias("most"), F.count("*").alias("c"))
+    kinds = kinds.groupBy("head").agg(F.collect_list(F.struct(F.col("class").alias("other"), "least", "most", "c")).alias("kinds"))
+    rows = ordered.join(kinds, "head")
+    linked = F.lit(2 * STEPS)
+
+    def emitted(kind):
+        """How many of the elements it shares with any other the node emits for a class."""
+        overlap = F.greatest(F.lit(1), F.ceil((F.col("w") + kind["least"]) / (2 * (100 + percent))).cast("int"))
+        some = ((F.col("class") >= linked) | (kind["other"] >= linked)) & (overlap <= F.least("size", kind["most"])) & ((kind["other"] != F.col("class")) | (kind["c"] > 1))
+        # elements of its own come first
+        return F.when(some, F.greatest(F.lit(0), F.least(F.col("size").cast("int") - overlap + 1 - (F.col("size").cast("int") - F.size("common")), F.size("common")))).otherwise(0)
+
+    sent = F.filter(F.transform("kinds", lambda x: F.struct(x["other"].alias("other"), emitted(x).alias("n"))), lambda x: x["n"] > 0)
+    keys = F.flatten(F.transform(sent, lambda x: F.transform(F.slice("common", F.lit(1), x["n"]), lambda h: F.xxhash64("head", F.least("class", x["other"]), F.greatest("class", x["other"]), h))))
+    return rows.withColumn("keys", keys).filter("size(keys) > 0").select("node", "root", F.explode("keys").alias("band"))
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[int, frozenset]] = {}
@@ -235,6 +299,55 @@ def _fits(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def star_pairs(groups: DataFrame) -> DataFrame:
+    """band, node, n, head, head_n: of each group the node that shares most keys with others is the head."""
+    sizes = groups.groupBy("band").agg(F.count("*").alias("size"))
+    weight = groups.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = groups.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "node", "n")).alias("head"))
+    return groups.join(heads.select("band", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "band")
+
+
+def split_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the groups that fall into several components, with ``root``."""
+    placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    return placed.join(split, "band")
+
+
+def late_links(groups: DataFrame, links: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links, and the roots: those that heads have shown and those between nodes that no head shows."""
+    roots = written(components(links), "roots")
+    open_ = written(split_groups(groups, roots).filter("node <> head").select("head", "node", "n", "root").distinct(), "open")
+    some = open_.select("node").unionByName(open_.select(F.col("head").alias("node"))).distinct()
+    bodies = written(bodies.join(some, F.col("rid") == F.col("node"), "left_semi"), "open-bodies")
+    mine = bodies.select(F.col("rid").alias("rn"), F.col("z").alias("zn"))
+    theirs = bodies.select(F.col("rid").alias("rh"), F.col("z").alias("zh"))
+    both = open_.join(mine, F.col("node") == F.col("rn")).select("node", "zn", "root", "head").join(theirs, F.col("head") == F.col("rh")).select("node", "zn", "root", "head", "zh")
+    differences = written(both.mapInArrow(_differences(shingle, percent), DIFFERENCES_DDL), "differences")
+    sizes = open_.groupBy("node").agg(F.max("n").alias("n"))
+    keyed = prefix_keys(differences, percent)
+    split = keyed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    narrow = written(keyed.join(split, "band").join(sizes, "node").select("band", "node", "n", "root"), "narrow")
+
+    stars = written(star_pairs(narrow), "narrow-stars")
+    pairs = stars.filter(F.col("node") != F.col("head")).filter(_fits("n", "head_n", percent)).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    more = written(confirmed(pairs, bodies, shingle, percent), "links")
+    links = links.unionByName(more)
+    roots = written(components(links), "roots")
+    left = split_groups(narrow.select("band", "node", "n"), roots)
+    # the largest component of each group; of two nodes of different components one is outside it
+    major = left.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("major"))
+    left = written(left.join(major, "band"), "narrow-left")
+    minor = left.filter("root <> major").select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+    once = (F.col("root") == F.col("major")) | (F.col("node") < F.col("b"))
+    crossed = left.join(minor, "band").filter((F.col("root") != F.col("root_b")) & once & _fits("n", "m", percent))
+    last = written(confirmed(crossed.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), bodies, shingle, percent), "links")
+    if last.isEmpty():
+        return links, roots
+    links = links.unionByName(last)
+    return links, components(links)
+
+
 def _members(df: DataFrame, key: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, bool]:
     """k, th, n, component_id, root for each row, and whether a key repeats: only ``root`` tells groups apart whose smallest keys are equal."""
     rows, repeated = keyed_texts(df, key, text)
@@ -242,12 +355,12 @@ def _members(df: DataFrame, key: str, text: str, shingle: int, percent: int) ->
     single = rows.dropDuplicates(["k", "th"]) if repeated else rows
     sketches = written(single.select(rid, "k", "t").mapInArrow(_sketches(shingle), SKETCH_DDL), "sketches")
 
-    classes = sketches.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("node"))
+    classes = written(sketches.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("node"), F.count("*").alias("size")), "classes")
     nodes = classes.select("node", "n").join(sketches.select("rid", "sketch"), F.col("node") == F.col("rid")).select("node", "n", "sketch")
-    nodes = written(nodes.mapInArrow(_keys, "node long, n long, keys array<long>"), "keys")
-    bands = nodes.select("node", "n", F.explode("keys").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    groups = written(bands.join(shared, "band").select("band", "node", "n", "size"), "groups")
+    nodes = nodes.mapInArrow(_keys, "node long, n long, keys array<long>")
+    bands = written(nodes.select("node", "n", F.explode("keys").alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
+    groups = written(star_pairs(bands.join(shared, "band")), "groups")
 
     # the texts of nodes that share a key with another
     some = groups.select("node").distinct()
@@ -255,36 +368,17 @@ def _members(df: DataFrame, key: str, text: str, shingle: int, percent: int) ->
     bodies = packed(single).select(rid, "z").join(some, F.col("rid") == F.col("node"), "left_semi").join(registers_of, F.col("rid") == F.col("srid")).select("rid", "z", "sketch")
     bodies = written(bodies, "bodies")
 
-    weight = groups.groupBy("node").agg(F.sum("size").alias("weight"))
-    heads = groups.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "node", "n")).alias("head"))
-    stars = groups.join(heads, "band").filter(F.col("node") != F.col("head.node")).filter(_fits("n", "head.n", percent))
-    pairs = stars.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    pairs = groups.filter(F.col("node") != F.col("head")).filter(_fits("n", "head_n", percent)).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = written(confirmed(pairs, bodies, shingle, percent), "links")
-
-    roots = components(links)
-    placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    open_ = placed.join(split, "band").select("band", "node", "n", "root")
-    # the largest component of each group; of two nodes of different components one is outside it
-    sizes = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("major"))
-    kin = open_.select("node").distinct()
-    shingles = bodies.select("rid", "z").join(kin, F.col("rid") == F.col("node"), "left_semi").mapInArrow(_shingles(shingle), "h long, node long")
-    single_use = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-    own = single_use.groupBy("node").agg(F.count("*").alias("own"))
-    facts = nodes.select("node", "keys").join(kin, "node", "left_semi").join(own, "node", "left").select("node", "keys", F.coalesce("own", F.lit(0)).alias("own"))
-    open_ = open_.join(facts, "node").join(major, "band")
-    minor = open_.filter("root <> major").select("band", *(F.col(c).alias(d) for c, d in (("node", "b"), ("n", "m"), ("root", "root_b"), ("keys", "keys_b"), ("own", "own_b"))))
-    most = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("own_b"))
-    both = F.filter(F.zip_with("keys", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    once = (F.col("root") == F.col("major")) | (F.col("node") < F.col("b"))
-    crossed = open_.join(minor, "band").filter((F.col("root") != F.col("root_b")) & once).filter(100 * most >= percent * (F.col("n") + F.col("m") - most))
-    crossed = crossed.filter((F.get(both, F.lit(0)) == F.col("band")) & (F.size(both) >= SHARED)).select(F.col("node").alias("a"), "b")
-    late = confirmed(crossed, bodies, shingle, percent)
-    roots = components(links.unionByName(late))
-
-    member = sketches.select("rid", "k", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("rid", "k", "n", F.coalesce("node", "rid").alias("node"))
-    member = member.join(roots, "node", "left").select("rid", "k", "n", F.coalesce("root", "node").alias("root"))
+    _, roots = late_links(groups, links, bodies, shingle, percent)
+
+    # a class of many documents is dealt over SALTS tasks, the others meet theirs as a whole
+    rooted = classes.join(roots, "node", "left").select("d1", "d2", "n", "size", F.coalesce("root", "node").alias("root"))
+    salted = sketches.select("rid", "k", "n", "d1", "d2", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt"))
+    large = rooted.filter(F.col("size") >= LARGE_CLASS).select("d1", "d2", "n", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    first = written(salted.join(large, ["d1", "d2", "n", "salt"], "left"), "members")
+    others = first.filter("root IS NULL").drop("root").join(rooted.filter(F.col("size") < LARGE_CLASS), ["d1", "d2", "n"], "left")
+    member = first.filter("root IS NOT NULL").select("rid", "k", "n", "root").unionByName(others.select("rid", "k", "n", F.coalesce("root", "rid").alias("root")))
     if repeated:
         least = member.groupBy("root").agg(F.min("k").alias("component_id"))
         member = rows.select(rid, "k", "th").join(member.drop("k").join(least, "root"), "rid").select("k", "th", "n", "component_id", "root")
