@@ -206,6 +206,103 @@ def test_components_that_a_head_does_not_join(frame):
     assert got == brute_groups(docs, 2) and 1 < len({r[2] for r in got}) < len(docs)
 
 
+def brute_components(docs, k, percent=80):
+    """Smallest key of each document's component, with all intersections from one product of matrices."""
+    sets = [neardup.exact_set(t.encode(), k) for _, t in docs]
+    number = {}
+    m = np.zeros((len(docs), len(set().union(*sets))), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [number.setdefault(g, len(number)) for g in x]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    low = np.arange(len(docs))
+    while True:
+        new = np.where(linked, low[None, :], len(docs)).min(axis=1)
+        if (new == low).all():
+            return {docs[i][0]: docs[j][0] for i, j in enumerate(low.tolist())}
+        low = new
+
+
+def test_many_edited_copies(frame, monkeypatch):
+    """Copies with many edits from a small vocabulary: nearly all share keys, few are linked, and few pairs are held against each other."""
+    rng = random.Random(77)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(400)]
+    docs = []
+    for i in range(900):
+        words = list(base)
+        for _ in range(rng.randint(6, 34)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1])] = [rng.choice(vocabulary)]
+        docs.append((i, " ".join(words)))
+    # a second family that resembles the first, all of its members linked with each other
+    second = [w if rng.random() > 0.12 else rng.choice(vocabulary) for w in base]
+    for i in range(300):
+        words = list(second)
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        docs.append((2000 + i, " ".join(words)))
+    docs.append((5000, " ".join(base)))
+    counts, confirmed = [], neardup.confirmed
+
+    def counted(pairs, *args):
+        counts.append(pairs.count())
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(docs)).collect()}
+    want = brute_components(docs, 2)
+    assert got == want and 20 < len(set(want.values())) < 900
+    assert max(counts) < 12 * len(docs)
+
+
+def test_linked_sets_share_a_prefix_key(spark):
+    """Whatever the sets: two linked ones of which at least one isn't linked with the head have a key in common."""
+    rng = np.random.default_rng(8)
+    for percent in (80, 60, 100):
+        head = np.arange(1, 61, dtype=np.uint64)
+        sets = []
+        for _ in range(150):
+            kept = rng.permutation(head)[: rng.integers(25, 61)]
+            sets.append(np.unique(np.concatenate((kept, rng.integers(100, 130, rng.integers(0, 25)).astype(np.uint64)))))
+        rows = []
+        for i, x in enumerate(sets):
+            d = np.setxor1d(x, head)
+            w = (100 + percent) * len(d) - (100 - percent) * len(x)
+            rows.append((7, i, i, len(d), w, neardup.weight_class(w, len(head), percent), d.astype(np.int64).tolist()))
+        keys = {}
+        for r in neardup.prefix_keys(spark.createDataFrame(rows, neardup.DIFFERENCES_DDL).repartition(3), percent).collect():
+            keys.setdefault(r.node, set()).add(r.band)
+        near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+        with_head = [near(x, head) for x in sets]
+        linked = 0
+        for i in range(len(sets)):
+            assert (rows[i][5] < 2 * neardup.STEPS) == with_head[i]
+            for j in range(i):
+                if near(sets[i], sets[j]) and not (with_head[i] and with_head[j]) and len(np.setxor1d(sets[i], sets[j])):
+                    linked += 1
+                    assert keys.get(i, set()) & keys.get(j, set()), (percent, i, j)
+        assert linked > 10 or percent == 100
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(5)
+    missed = 0
+    for n in (9, 18, 45, 90, 450):
+        both, own = n * 8 // 9, n - n * 8 // 9
+        for _ in range(400):
+            v = rng.integers(0, 1 << 63, both + 2 * own, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            a, b = neardup.band_keys(neardup.registers([np.sort(v[: both + own]), np.sort(np.concatenate((v[:both], v[both + own :])))]))
+            missed += not (a == b).any()
+    assert missed == 0
+
+
+def test_large_classes_of_equal_sets(frame, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE_CLASS", 5)
+    docs = [(i, "the same words in all of these") for i in range(1, 40)] + [(50, "other words"), (51, "other words"), (60, ""), (61, None)]
+    got = sorted(map(tuple, neardup.near_duplicates(frame(docs)).drop("th").collect()), key=repr)
+    assert got == brute_groups(docs, 2)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     for share in (0.5, 0.8, 0.95):

@@ -22,8 +22,9 @@ Groups are never expanded into pairs:
    with H.  Hence, with elements in one order, rarest first, the first |D(x)| - o + 1 of x and the
    first |D(y)| - o + 1 of y have one in common.  Nodes of a head are put into classes by w; a node
    emits for each class of partners as many elements as the class' least w demands.  Elements that
-   no other node has take their places in that prefix but are not emitted, so that a copy with
-   many edits of its own emits nothing, however many others share its keys.
+   only one node has, or only nodes linked with the head, or only nodes of one component, can't show
+   a link: they come first in the order and take their places in the prefix, but are not emitted.  So a
+   copy with many edits of its own emits nothing, however many others share its keys.
 4. Rows that share (head, classes, element) are groups again, to which 2 and 3 are applied: each
    node against a head of the group; and in those that still fall into several components, nodes
    outside the largest component against nodes of other components.
@@ -63,6 +64,7 @@ BY_CHANCE = 2.0**-MANTISSA / 3
 STEPS, FAR = 8, 1.25
 #: Classes of equal sets with so many documents are dealt over SALTS tasks.
 LARGE_CLASS, SALTS = 1_000, 64
+HEAD_SALTS = 16
 NULL_KEY = -(1 << 63)
 
 
@@ -211,23 +213,28 @@ def weight_class(w: int, head_size: int, percent: int) -> int:
 
 
 def prefix_keys(differences: DataFrame, percent: int) -> DataFrame:
-    """key, node, root: what a node's prefixes hold besides elements of its own, for each class of partners in its head's groups."""
+    """key, node, root: the useful elements of a node's prefixes, for each class of partners in its head's groups."""
     facts = ["head", "node", "root", "size", "w", "class"]
-    each = differences.select(*facts, F.explode("d").alias("h"))
-    shared = each.groupBy("head", "h").agg(F.count("*").alias("c")).filter("c > 1")
-    ordered = each.join(shared, ["head", "h"]).groupBy(*facts).agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("common"))
-    # a head has some 50 classes
-    kinds = differences.groupBy("head", "class").agg(F.min("w").alias("least"), F.max("size").alias("most"), F.count("*").alias("c"))
-    kinds = kinds.groupBy("head").agg(F.collect_list(F.struct(F.col("class").alias("other"), "least", "most", "c")).alias("kinds"))
-    rows = ordered.join(kinds, "head")
     linked = F.lit(2 * STEPS)
+    each = differences.select(*facts, F.explode("d").alias("h"))
+    useful = each.groupBy("head", "h").agg(F.count("*").alias("c"), F.max("class").alias("far"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("far") >= linked) & (F.col("lo") != F.col("hi")))
+    ordered = each.join(useful.select("head", "h", "c"), ["head", "h"]).groupBy(*facts).agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("common"))
+    # read twice, so computed once
+    ordered = written(ordered, "ordered")
+    # a head has some 50 classes; of a class: its least w, its largest size, and up to which w of a partner one of it has a useful element in its prefix
+    per_overlap = 2 * (100 + percent)
+    kinds = ordered.groupBy("head", "class").agg(F.min("w").alias("least"), F.max("size").alias("most"), F.max(per_overlap * F.size("common") - F.col("w")).alias("bound"), F.count("*").alias("c"))
+    kinds = kinds.groupBy("head").agg(F.collect_list(F.struct(F.col("class").alias("other"), "least", "most", "bound", "c")).alias("kinds"))
+    # a head that a third of all nodes have is dealt over HEAD_SALTS tasks
+    kinds = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HEAD_SALTS - 1))))
+    rows = ordered.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(HEAD_SALTS)).cast("int")).join(kinds, ["head", "salt"])
 
     def emitted(kind):
-        """How many of the elements it shares with any other the node emits for a class."""
-        overlap = F.greatest(F.lit(1), F.ceil((F.col("w") + kind["least"]) / (2 * (100 + percent))).cast("int"))
-        some = ((F.col("class") >= linked) | (kind["other"] >= linked)) & (overlap <= F.least("size", kind["most"])) & ((kind["other"] != F.col("class")) | (kind["c"] > 1))
-        # elements of its own come first
-        return F.when(some, F.greatest(F.lit(0), F.least(F.col("size").cast("int") - overlap + 1 - (F.col("size").cast("int") - F.size("common")), F.size("common")))).otherwise(0)
+        """How many of its useful elements the node emits for a class."""
+        overlap = F.greatest(F.lit(1), F.ceil((F.col("w") + kind["least"]) / per_overlap).cast("int"))
+        some = ((F.col("class") >= linked) | (kind["other"] >= linked)) & (overlap <= F.least("size", kind["most"])) & ((kind["other"] != F.col("class")) | (kind["c"] > 1)) & (F.col("w") <= kind["bound"])
+        # the others come first
+        return F.when(some, F.greatest(F.lit(0), F.least(F.size("common") - overlap + 1, F.size("common")))).otherwise(0)
 
     sent = F.filter(F.transform("kinds", lambda x: F.struct(x["other"].alias("other"), emitted(x).alias("n"))), lambda x: x["n"] > 0)
     keys = F.flatten(F.transform(sent, lambda x: F.transform(F.slice("common", F.lit(1), x["n"]), lambda h: F.xxhash64("head", F.least("class", x["other"]), F.greatest("class", x["other"]), h))))
@@ -300,11 +307,12 @@ def _fits(n: str, m: str, percent: int):
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
-    """band, node, n, head, head_n: of each group the node that shares most keys with others is the head."""
+    """The rows of groups (band, node, n, maybe more of the node) with ``head``, ``head_n`` and so on: the node of the group that shares most keys with others."""
+    facts = groups.columns[2:]
     sizes = groups.groupBy("band").agg(F.count("*").alias("size"))
     weight = groups.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight"))
-    heads = groups.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "node", "n")).alias("head"))
-    return groups.join(heads.select("band", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "band")
+    heads = groups.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "node", *facts)).alias("head"))
+    return groups.join(heads.select("band", F.col("head.node").alias("head"), *(F.col(f"head.{c}").alias(f"head_{c}") for c in facts)), "band")
 
 
 def split_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -317,7 +325,7 @@ def split_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
 def late_links(groups: DataFrame, links: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All links, and the roots: those that heads have shown and those between nodes that no head shows."""
     roots = written(components(links), "roots")
-    open_ = written(split_groups(groups, roots).filter("node <> head").select("head", "node", "n", "root").distinct(), "open")
+    open_ = written(split_groups(groups.select("band", "node", "n", "head"), roots).filter("node <> head").select("head", "node", "n", "root").distinct(), "open")
     some = open_.select("node").unionByName(open_.select(F.col("head").alias("node"))).distinct()
     bodies = written(bodies.join(some, F.col("rid") == F.col("node"), "left_semi"), "open-bodies")
     mine = bodies.select(F.col("rid").alias("rn"), F.col("z").alias("zn"))
@@ -330,7 +338,7 @@ def late_links(groups: DataFrame, links: DataFrame, bodies: DataFrame, shingle:
     narrow = written(keyed.join(split, "band").join(sizes, "node").select("band", "node", "n", "root"), "narrow")
 
     stars = written(star_pairs(narrow), "narrow-stars")
-    pairs = stars.filter(F.col("node") != F.col("head")).filter(_fits("n", "head_n", percent)).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    pairs = stars.filter("root <> head_root").filter(_fits("n", "head_n", percent)).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     more = written(confirmed(pairs, bodies, shingle, percent), "links")
     links = links.unionByName(more)
     roots = written(components(links), "roots")
