@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 from veilspark import Config, CustomRule, Detector, filter_text, register_sql, scan_text
 from veilspark.functions import normalize as N
 from veilspark.functions import spans
-from veilspark.functions.entropy import high_entropy, shannon_entropy
+from veilspark.functions.entropy import high_entropy, plausible, shannon_entropy
 from veilspark.functions.rules import BUILTIN_RULES
+from veilspark.operators.detector import native_redact
 from veilspark.operators.kernel import Kernel, Match, luhn, resolve
 from veilspark.operators.messages import redact_messages, redact_tool_output
 from veilspark.plans.config import Entropy, Preprocess, Whitelist, validate_rule
@@ -81,8 +83,8 @@ def test_card_with_wrong_check_digit_is_reported_only():
 
 
 def test_empty_null_and_full_width():
-    assert kernel().filter(None) == {"text": None, "matches": None, "replacements": 0}
-    assert kernel().filter("") == {"text": "", "matches": [], "replacements": 0}
+    assert kernel().filter(None) == {"text": None, "matches": None, "replacements": 0, "truncated": False}
+    assert kernel().filter("") == {"text": "", "matches": [], "replacements": 0, "truncated": False}
     assert kernel().filter("１３９１２３４５６７８")["text"] == "[PHONE]"
 
 
@@ -152,6 +154,99 @@ def test_byte_cap(spark):
     assert got == [N.cap_text(text), "short", None]
 
 
+def test_whole_texts(spark):
+    """A hit behind 100,000 bytes: found without limits, and never passed on where a limit cuts it off."""
+    long = "x y " * 30_000 + "mail a@b.test and 2001:db8:0:0:0:0:0:1"
+    df = spark.createDataFrame([(1, long)], "doc_id int, text string")
+    whole, cut = Detector.whole(), Detector()
+    a, b, kept = df.select(whole.filter("text").alias("a"), cut.filter("text").alias("b"), cut.redact_or_keep("text").alias("k")).first()
+    assert a.text == "x y " * 30_000 + "mail [EMAIL] and [IP]" and a.replacements == 2 and not a.truncated
+    assert b.truncated and b.replacements == 0 and len(b.text) == 100_000 and kept.text == b.text
+    assert [m.rule_name for m in df.select(whole.scan("text").alias("s")).first().s] == ["email", "ipv6"]
+    assert redact_tool_output(df, "text").first().text == a.text
+    assert redact_tool_output(df, "text", cut).first().text == b.text
+    assert df.select(N.normalize_native(F.col("text")).alias("t")).select(native_redact(F.col("t"), "email").alias("r")).first().r.text.endswith("mail [EMAIL] and 2001:db8:0:0:0:0:0:1")
+    assert df.select(native_redact(F.col("text"), "ipv6").alias("r")).first().r.replacements == 1
+    assert df.select(native_redact(F.col("text"), "ipv6", Config()).alias("r")).first().r.replacements == 0
+    secret = "z" * 2000 + " zQ8vK2mP9xR4"
+    config = Config(entropy=Entropy(threshold=3.0))
+    assert kernel(config).filter(secret)["replacements"] == 0 and kernel(config.whole()).filter(secret)["replacements"] == 1
+    assert Config.from_mapping({"limits": {"max_text_bytes": 7}}).limits.max_text_bytes == 7
+
+
+def test_native_form_has_the_configuration(spark):
+    config = Config(rules={"ssn_us": False}, placeholders={"email": "<m>"}, whitelist=Whitelist(ips=("203.0.113.9",), domains=("Corp.test",), strings=("c@d.test",)))
+    text = "203.0.113.9 8.8.8.8 a@corp.test b@x.test c@d.test 123-45-6789"
+    df = spark.createDataFrame([(text,)], "t string")
+    for rule in ("ipv4", "email", "ssn_us"):
+        got = df.select(native_redact(F.col("t"), rule, config).alias("r")).first().r
+        want = kernel(config, only=frozenset([rule]), entropy=False).filter(text)
+        assert (got.text, got.replacements) == (want["text"], want["replacements"]), rule
+
+
+def test_gates_never_hide_a_match():
+    """Texts made of pieces of hits: with gates and needles the kernel finds what the patterns alone find."""
+    rng = random.Random(23)
+    pieces = [t for t, _ in POSITIVE.values()]
+    letters = [*"0159afAFxX-._:=@+?&/ \n", "ſecret=", "paſſword: ", "toKen=abcd", "apı_key=abcd", "APİ_KEY: x123", "a\u0663\u0664\u0665"]
+    k = kernel(entropy=False, config=Config().whole())
+    for _ in range(1500):
+        text = "".join(rng.choice(letters) if rng.random() < 0.7 else (p := rng.choice(pieces))[rng.randrange(len(p)) :][: rng.randint(1, 30)] for _ in range(rng.randint(1, 25)))
+        found = []
+        for rule in BUILTIN_RULES:
+            for hit in re.finditer(rule.pattern, text):
+                if hit.end() > hit.start() and not k.whitelisted(rule.name, hit[0]):
+                    found.append(Match(rule.name, rule.placeholder, *hit.span(), hit[0], 0.0, "low" if rule.name == "credit_card" and not luhn(hit[0]) else "high"))
+        assert k.matches(text) == resolve(found), text
+
+
+def test_plausible_stretches():
+    assert plausible("zQ8vK2mP9xR4")
+    for bad in ("", "aaaa", "ab\ncd", "ab\tcd", "ab\rcd", "data:text/plain;base64,QUJD", "中文字abcd", "a b c d ", "a\u3000b\u3000c"):
+        assert not plausible(bad), bad
+
+
+def test_coverage_within_a_row(spark):
+    span = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([([(0, 5), (5, 9), (20, 30)], [(4, 5), (9, 12), (29, 40)])], f"e {span}, r {span}")
+    assert [tuple(x) for x in df.select(spans.not_covered(F.col("e"), F.col("r")).alias("x")).first().x] == [(5, 9)]
+
+
+def test_fold_corner_cases():
+    """A popped span's head is lost; a low-confidence card shadows; custom rules have priority 0 whatever they say."""
+    r = kernel(entropy=False).filter("Authorization: Bearer sk-abcdefghijklmnop")
+    assert r["text"].endswith("[API_KEY]") or "[CREDENTIAL]" in r["text"]
+    kept = resolve([Match("credit_card", "", 0, 19, "", 0.0, "low"), Match("phone_cn", "", 3, 14, "")])
+    assert [m.rule_name for m in kept] == ["credit_card"]
+    kept = resolve([Match("mine", "", 0, 6, ""), Match("sha_hash", "", 4, 40, "")])
+    assert [m.rule_name for m in kept] == ["mine"]
+    c = Config().with_custom(CustomRule("late", "abc", "[L]", 99)).with_custom(CustomRule("early", "abc", "[E]", 1))
+    assert kernel(c, entropy=False).filter("abc")["text"] == "[E]"
+
+
+def test_unicode_classes():
+    assert kernel(only=frozenset(["phone_cn"])).filter("1\u0663912345678")["replacements"] == 0
+    assert kernel(only=frozenset(["phone_cn"]), config=Config(preprocess=Preprocess())).matches("13\u0669123456\u0667\u0668")
+    assert kernel(only=frozenset(["email"])).matches("é.ü@corp.test")
+    assert kernel(only=frozenset(["credential_inline"])).matches("token\u2003=\u2003abcdef")
+
+
+def test_log_and_audit(spark, tmp_path):
+    from veilspark.operators.messages import audit_tool_output
+    from veilspark.operators.reports import log_lines
+    from veilspark.sources.tables import write_log
+
+    calls = redact_tool_output(spark.createDataFrame([("sh", "8.8.8.8 x"), ("sh", "no"), ("web", "a@b.test 8.8.4.4")], "tool string, output string"))
+    counts = audit_tool_output(calls)
+    assert {r.tool: (r.n_calls, r.n_redacted_calls, r.n_redacted) for r in counts.collect()} == {"sh": (2, 1, 1), "web": (1, 1, 2)}
+    at = F.to_timestamp(F.lit("2024-05-06 07:08:09"))
+    lines = log_lines(counts, at, F.when(F.col("n_redacted") > 1, "WARN").otherwise("DEBUG"))
+    assert [r.line for r in lines.collect()] == ['[2024-05-06T07:08:09.000] [WARN] redact {"tool":"web","n_calls":1,"n_redacted_calls":1,"n_redacted":2}']
+    write_log(lines, str(tmp_path / "log"))
+    write_log(lines, str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log/day=2024-05-06")).count() == 2
+
+
 def test_entropy(spark):
     df = spark.createDataFrame([("abab",), ("",), ("a",), (None,)], "t string")
     assert [r.e for r in df.select(shannon_entropy(F.col("t")).alias("e")).collect()] == [1.0, 0.0, 0.0, None]

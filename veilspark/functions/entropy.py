@@ -8,18 +8,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.rules import ENTROPY_CHARS
+
 # Fixed values.
-SAMPLE_CHARS = 1024
+MAX_CJK_SHARE, MAX_SPACE_SHARE = 0.3, 0.25
 _DATA_URI = re.compile(r"(?i)data:[^;]+;base64,")
 _CJK = re.compile(r"[一-鿿぀-ゟ゠-ヿ가-힯]")
 
 
 def shannon_entropy(text: Column) -> Column:
     """Bits per character over code points; 0 for the empty string, NULL for NULL."""
-    total = F.length(text).cast("double")
-    kinds = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
-    share = F.transform(kinds, lambda c: (total - F.length(F.replace(text, c, F.lit("")))) / total)
-    return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    def of(chars: Column) -> Column:
+        # equal characters stand together: where each run ends gives its length
+        ends = F.filter(F.transform(chars, lambda c, i: F.when(F.get(chars, i + 1).eqNullSafe(c), -1).otherwise(i + 1)), lambda i: i > 0)
+        total = F.size(chars).cast("double")
+        return F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("bits")), lambda acc, end: F.struct(end.alias("at"), (acc["bits"] - (end - acc["at"]) / total * F.log2((end - acc["at"]) / total)).alias("bits")))["bits"]
+
+    return F.when(text == "", 0.0).otherwise(F.transform(F.array(F.array_sort(F.split(text, ""))), of)[0])
 
 
 def entropy_of(counts: dict[str, int], total: int) -> float:
@@ -32,20 +38,20 @@ def plausible(value: str) -> bool:
         return False
     if _DATA_URI.search(value):
         return False
-    if len(_CJK.findall(value)) > 0.3 * len(value):
+    if len(_CJK.findall(value)) > MAX_CJK_SHARE * len(value):
         return False
-    return value.count(" ") + value.count("　") <= 0.25 * len(value)
+    return value.count(" ") + value.count("　") <= MAX_SPACE_SHARE * len(value)
 
 
-def high_entropy(text: str, threshold: float, min_length: int) -> list[tuple[int, int, float]]:
-    """(start, end, entropy) of stretches within the first 1024 characters.
+def high_entropy(text: str, threshold: float, min_length: int, sample_chars: int | None = ENTROPY_CHARS) -> list[tuple[int, int, float]]:
+    """(start, end, entropy) of stretches within the first ``sample_chars`` characters, or all of them.
 
     A window of ``min_length`` at or over the threshold grows while it stays there; the
     search goes on behind it whether it is plausible or not. Stretches never overlap.
     """
     if math.log2(min_length) < threshold or len(text) < min_length:
         return []
-    sample, found, pos = text[:SAMPLE_CHARS], [], 0
+    sample, found, pos = text[:sample_chars], [], 0
     while pos + min_length <= len(sample):
         counts: dict[str, int] = {}
         for c in sample[pos : pos + min_length]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from veilspark.functions.rules import MAX_TEXT_BYTES
 
 # The invisible characters and the named entities.
 INVISIBLE = r"[​-‏﻿­⁠-⁤⁦-⁩︀-️]"
+#: What NFKC may change: anything but ASCII and those Latin letters that are composed already (combining marks lie outside).
+MAY_CHANGE = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]"
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
 _INVISIBLE = re.compile(INVISIBLE)
@@ -72,6 +75,10 @@ def _bound(value: Column, body) -> Column:
 
 
 def url_decode_once(text: Column) -> Column:
+    return _bound(text, lambda t: F.when(t.contains("%"), _percent_decoded(t)).otherwise(t))
+
+
+def _percent_decoded(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)%.{0,2}|[^%]+"), F.lit(0))
     decoded = F.transform(
         pieces,
@@ -97,6 +104,10 @@ def _code_point(number: Column) -> Column:
 
 
 def html_unescape(text: Column) -> Column:
+    return _bound(text, lambda t: F.when(t.contains("&"), _entities_decoded(t)).otherwise(t))
+
+
+def _entities_decoded(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)&[^;]*;?|[^&]+"), F.lit(0))
 
     def decode(x: Column) -> Column:
@@ -135,8 +146,19 @@ def cap_bytes(text: Column, limit: int = MAX_TEXT_BYTES) -> Column:
     return F.when(F.octet_length(text) > limit, valid).otherwise(text)
 
 
-def normalize_native(text: Column, url: bool = True, html: bool = True, strip: bool = True) -> Column:
-    """All steps but NFKC, which Spark has no function for; exact where NFKC changes nothing."""
+def nfkc(text: Column) -> Column:
+    """Spark has no function for it, so texts that it may change go through Python; the others, ASCII and plain Latin letters only, go there as NULLs."""
+
+    @F.arrow_udf("string")
+    def composed(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
+
+    return F.coalesce(composed(F.when(text.rlike(MAY_CHANGE), text)), text)
+
+
+def normalize_native(text: Column, url: bool = True, html: bool = True, strip: bool = True, compose: bool = True) -> Column:
+    """All steps, in the JVM but for the texts that NFKC may change."""
+    text = nfkc(text) if compose else text
     text = url_decode_iterative(text) if url else text
     text = html_unescape(text) if html else text
     return strip_invisible(text) if strip else text

@@ -46,9 +46,10 @@ DOMAIN_WHITELIST = ("localhost", "localhost.localdomain", "example.com", "exampl
 HOSTNAME_WHITELIST = ("localhost",)
 IP_RULES = ("ipv4", "ipv4_hex", "ipv6", "ipv6_hyphen")
 
-# Limits.
+# The compatible limits.
 MAX_TEXT_BYTES = 100_000
 IPV6_MAX_BYTES = 5_000
+ENTROPY_CHARS = 1_024
 
 #: A text without any of these strings (lower-cased text for those marked so) cannot
 #: match the rule; it is checked before the pattern is tried.
@@ -66,10 +67,31 @@ NEEDLES: dict[str, tuple[bool, tuple[str, ...]]] = {
     "jwt_multiline": (False, ("eyJ",)),
     "db_connection_string": (False, ("://",)),
     "db_cli": (False, ("psql", "mysql", "mongo", "redis-cli", "sqlite3", "sqlcmd", "pg_dump")),
-    "credential_value": (False, ("=", ":")),
+    "credential_value": (True, ("password", "secret", "credential", "token", "api")),
     "url_query_credential": (False, ("?", "&")),
-    "credential_inline": (False, ("=", ":")),
+    "credential_inline": (True, ("pass", "pwd", "secret", "token", "credential", "auth", "key")),
 }
+#: A text in which this pattern finds nothing cannot match the rule; rules share gates, and a gate is tried once for each text.
+_FOUR_DIGITS, _HEX, _HEX_PARTS = r"\d{4}", r"[0-9a-fA-F]{32}", r"-[0-9a-fA-F]{4}-"
+GATES: dict[str, str] = {
+    "ipv4": r"\d\.\d{1,3}\.\d",
+    "ipv6": r"::|[0-9a-fA-F]:[0-9a-fA-F]",
+    "ipv6_hyphen": _HEX_PARTS,
+    "uuid": _HEX_PARTS,
+    "uuid_hex": _HEX,
+    "sha_hash": _HEX,
+    "phone_cn": _FOUR_DIGITS,
+    "phone_cn_sep": _FOUR_DIGITS,
+    "phone_intl": r"\+[1-9]",
+    "id_card_cn": _FOUR_DIGITS,
+    "id_card_cn_sep": _FOUR_DIGITS,
+    "ssn_us": _FOUR_DIGITS,
+    "credit_card": _FOUR_DIGITS,
+    "credential_value": r"[:=]\s*\S{4}",
+    "credential_inline": r"[:=]\s*\S{4}",
+}
+#: Letters outside ASCII that a pattern without regard to case takes for these.
+FOLDED = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
 
 
 @dataclass(frozen=True)

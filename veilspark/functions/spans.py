@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.rules import BY_NAME, DOMAIN_WHITELIST, HOSTNAME_WHITELIST, IP_RULES, IP_WHITELIST, IPV6_MAX_BYTES, Rule
+from veilspark.functions.rules import BY_NAME, DOMAIN_WHITELIST, HOSTNAME_WHITELIST, IP_RULES, IP_WHITELIST, Rule
 
 MATCH_FIELDS = "rule_name string, placeholder string, start int, end int, value string, entropy double, confidence string"
 MATCH_TYPE = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MATCH_FIELDS.split(', '))}>>"
@@ -26,14 +26,14 @@ def is_whitelisted(rule_name: str, value: Column, ips=(), domains=(), strings=()
     if rule_name in IP_RULES:
         for pattern in IP_WHITELIST:
             hit = hit | low.rlike(pattern)
-        return hit | low.isin(*[x.lower() for x in ips]) if ips else hit
+        return (hit | low.isin(*[x.lower() for x in ips])) if ips else hit
     if rule_name == "email":
         return hit | F.substring_index(low, "@", -1).isin(*DOMAIN_WHITELIST, *[x.lower() for x in domains])
     return hit | low.isin(*HOSTNAME_WHITELIST)
 
 
-def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True) -> Column:
-    """array of matches of one rule, left to right.
+def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True, lists: tuple = ((), (), ()), ipv6_max_bytes: int | None = None) -> Column:
+    """array of matches of one rule, left to right; ``lists`` are further addresses, domains and strings that are never reported.
 
     Values come from one pass and the gaps between them from another; a fold over both gives the offsets.
     """
@@ -62,10 +62,10 @@ def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True) -> Column
     start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH_TYPE).alias("out"))
     found = F.aggregate(pairs, start, add, lambda acc: acc["out"])
     if whitelist:
-        found = F.filter(found, lambda m: ~is_whitelisted(rule.name, m["value"]))
+        found = F.filter(found, lambda m: ~is_whitelisted(rule.name, m["value"], *lists))
     hit = text.rlike(pattern)
-    if rule.name in ("ipv6", "ipv6_hyphen"):
-        hit = hit & (F.octet_length(text) <= IPV6_MAX_BYTES)
+    if ipv6_max_bytes is not None and rule.name in ("ipv6", "ipv6_hyphen"):
+        hit = hit & (F.octet_length(text) <= ipv6_max_bytes)
     return F.when(text.isNull(), empty).when(hit, found).otherwise(F.array().cast(MATCH_TYPE))
 
 
@@ -117,4 +117,4 @@ def apply_replacements(text: Column, matches: Column) -> Column:
         )
         return F.struct(body.alias("text"), F.size(hits).alias("replacements"))
 
-    return F.transform(F.array(high), of)[0]
+    return F.transform(F.array(F.coalesce(high, F.array().cast(MATCH_TYPE))), of)[0]

@@ -1,8 +1,9 @@
 """The detector: one Arrow pass for the whole rule set, as a column expression.
 
-``filter`` gives struct<text, matches, replacements>, ``scan`` an array of matches. NULL
+``filter`` gives struct<text, matches, replacements, truncated>, ``scan`` an array of matches. NULL
 gives NULL text, NULL matches and 0. An error in a rule fails the task: raw text is never
-passed on silently.
+passed on silently.  A plain ``Detector()`` has the compatible limits, and ``truncated`` says
+where one has cut the text; ``Detector.whole()`` searches all of it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import spans
 from veilspark.operators.kernel import LazyKernel
-from veilspark.plans.config import Config, CustomRule, DetectionConfig
+from veilspark.plans.config import Config, CustomRule, DetectionConfig, active_rules
 
 MATCH = pa.struct([("rule_name", pa.string()), ("placeholder", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("entropy", pa.float64()), ("confidence", pa.string())])
-RESULT = pa.struct([("text", pa.string()), ("matches", pa.list_(MATCH)), ("replacements", pa.int32())])
-RESULT_DDL = f"struct<text:string,matches:{spans.MATCH_TYPE},replacements:int>"
+RESULT = pa.struct([("text", pa.string()), ("matches", pa.list_(MATCH)), ("replacements", pa.int32()), ("truncated", pa.bool_())])
+RESULT_DDL = f"struct<text:string,matches:{spans.MATCH_TYPE},replacements:int,truncated:boolean>"
 
 
 class Detector:
@@ -32,6 +33,11 @@ class Detector:
         if e.enabled and e.inert and e != Config().entropy:
             warnings.warn(f"no window of {e.min_length} characters has {e.threshold} bits per character", stacklevel=2)
 
+    @classmethod
+    def whole(cls, config: Config | None = None) -> Detector:
+        """A detector without limits: nothing is cut, and every rule searches texts of any length."""
+        return cls((config or Config()).whole())
+
     @property
     def config(self) -> Config:
         return self._config
@@ -76,10 +82,10 @@ class Detector:
         return find(_column(text))
 
     def redact_or_keep(self, text: Column | str) -> Column:
-        """struct<text, matches, replacements> whose text is the input itself where nothing is replaced."""
+        """struct<text, matches, replacements, truncated> whose text is the input itself where nothing is replaced and nothing was cut."""
         text = _column(text)
         found = self.filter(text)
-        return F.transform(F.array(found), lambda r: F.struct(F.when(r["replacements"] > 0, r["text"]).otherwise(text).alias("text"), r["matches"].alias("matches"), r["replacements"].alias("replacements")))[0]
+        return F.transform(F.array(found), lambda r: F.struct(F.when((r["replacements"] > 0) | r["truncated"], r["text"]).otherwise(text).alias("text"), r["matches"].alias("matches"), r["replacements"].alias("replacements"), r["truncated"].alias("truncated")))[0]
 
 
 def _column(text: Column | str) -> Column:
@@ -94,14 +100,25 @@ def scan_text(text: Column | str, config: DetectionConfig | None = None) -> Colu
     return Detector(Config.from_detection_config(config)).scan(text)
 
 
-def native_redact(text: Column, rule: str) -> Column:
-    """struct<text, replacements> for one rule on normalised text, by Spark's own functions."""
-    return spans.apply_replacements(text, spans.resolve_overlaps(spans.rule_spans(text, rule)))
+def native_redact(text: Column, rule: str, config: Config | None = None) -> Column:
+    """struct<text, replacements> for one rule on normalised text, by Spark's own functions; the configuration's lists, placeholders, toggles and IPv6 limit hold."""
+    config = config or Config().whole()
+    return spans.apply_replacements(text, spans.resolve_overlaps(native_scan(text, rule, config)))
+
+
+def native_scan(text: Column, rule: str, config: Config | None = None) -> Column:
+    """array of matches of one rule on normalised text, by Spark's own functions."""
+    config = config or Config().whole()
+    active = {r.name: r for r in active_rules(config)}
+    if rule not in active:
+        return F.when(text.isNotNull(), F.array().cast(spans.MATCH_TYPE))
+    white = config.whitelist
+    return spans.rule_spans(text, active[rule], lists=(white.ips, white.domains, white.strings), ipv6_max_bytes=config.limits.ipv6_max_bytes)
 
 
 def explode_matches(df: DataFrame, text: str = "text", *keys: str, detector: Detector | None = None) -> DataFrame:
     """A row for each match: the key columns and the fields of the match."""
-    found = df.select(*keys, (detector or Detector()).scan(text).alias("found"))
+    found = df.select(*keys, (detector or Detector.whole()).scan(text).alias("found"))
     return found.select(*keys, F.inline("found"))
 
 
@@ -110,18 +127,20 @@ def register_sql(spark: SparkSession, detector: Detector | None = None) -> None:
     detector = detector or Detector()
     full, count = detector._kernel(None, None, True), detector._kernel(None, None, False)
 
-    @F.pandas_udf("string")
-    def redact_text(s):
-        return s.map(lambda x: full().filter(x)["text"], na_action="ignore")
+    @F.arrow_udf("string")
+    def redact_text(column: pa.Array) -> pa.Array:
+        run = full().filter
+        return pa.array([run(x)["text"] for x in column.to_pylist()], pa.string())
 
-    @F.pandas_udf("int")
-    def redact_count(s):
-        return s.map(lambda x: full().filter(x or None)["replacements"])
+    @F.arrow_udf("int")
+    def redact_count(column: pa.Array) -> pa.Array:
+        run = full().filter
+        return pa.array([run(x)["replacements"] for x in column.to_pylist()], pa.int32())
 
-    @F.pandas_udf("int")
-    def scan_count(s):
-        return s.map(lambda x: len(count().scan(x) or ()))
+    @F.arrow_udf("int")
+    def scan_count(column: pa.Array) -> pa.Array:
+        run = count().scan
+        return pa.array([len(run(x) or ()) for x in column.to_pylist()], pa.int32())
 
     for name, function in (("redact_text", redact_text), ("redact_count", redact_count), ("scan_count", scan_count)):
         spark.udf.register(name, function)
-

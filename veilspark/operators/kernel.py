@@ -63,14 +63,21 @@ class Kernel:
 
     def __init__(self, config: Config, only: frozenset[str] | None, placeholder: str | None, entropy: bool) -> None:
         self.config, self.entropy = config, entropy
-        self.rules = [(rule, re.compile(rule.pattern), R.NEEDLES.get(rule.name) if R.BY_NAME.get(rule.name, rule).pattern == rule.pattern else None) for rule in active_rules(config, only, placeholder)]
+        own = {rule.name for rule in config.custom_rules}
+        self.rules = [(rule, re.compile(rule.pattern), *((None, None) if rule.name in own else (R.NEEDLES.get(rule.name), R.GATES.get(rule.name)))) for rule in active_rules(config, only, placeholder)]
+        self.gates = {gate: re.compile(gate).search for *_, gate in self.rules if gate}
         white = config.whitelist
         self.strings, self.ips, self.domains = set(white.strings), {x.lower() for x in white.ips}, {x.lower() for x in white.domains} | set(R.DOMAIN_WHITELIST)
         self.private = re.compile("|".join(R.IP_WHITELIST))
 
     def normalize(self, text: str) -> str:
-        p = self.config.preprocess
-        return normalize_plain(cap_text(text), p.url_decode, p.html_unescape, p.strip_zw_chars)
+        return self.prepared(text)[0]
+
+    def prepared(self, text: str) -> tuple[str, bool]:
+        """The normalised text, and whether a limit has cut it."""
+        p, limit = self.config.preprocess, self.config.limits.max_text_bytes
+        head = text if limit is None else cap_text(text, limit)
+        return normalize_plain(head, p.url_decode, p.html_unescape, p.strip_zw_chars), len(head) < len(text)
 
     def whitelisted(self, rule_name: str, value: str) -> bool:
         low = value.lower()
@@ -86,15 +93,22 @@ class Kernel:
         """Resolved matches of a normalised text."""
         found: list[Match] = []
         lowered = text.lower()
-        digits = any(c in text for c in "0123456789") or not text.isascii()
-        long = len(text) * 4 > R.IPV6_MAX_BYTES and len(text.encode("utf-8", "surrogatepass")) > R.IPV6_MAX_BYTES
-        for rule, pattern, needle in self.rules:
+        for letter, plain in () if text.isascii() else R.FOLDED.items():
+            if letter in text:
+                lowered = lowered.replace(letter.lower(), plain)
+        most = self.config.limits.ipv6_max_bytes
+        long = most is not None and len(text) * 4 > most and len(text.encode("utf-8", "surrogatepass")) > most
+        passed: dict[str, bool] = {}
+        for rule, pattern, needle, gate in self.rules:
             if long and rule.name in ("ipv6", "ipv6_hyphen"):
                 continue
             if needle and not any(n in (lowered if needle[0] else text) for n in needle[1]):
                 continue
-            if not digits and rule.name in DIGIT_RULES:
-                continue
+            if gate:
+                if gate not in passed:
+                    passed[gate] = self.gates[gate](text) is not None
+                if not passed[gate]:
+                    continue
             for hit in pattern.finditer(text):
                 if hit.end() > hit.start() and not self.whitelisted(rule.name, hit[0]):
                     low = rule.name == "credit_card" and not luhn(hit[0])
@@ -103,7 +117,7 @@ class Kernel:
             e = self.config.entropy
             found += [
                 Match("high_entropy", "[SECRET]", start, end, text[start:end], bits)
-                for start, end, bits in high_entropy(text, e.threshold, e.min_length)
+                for start, end, bits in high_entropy(text, e.threshold, e.min_length, self.config.limits.entropy_chars)
                 if not any(start < m.end and end > m.start for m in tuple(found))
             ]
         return resolve(found)
@@ -115,11 +129,11 @@ class Kernel:
 
     def filter(self, text: str | None) -> dict:
         if not text:
-            return {"text": text, "matches": None if text is None else [], "replacements": 0}
-        plain = self.normalize(text)
+            return {"text": text, "matches": None if text is None else [], "replacements": 0, "truncated": False}
+        plain, cut = self.prepared(text)
         found = self.matches(plain)
         out, count = splice(plain, found)
-        return {"text": out, "matches": [m.row() for m in found], "replacements": count}
+        return {"text": out, "matches": [m.row() for m in found], "replacements": count, "truncated": cut}
 
 
 class LazyKernel:
@@ -135,7 +149,3 @@ class LazyKernel:
         if self.kernel is None:
             self.kernel = Kernel(*self.args)
         return self.kernel
-
-
-#: Rules of which every match holds a digit.
-DIGIT_RULES = frozenset({"ipv4", "phone_cn", "phone_cn_sep", "phone_intl", "id_card_cn", "id_card_cn_sep", "ssn_us", "credit_card"})

@@ -3,7 +3,7 @@
 A message is struct<info:struct<system,summary:struct<body>>, parts:array<struct<type,text,
 state:struct<output,error>,source:struct<text:struct<value>>>>>.  All strings of a message are
 laid out in one array, redacted in one Arrow pass and put back; text stays as it was where
-nothing is replaced, blank and NULL text too.
+nothing is replaced, blank and NULL text too.  Without a detector whole texts are searched.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ _ITEM = pa.struct([("text", pa.string()), ("n", pa.int32())])
 
 def redact_strings(texts: Column, detector: Detector | None = None) -> Column:
     """array<struct<text, n>> for an array of strings, element by element."""
-    config = (detector or Detector()).config
+    config = (detector or Detector.whole()).config
     kernel = LazyKernel(config, entropy=config.entropy.enabled and config.entropy.mode == "auto")
 
     def one(text: str | None) -> dict:
         if text is None or not text.strip():
             return {"text": text, "n": 0}
         out = kernel().filter(text)
-        return {"text": out["text"] if out["replacements"] else text, "n": out["replacements"]}
+        # of a text that a limit has cut the tail wasn't searched, so it doesn't pass either
+        return {"text": out["text"] if out["replacements"] or out["truncated"] else text, "n": out["replacements"]}
 
     @F.arrow_udf("array<struct<text:string,n:int>>")
     def redact(column: pa.Array) -> pa.Array:
@@ -84,3 +85,8 @@ def redact_tool_output(df: DataFrame, output: str = "output", detector: Detector
     """``output`` redacted and ``n_redacted``; blank output passes unchanged."""
     done = F.element_at(redact_strings(F.array(F.col(output)), detector), 1)
     return df.withColumn("_done", done).withColumns({output: F.col("_done.text"), "n_redacted": F.col("_done.n")}).drop("_done")
+
+
+def audit_tool_output(df: DataFrame, tool: str = "tool", n: str = "n_redacted") -> DataFrame:
+    """What a log keeps of redacted tool output: a row for each tool, with calls, redacted calls and redactions; never values."""
+    return df.groupBy(tool).agg(F.count("*").alias("n_calls"), F.count_if(F.col(n) > 0).alias("n_redacted_calls"), F.sum(n).cast("long").alias("n_redacted"))

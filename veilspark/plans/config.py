@@ -9,9 +9,9 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from veilspark.functions.rules import BUILTIN_RULES, Rule
+from veilspark.functions.rules import BUILTIN_RULES, ENTROPY_CHARS, IPV6_MAX_BYTES, MAX_TEXT_BYTES, Rule
 
-#: A quantified group that holds a quantifier itself, as in ``(a+)+``.
+# Fixed value: it decides which rules are accepted. A quantified group that holds a quantifier itself, as in ``(a+)+``.
 NESTED_QUANTIFIER = re.compile(r"\([^()]*(?:[+*]|\{\d+,?\d*\})[^()]*\)[+*]")
 
 
@@ -65,6 +65,23 @@ class Entropy:
         return math.log2(self.min_length) < self.threshold
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a text is searched; None: all of it.
+
+    ``max_text_bytes`` cuts a text, tail and all; results say so in ``truncated``. The IPv6 rules
+    are left out of texts over ``ipv6_max_bytes``, and stretches of high entropy are sought in the first ``entropy_chars`` only.
+    """
+
+    max_text_bytes: int | None = MAX_TEXT_BYTES
+    ipv6_max_bytes: int | None = IPV6_MAX_BYTES
+    entropy_chars: int | None = ENTROPY_CHARS
+
+
+#: Short inputs, as for a text typed by hand; and whole texts, which is what tables, messages and streams are searched by.
+COMPATIBLE, WHOLE = Limits(), Limits(None, None, None)
+
+
 @dataclass(frozen=True)
 class Whitelist:
     """``strings`` are compared with lower-cased values as they are; write them in lower case."""
@@ -94,6 +111,11 @@ class Config:
     custom_rules: tuple[CustomRule, ...] = ()
     placeholders: Mapping[str, str] = field(default_factory=dict)
     whitelist: Whitelist = Whitelist()
+    limits: Limits = COMPATIBLE
+
+    def whole(self) -> Config:
+        """The same without limits."""
+        return replace(self, limits=WHOLE)
 
     def is_rule_enabled(self, name: str) -> bool:
         return self.rules.get(name, True)
@@ -115,9 +137,9 @@ class Config:
     def from_mapping(cls, raw: Mapping[str, Any] | None) -> Config:
         """From parsed YAML. Missing keys take defaults; a given ``rules`` map replaces the default one."""
         raw = dict(raw or {})
-        known = {"preprocess", "entropy", "rules", "custom_rules", "placeholders", "whitelist"}
+        known = {"preprocess", "entropy", "rules", "custom_rules", "placeholders", "whitelist", "limits"}
         parts: dict[str, Any] = {key: raw[key] for key in ("rules", "placeholders") if raw.get(key) is not None}
-        for key, kind in (("preprocess", Preprocess), ("entropy", Entropy)):
+        for key, kind in (("preprocess", Preprocess), ("entropy", Entropy), ("limits", Limits)):
             if raw.get(key):
                 parts[key] = kind(**{k: v for k, v in raw[key].items() if k in kind.__dataclass_fields__})
         if raw.get("whitelist"):

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators.detector import Detector
-from veilspark.operators.reports import audit
 
 LOG = logging.getLogger("veilspark")
 
@@ -17,14 +16,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
-    """The rows over all cores if they are few bytes for each core: a small file has one row group, which one task reads.
+def spread(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The rows over all cores if there are at most ``rows``: a small file has one row group, which one task reads.
 
-    Larger inputs have splits enough and are left alone, so this never shuffles much.
+    A larger table has row groups enough and is left alone, so this never shuffles much. The count comes from the files' footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < small * cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.limit(rows + 1).count() <= rows else df
 
 
 def read_texts(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -36,9 +33,20 @@ def read_texts(spark: SparkSession, path: str, kind: str = "parquet", schema: st
 
 
 def write_redacted(df: DataFrame, path: str, text: str = "text", detector: Detector | None = None, audit_path: str | None = None, key: str = "doc_id") -> None:
-    """Write the table with redacted text and n_redacted; with ``audit_path`` also counts by key and rule."""
-    done = df.withColumn("_r", (detector or Detector()).filter(text))
-    done.withColumns({text: F.col("_r.text"), "n_redacted": F.col("_r.replacements")}).drop("_r").write.mode("overwrite").parquet(path)
+    """Write the table with redacted text, n_redacted and ``redacted_rules``, the names of the rules that matched.
+
+    Whole texts are searched unless a detector with limits is given. With ``audit_path`` counts by key and rule are written too,
+    taken from the table just written, so that texts are searched once.
+    """
+    done = df.withColumn("_r", (detector or Detector.whole()).filter(text))
+    names = F.transform("_r.matches", lambda m: m["rule_name"])
+    done.withColumns({text: F.col("_r.text"), "n_redacted": F.col("_r.replacements"), "redacted_rules": names}).drop("_r").write.mode("overwrite").parquet(path)
     if audit_path:
-        audit(df, key, text, detector).write.mode("overwrite").parquet(audit_path)
+        counts = df.sparkSession.read.parquet(path).select(key, F.explode("redacted_rules").alias("rule_name")).groupBy(key, "rule_name").agg(F.count("*").alias("n_matches"))
+        counts.write.mode("overwrite").parquet(audit_path)
     LOG.info("redacted table written to %s", path)
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    """Append log lines (see ``reports.log_lines``) as text files in a folder for each day."""
+    lines.select("day", "line").write.mode("append").partitionBy("day").text(path)
