@@ -29,9 +29,11 @@ def text_hash(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none, as in tests."""
+    """The folder all executors share, as the session names it; only a session that is one process may do without, in a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,21 +45,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 _WRITTEN: list[str] = []
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` has made, once all that reads them has been written itself."""
+    for table in tables:
+        _WRITTEN.remove(table.scratch_path)
+        _delete(table.sparkSession, table.scratch_path)
+
+
 def remove_scratch(spark: SparkSession) -> int:
     """Delete the tables that ``written`` has made in this process, once their results have been consumed."""
-    jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
+    n = len(_WRITTEN)
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

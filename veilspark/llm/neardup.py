@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.blocks import LOWER_TO_SPACE, Rolling, mix, slices, word_hashes
-from veilspark.llm.common import keyed_texts, packed, small_batches, text_hash, unpack, written
+from veilspark.llm.common import discard, keyed_texts, packed, small_batches, text_hash, unpack, written
 
 BUCKET_BITS, MANTISSA, ROWS = 8, 10, 5
 BUCKETS = 1 << BUCKET_BITS
@@ -294,7 +294,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = written(small, "edges")
+        edges, old = written(small, "edges"), edges
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -338,6 +339,7 @@ def late_links(groups: DataFrame, links: DataFrame, bodies: DataFrame, shingle:
     narrow = written(keyed.join(split, "band").join(sizes, "node").select("band", "node", "n", "root"), "narrow")
 
     stars = written(star_pairs(narrow), "narrow-stars")
+    discard(differences, open_)
     pairs = stars.filter("root <> head_root").filter(_fits("n", "head_n", percent)).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     more = written(confirmed(pairs, bodies, shingle, percent), "links")
     links = links.unionByName(more)
@@ -350,6 +352,7 @@ def late_links(groups: DataFrame, links: DataFrame, bodies: DataFrame, shingle:
     once = (F.col("root") == F.col("major")) | (F.col("node") < F.col("b"))
     crossed = left.join(minor, "band").filter((F.col("root") != F.col("root_b")) & once & _fits("n", "m", percent))
     last = written(confirmed(crossed.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), bodies, shingle, percent), "links")
+    discard(bodies, narrow, stars, left)
     if last.isEmpty():
         return links, roots
     links = links.unionByName(last)
@@ -369,6 +372,7 @@ def _members(df: DataFrame, key: str, text: str, shingle: int, percent: int) ->
     bands = written(nodes.select("node", "n", F.explode("keys").alias("band")), "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
     groups = written(star_pairs(bands.join(shared, "band")), "groups")
+    discard(bands)
 
     # the texts of nodes that share a key with another
     some = groups.select("node").distinct()
@@ -379,6 +383,7 @@ def _members(df: DataFrame, key: str, text: str, shingle: int, percent: int) ->
     pairs = groups.filter(F.col("node") != F.col("head")).filter(_fits("n", "head_n", percent)).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = written(confirmed(pairs, bodies, shingle, percent), "links")
     _, roots = late_links(groups, links, bodies, shingle, percent)
+    discard(bodies, groups)
 
     # a class of many documents is dealt over SALTS tasks, the others meet theirs as a whole
     rooted = classes.join(roots, "node", "left").select("d1", "d2", "n", "size", F.coalesce("root", "node").alias("root"))
