@@ -7,11 +7,13 @@ open.  That gives patterns with counts.  A rest finds its place by its rank amon
 of its length.
 
 Ranks are counted per (length, salt) cell and shifted by the cells before it, so that a
-length that a third of all documents have is spread over all tasks.
+length that a third of all documents have is spread over all tasks, and so is a key that they
+have: rows are salted by their place in the task that encodes them, and kept in a table.
 
-Defined results: NULL and empty texts have the end id only; equal rows take neighbouring
-ranks and are interchangeable; an empty table gives no rows; columns other than the two
-named ones are ignored.
+Defined results: NULL and empty texts have the end id only; a NULL key comes out as NULL;
+repeated rows and keys are packed each; equal lengths take any order; a very long text fills whole
+sequences and is encoded in one piece, as the library does; an empty table gives no rows; columns other than
+the two named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,9 +74,13 @@ def slots(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, in
 
 
 def document_pieces(df: DataFrame, name: str, key: str, text: str, size: int) -> DataFrame:
-    """k, doc_tokens, crcs: CRC-32 of each run of ``size`` ids and of the rest."""
+    """k, place, doc_tokens, crcs: CRC-32 of each run of ``size`` ids and of the rest; ``place`` is the row's in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        place = context.partitionId() if context else 0  # tasks begin at different salts
         for batch in batches:
             tokens, crcs = [], []
             for t in batch.column(1).to_pylist():
@@ -83,9 +89,11 @@ def document_pieces(df: DataFrame, name: str, key: str, text: str, size: int) ->
                 data = memoryview(ids.tobytes())
                 tokens.append(len(ids))
                 crcs.append([zlib.crc32(data[at : at + 4 * size]) for at in range(0, len(data), 4 * size)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["k", "doc_tokens", "crcs"])
+            places = pa.array(range(place, place + batch.num_rows), pa.int64())
+            place += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), places, pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["k", "place", "doc_tokens", "crcs"])
 
-    return texts(df, key, text).mapInArrow(run, "k long, doc_tokens long, crcs array<long>")
+    return texts(df, key, text).mapInArrow(run, "k long, place long, doc_tokens long, crcs array<long>")
 
 
 def pack_documents(df: DataFrame, name: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", size: int = SEQUENCE) -> DataFrame:
@@ -94,7 +102,7 @@ def pack_documents(df: DataFrame, name: str = "byte_bpe_50k.json", key: str = "d
     spark = docs.sparkSession
     n = partitions(spark)
     rest, full = F.pmod("doc_tokens", F.lit(size)).cast("int"), F.floor(F.col("doc_tokens") / size)
-    docs = docs.withColumns({"rest": rest, "n_full": full.cast("long"), "salt": F.pmod(F.xxhash64("k", "doc_tokens"), F.lit(n)).cast("int")})
+    docs = docs.withColumns({"rest": rest, "n_full": full.cast("long"), "salt": F.pmod("place", F.lit(n)).cast("int")})
     # at most ``size`` rows
     histogram = {r.rest: r.n for r in docs.filter("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     patterns = shortest_pack_first(histogram, size)
@@ -107,7 +115,7 @@ def pack_documents(df: DataFrame, name: str = "byte_bpe_50k.json", key: str = "d
     wholes = docs.groupBy("salt").agg(F.sum("n_full").alias("w"))  # one row for each salt
     wholes = wholes.select(F.col("salt").alias("w_salt"), (F.sum("w").over(Window.orderBy("salt")) - F.col("w")).alias("whole_before"))
 
-    order = ["k", "doc_tokens", "crcs"]
+    order = ["k", "doc_tokens", "crcs", "place"]
     dealt = docs.withColumns(
         {
             "rank": F.row_number().over(Window.partitionBy("salt", "rest").orderBy(*order)) - 1,
