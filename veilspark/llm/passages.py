@@ -10,8 +10,11 @@ hashed twice, 64 and 64 bits).  Every repeated window is found, and only runs an
 are decided, never pairs.
 
 Defined results: NULL and blank texts have no words; a text shorter than a window keeps all;
-rows that repeat a key are documents of their own, so equal rows repeat each other; an empty
-table gives no rows; columns other than the two named ones are ignored. Texts are read whole.
+rows that repeat a key are documents of their own, so equal rows repeat each other: they are searched
+once, and one that has a window goes whole, so many equal rows cost no more than as many others.  No
+copy of a passage is preferred, so ties don't arise; a NULL key is a key like others; texts are read
+whole, however long; an empty table gives no rows; columns other than the two named ones are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,6 +110,10 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return combined(parts())
 
 
+#: In place of a number of windows: all of the text.
+ALL = -1
+
+
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n places lie in [start, start + length) of some run."""
     edge = np.zeros(n + 1, np.int64)
@@ -121,7 +128,10 @@ def _cut(digest: bool):
             rows = []
             for data, starts, counts in zip(unpack(batch.column(2)), batch.column(3), batch.column(4), strict=True):
                 words = data.split()
-                gone = covered(len(words), np.array(starts.values), np.array(counts.values, np.int64) + WINDOW - 1) if starts.is_valid and len(starts) else None
+                gone = None
+                if starts.is_valid and len(starts):
+                    n = np.array(counts.values, np.int64)
+                    gone = np.full(len(words), len(words) >= WINDOW) if (n == ALL).any() else covered(len(words), np.array(starts.values), n + WINDOW - 1)
                 if digest or gone is not None:
                     data = b" ".join(words if gone is None else compress(words, ~gone))
                 rows.append((len(words), 0 if gone is None else int(gone.sum()), sha256(data).hexdigest() if digest else data.decode("utf-8", "surrogatepass")))
@@ -138,11 +148,13 @@ def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest
     ``kept`` is the text itself where nothing is removed, and otherwise the words that stay, joined by spaces;
     with ``digest`` the SHA-256 of the words that stay, so joined.
     """
-    rows, _ = keyed_texts(df, key, text, carry)
+    rows, repeated = keyed_texts(df, key, text, carry)
     docs = packed(rows)
     parts = partitions(df.sparkSession)
-    texts = docs.select("k", "th", "z")
-    near = gathered(mark_repeats(rows.select("k", "th", "t").mapInArrow(anchors, ROW_DDL), parts))
+    single = rows.select("k", "th", "t")
+    single = single.dropDuplicates(["k", "th"]) if repeated else single
+    texts = packed(single) if repeated else docs.select("k", "th", "z")
+    near = gathered(mark_repeats(single.mapInArrow(anchors, ROW_DDL), parts))
     on = lambda marks: (F.col("k") == marks.pk) & (F.col("th") == marks.pth)
     candidates = texts.join(near, on(near)).select("k", "th", "z", "starts")
     # read twice, so computed once
@@ -150,6 +162,9 @@ def passage_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest
     differ = gathered(found.filter(F.col("kind") != WHOLE), "hs")
     by_window = texts.join(differ, on(differ)).select("k", "th", "z", "starts", "counts", "hs").mapInArrow(windows, ROW_DDL)
     marks = found.filter(F.col("kind") == WHOLE).select("k", "th", "starts", "counts").unionByName(mark_repeats(by_window, parts))
+    if repeated:
+        several = rows.groupBy("k", "th").agg(F.count("*").alias("c")).filter("c > 1")
+        marks = marks.unionByName(several.select("k", "th", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.lit(ALL)).alias("counts")))
     repeats = gathered(marks)
     extra = [f for f in docs.schema.fields[3:]]
     whole = docs.join(repeats, on(repeats), "left").select("k", "th", "z", "starts", "counts", *(f.name for f in extra))
