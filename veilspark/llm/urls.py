@@ -1,17 +1,22 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
 Every URL expands into the suffixes of its host and the prefixes of its path that end in a
-slash; an expression is looked up by the first four bytes of its SHA-256 and confirmed by
-the whole digest.  Of the rules that fit, the one with the longest host wins, then the one
+slash.  The rules are grouped by the first four bytes of the SHA-256 of their expression; an
+expression meets the group with its own four bytes by an equality join on these alone, and each rule
+of the group is confirmed, or not, by the whole digest.  Of the rules that fit, the one with the longest host wins, then the one
 with the longest path, then the smaller text.
 
 Suffixes with more labels, and prefixes with more slashes, than any rule has are left out:
 no rule can equal them.  The expansion of a URL is bounded by the rule table, not by the URL.
-The URLs are judged once each: repeated ones meet before the shuffle.
+The URLs are judged once each: repeated ones meet before the shuffle, and only those that a rule fits are
+joined back; URLs without a host are not looked up at all.
 
 Defined results: a NULL URL, or one without ``://``, has an empty host and path; no rule
 fits an empty host, and the verdict is then ``block`` (there is nothing to fetch); a URL
-that no rule fits is allowed.  Repeated rows each get their row; an empty table gives none.
+that no rule fits is allowed; of rules that tie in both lengths the greatest text wins, and of equal rules
+with different verdicts ``block``; a very long URL is expanded as far as the rules reach.  Repeated rows and
+keys each get their row, a NULL key too; an empty table gives none; columns other than the two
+named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
 )
 #: Up to so many rules are sent to every executor (a row has under 300 bytes); more are joined by a shuffle.
 BROADCAST_RULES = 20_000
+#: Rows of one URL are dealt over so many tasks where results are joined back.
+SALTS = 8
 RULES_DDL = "verdict string, rule_host string, rule_path string"
 
 
@@ -62,7 +69,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
     expression = F.concat("rule_host", F.lit(" "), "rule_path")
     table = rules.select("verdict", "rule_host", "rule_path", F.sha2(expression, 256).alias("digest"))
-    table = table.withColumn("short", F.substring("digest", 1, 8))
+    # a row for each short prefix, with all rules that begin so
+    table = table.groupBy(F.substring("digest", 1, 8).alias("short")).agg(F.collect_list(F.struct("digest", "rule_host", "rule_path", "verdict")).alias("rules"))
     table = F.broadcast(table) if n_rules <= BROADCAST_RULES else table
 
     hosts = judged.select("h", "p").distinct()
@@ -73,10 +81,14 @@ def url_filter(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     prefixes = F.transform(F.filter(F.sequence(F.lit(0), last), lambda n: n > 0), lambda n: F.concat(F.array_join(F.slice(pieces, 1, n), "/"), F.lit("/")))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda q: F.concat(s, F.lit(" "), q))))
     wide = hosts.filter("h <> '' AND p LIKE '/%'").select("h", "p", F.explode(pairs).alias("e")).withColumn("full", F.sha2("e", 256))
-    found = wide.join(table, (F.substring("full", 1, 8) == F.col("short")) & (F.col("full") == F.col("digest")))
-    rank = F.struct(F.length("rule_host"), F.length("rule_path"), F.concat("rule_host", "rule_path"))
-    best = found.groupBy("h", "p").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("b"))
-    best = best.select(F.col("h").alias("bh"), F.col("p").alias("bp"), "b.rule", "b.verdict")
-    out = judged.join(best, (F.col("h") == F.col("bh")) & (F.col("p") == F.col("bp")), "left")
+    met = wide.join(table, F.substring("full", 1, 8) == F.col("short"))
+    confirmed = F.filter("rules", lambda r: r["digest"] == F.col("full"))
+    ranked = F.transform(confirmed, lambda r: F.struct(F.length(r["rule_host"]).alias("a"), F.length(r["rule_path"]).alias("b"), F.concat(r["rule_host"], r["rule_path"]).alias("rule"), r["verdict"].alias("verdict")))
+    best = met.select("h", "p", F.array_max(ranked).alias("b")).filter("b IS NOT NULL").groupBy("h", "p").agg(F.max("b").alias("b"))
+    # a URL that a third of all pages have is dealt over SALTS tasks
+    best = best.select(F.col("h").alias("bh"), F.col("p").alias("bp"), "b.rule", "b.verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bs"))
+    salted = judged.withColumn("s", F.pmod(F.xxhash64("k", "u"), F.lit(SALTS)).cast("int"))
+    fits = (F.col("h") == F.col("bh")) & (F.col("p") == F.col("bp")) & (F.col("s") == F.col("bs"))
+    out = salted.join(best, fits, "left")
     verdict = F.coalesce("verdict", F.when(F.col("h") == "", "block").otherwise("allow"))
     return out.select(F.col("k").alias(key), F.col("h").alias("host"), F.col("p").alias("path"), "rule", verdict.alias("verdict"))
