@@ -13,7 +13,10 @@ rows whose crc32(key as text) mod 3 is 1 are held out.  Scores use the text alon
 
 Defined results: NULL and empty texts have no clause and the lowest score; without labels
 the base list and fixed coefficients are used; a key labelled twice is toxic if one of its
-labels says so; repeated rows are scored each; an empty table gives no rows.
+labels says so; of several texts under one labelled key the least is learned from; ties in the order of
+labelled rows go to the smaller key; repeated rows are scored each; a NULL key is scored, not held out and
+never learned from; very long texts are read whole, clause by clause; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -220,7 +223,7 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = F.xxhash64("id")
     picked = known.filter("y = 1").orderBy(order, "id").limit(fit_rows).unionByName(known.filter("y = 0").orderBy(order, "id").limit(fit_rows))
     # at most 2 * fit_rows rows of two numbers
-    rows = texts(df, key, text).join(F.broadcast(picked), F.col("k") == F.col("id")).select("k", "t", "y")
+    rows = texts(df, key, text).join(F.broadcast(picked), F.col("k") == F.col("id")).groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(itertools.chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for b in batches))
