@@ -1,6 +1,7 @@
 """Fingerprints, near-dedup, passages and suffixes against brute force."""
 
 import random
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -72,6 +73,27 @@ def test_passages_against_brute_force(frame, odd):
     assert passages.passage_digests(frame(odd).filter("false")).count() == 0
 
 
+def test_many_equal_rows(frame):
+    """Work and memory grow with the rows, not with their square."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text)] * 5000 + [(2, "short text")] * 50 + [(3, text + " x"), (4, " ".join(f"v{i}" for i in range(60)))]
+    out = passages.passage_digests(frame(docs)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 60, 60, 5000), (2, 2, 0, 50), (3, 61, 60, 1), (4, 60, 0, 1)]
+
+
+def test_places_beyond_the_low_bits():
+    """Against direct comparison, in a text longer than the bits of a place can number."""
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 1 << 63, (1 << blocks.PLACE_BITS) + 5000, dtype=np.uint64)
+    values[-2100:-2000] = values[1000:1100]
+    take = np.zeros(len(values), bool)
+    take[1000:1066] = take[-2100:-2034] = True
+    first, n, least, content = blocks.spans_of(blocks.Rolling(values), np.zeros(len(values), np.int64), 35, 5, take)
+    low = first < 2000
+    assert low.sum() > 1 and (first[~low] - first[low] == len(values) - 3100).all()
+    assert (n[low] == n[~low]).all() and (least[low] == least[~low]).all() and (content[low] == content[~low]).all()
+
+
 def test_passages_cut_from_rows(frame):
     docs = corpus()
     df = frame(docs)
@@ -339,10 +361,12 @@ def brute_signature(text):
             g = signed(h4(occurrence, h8(g, 42))) >> 26
         numbered.append((g, i))
     sig = []
-    least = [min((signed(h8(g, h4(j, 42))) & ~fingerprints.MASK) | i for g, i in numbered) for j in range(2 * fingerprints.ENTRIES)]
+    circle = [(signed(g << 26) | i) & (2**64 - 1) for g, i in numbered]
     for i in range(fingerprints.ENTRIES):
-        a, b = sorted(least[2 * i : 2 * i + 2], key=lambda x: x & fingerprints.MASK)
-        sig.append((h8(b >> 26, h8(a >> 26, h4(i, 42))) >> 32) & 0xFFFFFFFF)
+        point = (2**63 + i * 2**64 // fingerprints.ENTRIES) % 2**64
+        two = sorted(circle, key=lambda x: (x - point) % 2**64)[:2]
+        a, b = sorted((two * 2)[:2], key=lambda x: x & fingerprints.MASK)
+        sig.append((h8(signed(b) >> 26, h8(signed(a) >> 26, h4(i, 42))) >> 32) & 0xFFFFFFFF)
     return "".join(f"{x:08x}" for x in sig)
 
 
@@ -370,6 +394,34 @@ def test_edited_texts_and_neighbours(frame):
         assert r.near_edited == likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == likeness(r.fingerprint, brute_signature(following))
 
 
+def test_likeness_falls_with_edits_and_moves(frame):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    moved = words[1500:] + words[:1500]
+    docs = [(0, " ".join(words))]
+    for k, share in ((1, 0.02), (2, 0.1), (3, 0.3)):
+        docs.append((k, " ".join(w if rng.random() > share else f"z{rng.random()}" for w in words)))
+    docs.append((4, " ".join(moved)))
+    sig = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(frame(docs)).collect()}
+    like = [sum(sig[0][i : i + 8] == sig[k][i : i + 8] for i in range(0, 256, 8)) / 32 for k in range(5)]
+    assert like[0] == 1 and like[1] > like[2] > like[3] and like[1] > 0.7 and like[3] < 0.4
+    # the set of k-mers is nearly the same, but half of all pairs have changed their order
+    assert 0.2 < like[4] < 0.8
+
+
+def test_a_heavy_key_is_dealt_over_buckets(frame):
+    rng = random.Random(10)
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} {rng.random()} " * 3) for i in range(300)]
+    got = fingerprints.neighbours(frame(docs)).collect()
+    assert len(got) == 300 and sorted(r.t for r in got) == sorted(t for _, t in docs) == sorted(r.next_t for r in got)
+    assert max(Counter(r.b for r in got).values()) < 60
+    order = lambda k: -(1 << 63) if k is None else k
+    key = {t: order(k) for k, t in docs}
+    assert sum(key[r.next_t] < order(r.k) for r in got) == 1
+    place = {(r.b, r.rn): r.t for r in got}
+    assert all(place[r.nb, r.nrn] == r.next_t for r in got)
+
+
 def test_fingerprints_of_odd_rows(frame, odd):
     got = fingerprints.edited_fingerprints(frame(odd)).collect()
     assert len(got) == len(odd) and all(r.near_next is not None and r.near_edited is not None for r in got)
