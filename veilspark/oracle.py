@@ -34,7 +34,7 @@ def normalised(source: str) -> str:
     """CTEs up to ``n(id, text)`` from a query for (id, text)."""
     steps = [f"n0 AS ({source})"]
     steps += [f"n{i} AS (SELECT id, {_PERCENT.format(t='text')} AS text FROM n{i - 1})" for i in (1, 2, 3)]
-    return ",\n".join([*steps, f"n4 AS (SELECT id, {unescaped('text')} AS text FROM n3)", f"n AS (SELECT id, regexp_replace(text, '{INVISIBLE}', '', 'g') AS text FROM n4)"])
+    return ",\n".join([*steps, f"n4 AS (SELECT id, {unescaped('text')} AS text FROM n3)", f"n AS MATERIALIZED (SELECT id, regexp_replace(text, '{INVISIBLE}', '', 'g') AS text FROM n4)"])
 
 
 def _before(gaps: str, hits: str) -> str:
@@ -55,7 +55,7 @@ def plain(pattern: str, group: int = 0) -> str:
 
 
 def runs(alphabet: str, full: str, part: str = "value", cut: str = "") -> str:
-    """A rule whose guards are its own alphabet: whole runs of the alphabet that match in full."""
+    """A rule whose guards are its own alphabet: whole runs of the alphabet, if long enough, that match in full."""
     rows = _pieces(alphabet).replace("GROUP_", "0").replace("SOURCE_", "n")
     return f"SELECT id, start, {part} AS value FROM (SELECT id, length({_before('gaps', 'hits')}) AS start, bodies[i] AS value FROM {rows}) WHERE regexp_full_match(value, '{full}') {cut}"
 
@@ -75,21 +75,21 @@ _CARD = r"(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))(?:-|\s\s)?\d{4}(?:-|
 _INLINE = BY_NAME["credential_inline"].pattern.replace("(?i)(?<![a-zA-Z0-9])", "")
 
 SPANS: dict[str, str] = {
-    "ipv4": runs("[.0-9]+", rf"({_OCTET}\.){{3}}{_OCTET}"),
-    "ipv4_hex": runs("[0-9a-fA-Fx]+", "0x[0-9a-fA-F]{8}(x.*)?", "value[1:10]"),
-    "ipv6_hyphen": runs("[0-9a-fA-F-]+", "[0-9a-fA-F]{4}(-[0-9a-fA-F]{4}){7}"),
-    "uuid": runs("[0-9a-fA-F-]+", "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    "uuid_hex": runs("[0-9a-fA-F]+", "[0-9a-fA-F]{32}"),
+    "ipv4": runs("[.0-9]{7,}", rf"({_OCTET}\.){{3}}{_OCTET}"),
+    "ipv4_hex": runs("[0-9a-fA-Fx]{10,}", "0x[0-9a-fA-F]{8}(x.*)?", "value[1:10]"),
+    "ipv6_hyphen": runs("[0-9a-fA-F-]{39,}", "[0-9a-fA-F]{4}(-[0-9a-fA-F]{4}){7}"),
+    "uuid": runs("[0-9a-fA-F-]{36,}", "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
+    "uuid_hex": runs("[0-9a-fA-F]{32,}", "[0-9a-fA-F]{32}"),
     "email": runs("[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9_.-]+", r"[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9_.-]+\.[A-Za-z]{2,}"),
-    "phone_cn": runs("[0-9]+", "1[3-9][0-9]{9}"),
+    "phone_cn": runs("[0-9]{11,}", "1[3-9][0-9]{9}"),
     "phone_cn_sep": guarded("0-9", rf"(?:\(\()?1[3-9]\d(?:\)\))?{_SEP}\d{{4}}{_SEP}\d{{4}}"),
     "phone_intl": guarded("0-9", rf"\+\+[1-9]\d{{0,2}}{_SEP}(?:\d{_SEP}){{5,14}}\d"),
     "id_card_cn": guarded("0-9Xx", r"[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[Xx\d]"),
     "id_card_cn_sep": guarded("0-9Xx", rf"[1-9]\d{{5}}{_DASH}(?:19|20)\d{{2}}{_DASH}(?:0[1-9]|1[0-2]){_DASH}(?:0[1-9]|[12]\d|3[01]){_DASH}\d{{3}}{_DASH}[Xx\d]"),
     "ssn_us": guarded("0-9", r"\d{3}--\d{2}--\d{4}"),
-    "aws_access_key": runs("[0-9A-Za-z]+", "[Aa][Kk][Ii][Aa][0-9A-Za-z]{16}"),
-    "sha_hash": runs("[0-9a-fA-F]+", "[0-9a-fA-F]{64}"),
-    "github_token": runs("[0-9A-Za-z_]+", "(ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{22,}"),
+    "aws_access_key": runs("[0-9A-Za-z]{20,}", "[Aa][Kk][Ii][Aa][0-9A-Za-z]{16}"),
+    "sha_hash": runs("[0-9a-fA-F]{64,}", "[0-9a-fA-F]{64}"),
+    "github_token": runs("[0-9A-Za-z_]{26,}", "(ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{22,}"),
     "jwt": guarded("A-Za-z0-9_-", r"eyJ[A-Za-z0-9_-]{10,}\.\.[A-Za-z0-9_-]{10,}\.\.[A-Za-z0-9_-]{10,}"),
     "jwt_multiline": guarded("A-Za-z0-9_-", r"eyJ[A-Za-z0-9_-]{10,}\s*\.\.\s*[A-Za-z0-9_-]{4,}\s*\.\.\s*[A-Za-z0-9_-]{4,}"),
     # the look-behind allows a line start, an underscore or a letter s before the keyword; the look-ahead a word character or the assignment itself
@@ -128,7 +128,7 @@ def found(rules: list[str] | None = None, custom: dict[str, tuple[str, str]] | N
             parts.append(f"SELECT id, {i} AS ord, '{rule.name}' AS rule_name, '{placeholder or rule.placeholder}' AS placeholder, {rule.priority} AS prio, start, start + length(value) AS e, value, {sure} AS confidence FROM ({rows}) WHERE NOT {_listed(rule.name)}")
     for i, (name, (pattern, mark)) in enumerate((custom or {}).items()):
         parts.append(f"SELECT id, {100 + i} AS ord, '{name}' AS rule_name, '{mark}' AS placeholder, 0 AS prio, start, start + length(value) AS e, value, 'high' AS confidence FROM ({plain(pattern)})")
-    return "found AS (" + "\nUNION ALL ".join(parts) + ")"
+    return "found AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
 
 
 def resolved(source: str, **more) -> str:
