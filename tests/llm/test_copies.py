@@ -145,7 +145,9 @@ def brute_suffixes(docs, n=100):
 
 def test_suffixes_against_brute_force(frame):
     docs = corpus(7, 80) + [(500, "ab" * 300), (501, "x" * 350), (502, ""), (503, None), (504, "é" * 120)]
-    for hot in (suffixes.HOT, 2):
+    fixed = "".join(random.Random(1).choices("abcdefgh ", k=200))
+    docs += [(600 + i, fixed[:90] + f"{i * 7919 % 1000:04d}" + fixed[90:]) for i in range(40)]
+    for hot in (suffixes.HOT, 8, 2):
         got = sorted(map(tuple, suffixes.suffix_digests(frame(docs), hot=hot).collect()), key=repr)
         assert got == brute_suffixes(docs)
 
@@ -158,15 +160,21 @@ def test_suffixes_of_odd_rows(frame, odd):
     assert suffixes.suffix_digests(frame(odd).filter("false")).count() == 0
 
 
-def test_longest_previous_factor():
+def test_longest_previous_factors_against_brute_force():
     rng = np.random.default_rng(3)
-    raw = np.tile(rng.integers(0, 3, 150).astype(np.uint8), 3)
-    starts = np.arange(len(raw) - 99)
-    seen, want = set(), []
-    for i in starts:
-        want.append(raw[i : i + 100].tobytes() in seen)
-        seen.add(raw[i : i + 100].tobytes())
-    assert suffixes.longest_previous(raw, starts).tolist() == want
+    for letters, n in ((3, 150), (2, 220), (1, 130), (200, 150)):
+        raw = np.concatenate((np.tile(rng.integers(0, letters, n).astype(np.uint8), 2), rng.integers(0, letters, 60).astype(np.uint8), np.tile(rng.integers(0, letters, 37).astype(np.uint8), 5)))
+        starts = np.flatnonzero(rng.random(len(raw) - 99) < 0.8)
+        data = raw.tobytes()
+        want = [max((next((j for j in range(100) if data[a + j] != data[b + j]), 100) for b in starts[:i]), default=0) for i, a in enumerate(starts)]
+        assert suffixes.longest_previous(raw, starts).tolist() == want
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(4)
+    for values in (rng.permutation(500), np.arange(300), np.arange(300)[::-1], np.array([0]), np.array([], int)):
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert suffixes.previous_smaller(values).tolist() == want
 
 
 # --- near-dedup

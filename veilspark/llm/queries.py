@@ -45,6 +45,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_digests(read(spark, sf_dir, "documents"))
 
 
+SQL["op6_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+piece AS (SELECT doc_id, n, b, substr(x, 2 * b + 1, 2198) AS s FROM (SELECT doc_id, x, n, unnest(range(0, n, 1000)) AS b FROM d)),
+win AS (SELECT doc_id, b + j AS i, hash(substr(s, 2 * j - 1, 200)) AS g FROM (SELECT doc_id, b, s, unnest(range(1, least(1001, n - 98 - b))) AS j FROM piece)),
+rep AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS c FROM win) WHERE c > 1),
+byte AS (SELECT doc_id, b + j AS p, substr(s, 2 * j - 1, 2) AS b FROM (SELECT doc_id, b, s, unnest(range(1, least(1001, n - b + 1))) AS j FROM piece WHERE doc_id IN (SELECT doc_id FROM rep))),
+gone AS (SELECT byte.doc_id, p, b, max(r.i) OVER (PARTITION BY byte.doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM byte LEFT JOIN rep r ON r.doc_id = byte.doc_id AND r.i = byte.p),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS first FROM gone),
+cut AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS m, count(*) FILTER (WHERE first) AS spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM edge GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(m, 0) AS n_removed, coalesce(spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(t) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"))
 

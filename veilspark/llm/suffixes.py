@@ -1,27 +1,31 @@
 """Suffix-array dedup: bytes covered by a LENGTH-byte string that starts earlier too.
 
-A suffix has a longest previous factor of LENGTH or more if a suffix before it in the text
-shares its first LENGTH bytes.  In suffix order such suffixes stand together, and where
-equal beginnings are ordered by position the previous smaller position is the neighbour.
+The longest previous factor of a suffix is the longest beginning it shares with a suffix that
+stands earlier in the text.  In suffix order that is one of two neighbours: the nearest
+one before it with a smaller position, or the nearest one behind it.  A window of LENGTH bytes
+goes where the longest previous factor is that long; so later copies go and the first stays.
+
 One suffix array of a whole corpus doesn't fit a task, so the suffixes are dealt to tasks by
 a key that equal beginnings share: the minimizer of the LENGTH bytes, that is the least hash
 of GRAM bytes within them.
 
 1. Consecutive windows with one minimizer form a span of at most some 170 bytes.  Spans that
-   equal an earlier span of the corpus are earlier matches as a whole and need no more.
+   equal an earlier span of the corpus have it as previous factor as a whole and need no more.
 2. Of a minimizer's spans that differ, each goes with its bytes to the minimizer's task. There
-   a suffix array over the spans, by prefix doubling up to LENGTH bytes, gives the windows
-   with a longest previous factor that long.
-3. A minimizer with more than HOT different spans isn't gathered: its windows go, as two
-   64-bit hashes, to tasks of their own.
+   a suffix array over the spans, by prefix doubling up to LENGTH bytes, with previous and next
+   smaller positions and common prefixes gives the longest previous factors.
+3. A minimizer with more than HOT different spans isn't gathered: its windows are cut into spans anew,
+   by minimizers under another hash, and go through 1 and 2 again; what is still too many then, by the
+   hash of the window itself.  The same steps decide at each level.
 4. A document's windows are put together; what they cover goes, the first copy stays.
 
 Nothing is dropped at any step: each window is decided in exactly one of them.
 
 Defined results: NULL is the empty text; rows equal in key and text are one document and get
 equal results, rows that repeat a key with other texts are ordered by a hash of the text; a
-NULL key is the smallest; an empty table gives no rows; columns other than the two named
-ones are ignored. Cuts may fall inside a character, so what is kept are bytes.
+NULL key is the smallest; a text shorter than a window keeps all; long texts are worked on in pieces that
+overlap; an empty table gives no rows; columns other than the two named
+ones are ignored, whatever their names. Cuts may fall inside a character, so what is kept are bytes.
 """
 
 from __future__ import annotations
@@ -34,16 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.blocks import PIECE, ROW_DDL, SORT, SPANS_DDL, WHOLE, WIDE, Rolling, classify, combined, gathered, letters, make_rows, mark_repeats, mix, positions, slices, sorted_rows, spans_of
+from veilspark.llm.blocks import PIECE, ROW_DDL, SORT, SPANS_DDL, WHOLE, WIDE, Rolling, classify, combined, gathered, letters, make_rows, positions, slices, sorted_rows, spans_of
 from veilspark.llm.common import keyed_texts, out_key, packed, partitions, small_batches, unpack, written
 from veilspark.llm.passages import covered
 
 LENGTH = 100
 GRAM = 32
 HOT = 1_000
+#: Seed and gram length of each level's minimizers; the last one is a window's own hash.
+LEVELS = ((1, GRAM), (2, GRAM), (3, LENGTH))
 #: Span bytes that a task sorts at a time.
 SORTED = 1 << 20
 
+
 def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[np.ndarray]:
         for batch in small_batches(batches):
@@ -95,26 +102,60 @@ def _bodies(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "k", "th", "at", "n", "body"])
 
 
-def prefix_ranks(raw: np.ndarray) -> np.ndarray:
-    """For each place with LENGTH bytes from it on, the rank of those bytes: prefix doubling from 8 to 64, then two halves that overlap."""
+def prefix_ranks(raw: np.ndarray) -> dict[int, np.ndarray]:
+    """For 8, 16, 32, 64 and LENGTH bytes: of each place with so many bytes from it on, the rank of those bytes. Prefix doubling, the last step from two halves that overlap."""
     wide = np.zeros(len(raw) - 7, np.uint64)
     for j in range(8):
         wide = (wide << np.uint64(8)) | raw[j : len(raw) - 7 + j]
-    rank = np.unique(wide, return_inverse=True)[1]
-    for step in (8, 16, 32, LENGTH - 64):
+    ranks = {8: np.unique(wide, return_inverse=True)[1]}
+    for size, step in ((16, 8), (32, 16), (64, 32), (LENGTH, LENGTH - 64)):
+        rank = ranks[size - step]
         pair = rank[: len(rank) - step].astype(np.uint64) * np.uint64(len(raw)) + rank[step:].astype(np.uint64)
-        rank = np.unique(pair, return_inverse=True)[1]
-    return rank
+        ranks[size] = np.unique(pair, return_inverse=True)[1]
+    return ranks
+
+
+def common_prefix(raw: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes, LENGTH at most, the places a and b begin with alike."""
+    equal = ranks[LENGTH][a] == ranks[LENGTH][b]
+    out = np.where(equal, LENGTH, 0)
+    some = np.flatnonzero(~equal)
+    a, b, n = a[some], b[some], np.zeros(len(some), np.int64)
+    for size in (64, 32, 16, 8, 4, 2, 1):
+        fits = n + size <= LENGTH
+        alike = fits.copy()
+        if size >= 8:
+            last = len(ranks[size]) - 1
+            alike &= ranks[size][np.minimum(a + n, last)] == ranks[size][np.minimum(b + n, last)]
+        else:
+            for j in range(size):
+                alike &= raw[np.minimum(a + n + j, len(raw) - 1)] == raw[np.minimum(b + n + j, len(raw) - 1)]
+        n += size * alike
+    out[some] = np.minimum(n, LENGTH - 1)
+    return out
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1: all places jump at once along what others have found so far."""
+    at = np.arange(-1, len(values) - 1)
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[values[at[open_]] > values[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
 
 
 def longest_previous(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of the places (ascending) have a longest previous factor of LENGTH or more among them."""
-    rank = prefix_ranks(raw)[starts]
-    order = np.argsort(rank, kind="stable")  # the suffix order; equal beginnings by position
-    # previous smaller position: the neighbour if it begins alike; otherwise both neighbours that are smaller begin differently
-    alike = rank[order][1:] == rank[order][:-1]
-    out = np.zeros(len(starts), bool)
-    out[order[1:]] = alike
+    """The longest previous factor, LENGTH at most, of each of the places (ascending) among them."""
+    ranks = prefix_ranks(raw)
+    order = np.argsort(ranks[LENGTH][starts], kind="stable")  # the suffix order; equal beginnings by position
+    out = np.zeros(len(starts), np.int64)
+    before = previous_smaller(order)
+    behind = len(order) - 1 - previous_smaller(order[::-1])[::-1]
+    for near, some in ((before, before >= 0), (behind, behind < len(order))):
+        mine, theirs = order[some], order[near[some]]
+        out[mine] = np.maximum(out[mine], common_prefix(raw, ranks, starts[mine], starts[theirs]))
     return out
 
 
@@ -127,7 +168,7 @@ def suffix_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         offset = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         row = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        hit = longest_previous(raw, offset[row] + inner)
+        hit = longest_previous(raw, offset[row] + inner) >= LENGTH
         row, inner = row[hit], inner[hit]
         if not len(row):
             return None
@@ -156,17 +197,29 @@ def suffix_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out
 
 
-def wide_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of spans (k, th, z, starts, counts, hs), as two hashes."""
+def finer_spans(seed: int, gram: int):
+    """Spans (k, th, z, starts, counts, hs) cut anew, by minimizers of another hash or length."""
 
-    def parts() -> Iterator[np.ndarray]:
-        for batch in small_batches(batches):
-            for k, th, data, starts, counts, _ in _pieces(batch):
-                for at, n in zip(starts.tolist(), counts.tolist(), strict=True):
-                    raw = np.frombuffer(data, np.uint8, n + LENGTH - 1, at)
-                    yield make_rows(*(mix(Rolling(letters(w)[raw], w).every(LENGTH)) for w in (0, 1)), k, th, at + np.arange(n))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[np.ndarray]:
+            for batch in small_batches(batches):
+                for k, th, data, starts, counts, _ in _pieces(batch):
+                    raw = np.frombuffer(data, np.uint8)
+                    # neighbouring spans are one run of windows; runs go in blocks, one behind the other
+                    order = np.argsort(starts)
+                    starts, counts = starts[order], counts[order].astype(np.int64)
+                    for part in slices(counts.tolist(), PIECE, lambda n: n + LENGTH - 1):
+                        first, n = starts[part], counts[part]
+                        size = n + LENGTH - 1
+                        offset = np.cumsum(size) - size
+                        doc = np.repeat(np.arange(len(n)), size)
+                        place = first[doc] + np.arange(len(doc)) - offset[doc]
+                        at, m, least, content = spans_of(Rolling(letters(seed)[raw[place]], seed % 2), doc, LENGTH, gram)
+                        yield make_rows(least, content, k, th, place[at], m)
+
+        return combined(parts())
 
-    return combined(parts())
+    return run
 
 
 RESULT = "k long, th long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -197,18 +250,26 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest:
     docs = packed(rows)
     rows = rows.dropDuplicates(["k", "th"]) if repeated else rows
     single = packed(rows) if repeated else docs
-    dealt = sorted_rows(rows.mapInArrow(spans, ROW_DDL), parts)
-    # read three times, so computed once
-    found = written(dealt.mapInArrow(lambda batches: classify(batches, hot, True), SPANS_DDL), "spans")
 
-    def texts_with(kind: int) -> DataFrame:
+    def texts_with(found: DataFrame, kind: int) -> DataFrame:
         some = gathered(found.filter(F.col("kind") == kind), "hs")
         return single.join(some, (single.k == some.pk) & (single.th == some.pth)).select("k", "th", "z", "starts", "counts", "hs")
 
-    by_minimizer = texts_with(SORT).mapInArrow(bodies, BODY_DDL).repartition(parts, "h").sortWithinPartitions("h", "k", "th", "at")
+    def decided(dealt: DataFrame, most: int) -> DataFrame:
+        # read three times, so computed once
+        return written(sorted_rows(dealt, parts).mapInArrow(lambda batches: classify(batches, most, True), SPANS_DDL), "spans")
+
+    found = last = decided(rows.mapInArrow(spans, ROW_DDL), hot)
+    for seed, gram in LEVELS[1:]:
+        if last.filter(F.col("kind") == WIDE).isEmpty():
+            break
+        # at the last level windows that share a key are equal, so there are never many
+        last = decided(texts_with(last, WIDE).mapInArrow(finer_spans(seed, gram), ROW_DDL), hot if gram < LENGTH else 1 << 40)
+        found = found.unionByName(last)
+
+    by_minimizer = texts_with(found, SORT).mapInArrow(bodies, BODY_DDL).repartition(parts, "h").sortWithinPartitions("h", "k", "th", "at")
     marks = found.filter(F.col("kind") == WHOLE).select("k", "th", "starts", "counts")
     marks = marks.unionByName(by_minimizer.mapInArrow(suffix_arrays, "k long, th long, starts array<long>, counts array<int>"))
-    marks = marks.unionByName(mark_repeats(texts_with(WIDE).mapInArrow(wide_windows, ROW_DDL), parts, later_only=True))
     all_marks = gathered(marks)
     whole = docs.join(all_marks, (docs.k == all_marks.pk) & (docs.th == all_marks.pth), "left").select("k", "th", "z", "starts", "counts")
     return whole.mapInArrow(_cut(digest), RESULT)
