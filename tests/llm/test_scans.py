@@ -35,16 +35,68 @@ def test_base_phrases_against_brute_force(frame, odd):
     assert got == sorted(((k, *brute_base(t)) for k, t in docs), key=repr)
 
 
+def brute_labels(docs, templates):
+    """Every template against every place of every document, from counts made anew."""
+    import math
+
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in docs]
+    idf = lambda w: round(math.log((1 + len(docs)) / (1 + sum(w in words for words in split))), 9)
+    rank = {w: (-idf(w), w.encode()) for notice, _ in templates.values() for w in notice.split()}
+    out = {}
+    for (k, _), words in zip(docs, split, strict=True):
+        chosen, found = set(), {}
+        for notice, phrases in templates.values():
+            if {w for p in phrases for w in p.split()} <= set(words):
+                chosen |= set(sorted(set(notice.split()) & set(words), key=rank.get)[: licenses.RARE_WORDS])
+        for label, (notice, phrases) in templates.items():
+            body = notice.split()
+            for shift in range(-len(body), len(words) + 1):
+                on = [i for i in range(len(body)) if 0 <= shift + i < len(words) and words[shift + i] == body[i]]
+                if not any(body[i] in chosen for i in on):
+                    continue
+                near = lambda p: any(0 <= shift + f"{notice} "[: notice.index(p)].count(" ") + d and words[shift + notice[: notice.index(p)].count(" ") + d :][: len(p.split())] == p.split() for d in range(-licenses.SLACK, licenses.SLACK + 1))  # noqa: E731, B023
+                if all(near(p) for p in phrases):
+                    found[label] = max(found.get(label, 0), len(on) / len(body))
+        out[k] = found
+    return out
+
+
 def test_labels_of_the_index(frame):
     notice, phrases = licenses.TEMPLATES["mit"]
     docs = [(1, "intro " * 30 + notice + " more"), (2, notice.replace("hereby", "never")), (3, " ".join(reversed(notice.split()))), (4, "Licensed under CC BY-NC 4.0."), (5, "This work is licensed under the GNU General Public License, version 3.")]
+    docs += [(6, "released under CC0"), (7, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software who gives it on"), (8, "obtaining person copy software " * 40)]
     got = {r.doc_id: r for r in licenses.license_scan(frame(docs)).collect()}
     assert got[1].labels == "mit" and got[1].score == 1.0
     assert got[2].labels == "" and got[3].labels == "" and got[3].score == 0
     assert set(got[4].labels.split(",")) == {"cc-by", "cc-by-nc"} and "gpl-3.0" in got[5].labels.split(",")
+    assert got[6].labels == "cc0" and got[7].labels == "mit" and got[8].labels == ""
     assert licenses.license_scan(frame(docs).filter("false")).count() == 0
 
 
+def test_labels_against_brute_force(frame, odd):
+    rng = random.Random(14)
+    notices = [n for n, _ in licenses.TEMPLATES.values()]
+    noise = ["the", "software", "license", "public", "copy", "x1", "é", "by", "cc", "2", "of"]
+    docs = [(k, t) for k, t in odd if t is None or len(t) < 1000]
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    for i in range(80):
+        words = [rng.choice(noise) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            body = rng.choice(notices).split()
+            a = rng.randrange(len(body))
+            body = body[a // 2 : a // 2 + rng.randint(5, 80)]
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(body) + 1)
+                body[at : at + rng.choice([0, 1])] = [rng.choice(noise)] * rng.choice([0, 1, 2])
+            words[rng.randrange(len(words) + 1) : 0] = body
+        docs.append((100 + i, rng.choice([" ", ", ", "\n"]).join(words)))
+    want = brute_labels(docs, licenses.TEMPLATES)
+    assert len({label for found in want.values() for label in found}) > 8
+    for r in licenses.license_scan(frame(docs)).collect():
+        assert set(filter(None, r.labels.split(","))) == {*want[r.doc_id], *filter(None, r.base_labels.split(","))}, r
+        assert r.score == max([0.0, *want[r.doc_id].values(), *([0.5] if r.base_labels else [])])
+
+
 # --- toxicity
 
 
@@ -88,6 +140,33 @@ def test_grammar():
     assert model.score("") < 0.5 and model.score("you idiot, you stupid moron. you pathetic loser") > 0.7
 
 
+def test_clauses_against_a_scorer_word_by_word():
+    """The composed machine against the rules stated one by one."""
+    rng = random.Random(15)
+    model = toxicity.Model(["blorf"])
+    pool = ["blorfs", "idiot", "kill", "you", "they", "not", "never", "said", "wrote", "house", "x", "é"]
+    for _ in range(400):
+        clause = [rng.choice(pool) for _ in range(rng.randint(1, 14))]
+        total, insults, threats, reported, target, negation = 0.0, 0, 0, False, -99, -99
+        for i, w in enumerate(clause):
+            if w in ("blorfs", "idiot", "kill"):
+                threat = w == "kill"
+                weight = (0.8 if threat else 1.0) * (0.5 if (threats if threat else insults) else 1.0)
+                weight *= (1.5 if i - target <= toxicity.NEAR else 1) * (0.3 if i - negation <= toxicity.NEAR else 1) * (0.5 if reported else 1)
+                total += weight
+                threats, insults = threats + threat, insults + (not threat)
+            target, negation, reported = i if w in ("you", "they") else target, i if w in ("not", "never") else negation, reported or w in ("said", "wrote")
+        got = model.clause_weights(" ".join(clause) + ". all fine here")
+        assert abs(sum(got) - total) < 1e-9, clause
+
+
+def test_one_text_is_learned_from_for_each_key(spark, frame):
+    docs, labels = toxic_corpus(200)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(frame(docs), table)
+    assert toxicity.learn(frame(docs + docs[:50] * 30), table) == model
+
+
 def test_odd_rows_and_no_labels(spark, frame, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.learn(frame(odd), none)

@@ -1,17 +1,20 @@
 """License scans: a positional index of rare tokens, verified by mandatory key phrases.
 
-Each template is indexed under those of its words that the corpus has least often (highest
-inverse document frequency, counted over all documents), with their positions.  In a
-document every indexed word votes for (template, document position - template position);
-votes that agree meet on one diagonal.  A diagonal with enough votes is a candidate, and it
-becomes a label if every mandatory phrase of the template stands in the words around it.
+The index holds every word of every template with its positions.  In a file the licence words
+with the highest inverse document frequency, counted over all documents, are looked up: of each
+template whose key phrases the file has the words for, the RARE_WORDS rarest words that stand in
+the file.  Each place of such a word votes for (template, place - position in the template), for every
+template that has the word; votes that agree meet on one diagonal.  A diagonal becomes a label if
+every mandatory phrase of the template stands within SLACK words of its own place on it.  The score is the part of
+the template's words that stand in their places.
 
 Fixed base phrases are found at every place besides.  Words are runs of ASCII digits,
 letters and all other non-ASCII characters, A-Z in lower case.
 
 Defined results: NULL and empty texts have no words and no labels, score 0; equal counts of
-rare words are told apart by the word; repeated rows are scanned each; an empty table gives
-no rows; columns other than the two named ones are ignored. Texts are scanned whole.
+rare words are told apart by the word; of several diagonals of a template the best counts; a NULL key comes out as
+NULL; repeated rows are scanned each; texts are scanned whole, however long; an empty table gives
+no rows; columns other than the two named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from veilspark.llm.common import texts
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label: (opening words of a well-known notice, phrases it must have).
+# Label: (words of a well-known notice or licence text, phrases it must have).
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "agpl": ("under the terms of the gnu affero general public license", ("affero general public license",)),
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
+    "agpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
+    "apache-2.0": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache license",)),
+    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("source and binary forms",)),
+    "bsl-1.0": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
     "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
     "cc-by-nc": ("licensed under cc by nc 4 0", ("cc by nc",)),
     "cc-by-nd": ("licensed under cc by nd 4 0", ("cc by nd",)),
@@ -42,16 +46,17 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cc0": ("cc0 1 0 universal public domain dedication", ("cc0",)),
     "gpl-2.0": ("licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     "gpl-3.0": ("licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    "lgpl": ("under the terms of the gnu lesser general public license", ("lesser general public license",)),
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    "lgpl": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
+    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted free of charge to any person obtaining a copy of this software",)),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
+    "unlicense": ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software",)),
+    "wtfpl": ("do what the fuck you want to public license everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("what the fuck you want to public license",)),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("in no event will the authors be held liable for any damages arising from the use of this software",)),
 }
-#: Each template is indexed under so many of its rarest words; a candidate needs so many votes.
+#: So many of a template's rarest words that a file has are looked up.
 RARE_WORDS = 4
-MIN_VOTES = 2
-#: Words around a candidate's place in which its phrases may stand.
+#: Words by which a phrase may stand off its place on a diagonal.
 SLACK = 3
 
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -63,10 +68,11 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """postings: word -> [(template, position)]."""
+    """postings: word -> [(template, position)]; order: words, rarest first, as ranks; templates: label -> its words, and its phrases as (words, position)."""
 
     postings: dict[bytes, list[tuple[str, int]]]
-    templates: dict[str, tuple[list[bytes], list[bytes]]]
+    order: dict[bytes, int]
+    templates: dict[str, tuple[list[bytes], list[tuple[list[bytes], int]]]]
 
 
 def build_index(df: dict[str, int], n_docs: int, templates=None) -> Index:
@@ -74,14 +80,17 @@ def build_index(df: dict[str, int], n_docs: int, templates=None) -> Index:
     postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
     split = {}
     for label, (notice, phrases) in sorted((templates or TEMPLATES).items()):
-        words = notice.split()
-        idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) for w in words}
-        must = {w for p in phrases for w in p.split()}
-        # words of the mandatory phrases come first where they are equally rare
-        for w in sorted(idf, key=lambda w: (-round(idf[w], 9), w not in must, w))[:RARE_WORDS]:
-            postings[w.encode()] += [(label, i) for i, x in enumerate(words) if x == w]
-        split[label] = ([w.encode() for w in words], [b" %b " % p.encode() for p in phrases])
-    return Index(dict(postings), split)
+        words = [w.encode() for w in notice.split()]
+        for i, w in enumerate(words):
+            postings[w].append((label, i))
+        places = []
+        for phrase in phrases:
+            p = [w.encode() for w in phrase.split()]
+            places.append((p, next(i for i in range(len(words)) if words[i : i + len(p)] == p)))
+        split[label] = (words, places)
+    idf = {w: math.log((1 + n_docs) / (1 + df.get(w.decode(), 0))) for w in postings}
+    order = {w: i for i, w in enumerate(sorted(idf, key=lambda w: (-round(idf[w], 9), w)))}
+    return Index(dict(postings), order, split)
 
 
 def base_hits(padded: bytes) -> tuple[int, int | None, int | None, list[str]]:
@@ -100,23 +109,30 @@ def base_hits(padded: bytes) -> tuple[int, int | None, int | None, list[str]]:
     return n, first, last, sorted(labels)
 
 
+def looked_up(present: set[bytes], index: Index) -> set[bytes]:
+    """Of a file's licence words those with the highest inverse document frequency, for each template that it can have."""
+    chosen: set[bytes] = set()
+    for words, phrases in index.templates.values():
+        if all(present.issuperset(p) for p, _ in phrases):
+            chosen.update(sorted(present.intersection(words), key=index.order.__getitem__)[:RARE_WORDS])
+    return chosen
+
+
 def rare_hits(words: list[bytes], index: Index) -> dict[str, float]:
     """label -> part of the template's words that stand at their place."""
     present = index.postings.keys() & words if len(words) < 64 else index.postings.keys() & set(words)
-    if len(present) == 0:
+    chosen = looked_up(present, index) if present else None
+    if not chosen:
         return {}
-    votes: Counter[tuple[str, int]] = Counter()
-    for place, word in enumerate(words):
-        if word in present:
-            for label, at in index.postings[word]:
-                votes[label, place - at] += 1
+    votes = {(label, place - at) for place, word in enumerate(words) if word in chosen for label, at in index.postings[word]}
     found: dict[str, float] = {}
-    for (label, shift), n in votes.items():
+    for label, shift in votes:
         template, phrases = index.templates[label]
-        if n < min(MIN_VOTES, len(template)):
-            continue
-        around = b" %b " % b" ".join(words[max(0, shift - SLACK) : max(0, shift + len(template) + SLACK)])
-        if all(p in around for p in phrases):
+        for p, at in phrases:
+            first = max(0, shift + at - SLACK)
+            if not any(words[i : i + len(p)] == p for i in range(first, shift + at + SLACK + 1)):
+                break
+        else:
             same = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template))
             found[label] = max(found.get(label, 0.0), same / len(template))
     return found
