@@ -39,7 +39,12 @@ def test_bytes_as_the_library():
 
 
 def test_odd_rows(frame, odd):
-    assert bpe.bpe_digests(frame(odd)).count() == len(odd)
+    t = library_tokenizer("word_bpe_49k.json")
+    want = []
+    for k, text in odd:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want.append((k, len(ids), sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.bpe_digests(frame(odd)).collect()), key=repr) == sorted(want, key=repr)
     assert bpe.bpe_digests(frame(odd).filter("false")).count() == 0
     assert packing.pack_documents(frame(odd).filter("false")).count() == 0
 
@@ -74,6 +79,14 @@ def test_packing_covers_every_id_once(frame):
     assert check_packing(rows, docs, 256) > 0.9
 
 
+def test_rows_of_one_key_and_length_are_dealt(frame):
+    docs = [(None, "same length here")] * 400 + [(1, "same length here")] * 200
+    pieces = packing.document_pieces(frame(docs), "byte_bpe_50k.json", "doc_id", "text", 256).collect()
+    assert max(np.bincount([r.place % 16 for r in pieces])) < 80
+    rows = packing.pack_documents(frame(docs), size=256).collect()
+    assert len(rows) == 600 == len({(r.sequence_id, r.offset) for r in rows}) and all(r.offset + r.length <= 256 for r in rows)
+
+
 def test_repeated_rows_are_all_packed(frame, odd):
     rows = packing.pack_documents(frame(odd)).collect()
     assert sum(r.start == 0 for r in rows) == len(odd)

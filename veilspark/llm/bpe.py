@@ -5,17 +5,21 @@ at the word's positions.  Ids are decoded by a join with the pieces: here too ea
 word's pieces are joined once.
 
 The distinct words are those of a block of documents within a task, kept in a bounded table
-that later blocks of the same worker reuse.  Joining a table of the whole corpus back by
-position would send a row for every word through a shuffle, several times the input; this way
-nothing is shuffled and a lost task is simply run again.
+that later blocks of the same worker reuse, and the joins are look-ups in it: nothing is shuffled and a lost
+task is simply run again.  A table of the whole corpus, joined back by Spark, would have to send each block's
+distinct words and word numbers through shuffles; the README has the figures.
+
+Words of texts with plain Latin letters are found by one pattern; other texts are normalised and split by
+the tokenizer's own steps, around strings of special tokens, and use the same kind of table.
 
 Defined results: NULL is the empty text, which has no ids; strings of special tokens are
-those tokens, as in the library; repeated rows are encoded each; an empty table gives no
-rows; columns other than the two named ones are ignored.
+those tokens, as in the library; a NULL key comes out as NULL; repeated rows are encoded each; ties don't arise; a very
+long text is split whole; an empty table gives no rows; columns other than the two named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,12 +37,18 @@ BLOCK_CHARS = 1_000_000
 
 
 class WordTable:
-    """word -> (its ids as little-endian 32-bit integers, its pieces joined by spaces)."""
+    """word -> (its ids as little-endian 32-bit integers, its pieces joined by spaces). ``split`` words are written in the letters of bytes already."""
 
     def __init__(self, name: str) -> None:
-        self.name, self.table = name, {}
+        self.name, self.table, self.split_table = name, {}, {}
         tokenizer = library_tokenizer(name)
         self.piece = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        special = [t.content for _, t in sorted(tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
+        self.special = {t: self.row([tokenizer.token_to_id(t)]) for t in special}
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+    def row(self, ids: list[int]) -> tuple[bytes, str]:
+        return pack(ids), " ".join([self.piece[i] for i in ids])
 
     def add(self, words: set[str]) -> None:
         new = list(words - self.table.keys())
@@ -46,8 +56,21 @@ class WordTable:
             self.table.clear()
             new = list(words)
         for word, e in zip(new, library_tokenizer(self.name).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.table[word] = (pack(ids), " ".join([self.piece[i] for i in ids]))
+            self.table[word] = self.row(e.ids)
+
+    def rows_of(self, text: str) -> Iterator[tuple[bytes, str]]:
+        """The rows of any text's words, split by the tokenizer's own steps."""
+        tokenizer = library_tokenizer(self.name)
+        for part in self.around.split(text) if self.around else [text]:
+            if part in self.special:
+                yield self.special[part]
+                continue
+            for word, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part)):
+                if word not in self.split_table:
+                    if len(self.split_table) >= TABLE_WORDS:
+                        self.split_table.clear()
+                    self.split_table[word] = self.row([t.id for t in tokenizer.model.tokenize(word)])
+                yield self.split_table[word]
 
 
 def pack(ids: list[int]) -> bytes:
@@ -76,13 +99,8 @@ def encode_texts(texts_: list[str], name: str) -> Iterator[tuple[bytes, str]]:
         split = [None if OTHER.search(t) else LATIN_WORD.findall(normal(t)) for t in block]
         table.add(set().union(*(w for w in split if w)))
         for text, words in zip(block, split, strict=True):
-            if words is None:
-                tokenizer = library_tokenizer(name)
-                ids = tokenizer.encode(text, add_special_tokens=False).ids
-                yield pack(ids), tokenizer.decode(ids, skip_special_tokens=False)
-            else:
-                rows = [table.table[w] for w in words]
-                yield b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
+            rows = list(table.rows_of(text)) if words is None else [table.table[w] for w in words]
+            yield b"".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
         at = end
 
 
