@@ -92,3 +92,20 @@ def test_entropy_query_against_a_search_window_by_window(spark, folder):
         assert set(want) <= set(kept)
         n += len(want)
     assert n > 1 and set(queries.QUERIES) - set(queries.SQL) == {"scan_entropy"}
+
+
+def test_entry_point_lets_real_errors_through(monkeypatch):
+    import importlib
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    assert entry._present("veilspark.queries") is queries
+    assert entry._present("veilspark.no_such.queries") is None and entry._present("no_such_module") is None
+
+    def fails(name):
+        raise ImportError("a dependency is broken")
+
+    monkeypatch.setattr(importlib, "import_module", fails)
+    with pytest.raises(ImportError, match="broken"):
+        entry._present("veilspark.queries")
