@@ -82,6 +82,29 @@ def test_one_row_of_each_group(spark, frame, tmp_path):
     assert cut[1] == twice and cut[5] == "" and all(t for k, t in cut.items() if k != 5)
 
 
+def test_stages_of_odd_rows(spark, frame, odd, tmp_path):
+    """NULLs, repeated rows and keys, columns with clashing names, and no rows at all, in each stage."""
+    at = str(tmp_path)
+    spark.createDataFrame([(6, 1, 0), (6, 1, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(80))
+    docs = frame([*odd, (20, long), (20, long), (None, long + " end")])
+    columns = docs.columns
+    for name, stage in pipeline.STAGES:
+        out = written(stage(spark, docs, at), "test")
+        none = written(stage(spark, docs.filter("false"), at), "test")
+        assert none.count() == 0
+        if name != "packing":
+            assert out.columns == columns == none.columns and out.schema == docs.schema
+        else:
+            assert out.filter("start = 0").count() == docs.count()
+        if name in ("quality_rules", "near_dedup"):
+            want = {"quality_rules": 3, "near_dedup": 1}[name]
+            assert out.filter(F.col("text").startswith(long)).count() == want
+        if name == "substring_dedup":
+            assert out.filter("doc_id = 20 AND text = ''").count() == 2 and out.filter("text IS NULL").count() == 0
+
+
 def test_run_and_scratch(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.count() == out.select("doc_id", "start").distinct().count() > 0
