@@ -231,20 +231,20 @@ def by_document(rows: np.ndarray) -> pa.RecordBatch:
     return positions(rows["k"], rows["th"], place_of(rows), windows_of(rows))
 
 
-def mark_repeats(rows: DataFrame, parts: int, later_only: bool = False) -> DataFrame:
-    """k, th, starts, counts of rows whose (h, c) others have too - with ``later_only``, of all such rows but the first in (k, th, place) order."""
+def mark_repeats(rows: DataFrame, parts: int) -> DataFrame:
+    """k, th, starts, counts of rows whose (h, c) others have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, before, after in flagged(batches):
             state = state_of(got)
-            done = got[before | (state == KNOWN) if later_only else before | after | (state != ALONE)]
+            done = got[before | after | (state != ALONE)]
             if len(done):
                 yield by_document(done)
 
     return sorted_rows(rows, parts).mapInArrow(run, POSITIONS_DDL)
 
 
-#: What becomes of a span: decided as a whole; gathered with the others of its key; or sent on window by window.
+#: What becomes of a span: decided as a whole; gathered with the others of its key; or sent on to be split further.
 WHOLE, SORT, WIDE = 0, 1, 2
 SPANS_DDL = "kind int, k long, th long, starts array<long>, counts array<int>, hs array<long>"
 
@@ -254,7 +254,7 @@ def classify(batches: Iterator[pa.RecordBatch], most: int, later_only: bool) ->
 
     Spans with equal content repeat each other as a whole - with ``later_only``, the first of
     them doesn't.  One span of each content goes on if its key has other contents: to be
-    sorted together if there are at most ``most``, otherwise by windows.  ``hs`` is then h, or
+    sorted together if there are at most ``most``, otherwise to be split.  ``hs`` is then h, or
     without ``later_only`` whether the content stands elsewhere too.
     """
     last_h: int | None = None
