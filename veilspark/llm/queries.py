@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, fingerprints, licenses, neardup, packing, passages, quality, suffixes, toxicity, urls
+from veilspark.llm import bpe, fingerprints, licenses, neardup, packing, passages, quality, suffixes, toxicity, trie, urls
 from veilspark.llm.common import read
 
 SQL: dict[str, str] = {}
@@ -110,4 +110,29 @@ rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com'
 fit AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh) DESC, length(rp) DESC) AS k FROM s JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (page_id)"""
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text."""
+    bit = "list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, {start}::BIGINT)"
+    step = bit.format(start=f"xor(crc, ascii(x)::BIGINT)").replace("lambda c, k", "lambda c, k")
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda crc, x: {step.replace('ascii(x)::BIGINT', 'x')}, 4294967295::BIGINT), 4294967295)"
+
+
+SQL["op13_conversation_trie"] = rf"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+size AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+conv AS (SELECT size.c, h, size.c - size.c % 5 AS base, least(h, coalesce(b.n, 0)) AS given FROM (SELECT c, {_crc32("c::VARCHAR")} % 9 AS h FROM size) size LEFT JOIN size b ON b.c = size.c - size.c % 5),
+built AS (SELECT conv.c, p, r, x FROM conv JOIN t ON t.c = base AND p <= h UNION ALL SELECT conv.c, p - h + given, r, x FROM conv JOIN t ON t.c = conv.c AND p > h),
+path AS (SELECT c, p AS d, x, string_agg(md5(length(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY p) AS id FROM built UNION ALL SELECT c, 0, '', '' FROM conv),
+len AS (SELECT c, max(d) AS n FROM path GROUP BY c),
+node AS (SELECT id, d, min(path.c) AS c, count(*) AS n, any_value(octet_length(encode(x))) AS b, string_agg(path.c::VARCHAR, ',' ORDER BY path.c) FILTER (WHERE len.n = d) AS ends FROM path JOIN len USING (c) GROUP BY id, d),
+kids AS (SELECT id[1:32 * (d - 1)] AS id, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT up.id, up.d, sum((node.n - 1) * node.b) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM node JOIN path up ON up.c = node.c AND up.d <= node.d LEFT JOIN kids ON kids.id = node.id AND kids.d = node.d GROUP BY up.id, up.d)
+SELECT node.c AS conv_id, node.d AS depth, parent.c AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.id = node.id AND below.d = node.d LEFT JOIN kids ON kids.id = node.id AND kids.d = node.d LEFT JOIN node parent ON node.d > 0 AND parent.d = node.d - 1 AND parent.id = node.id[1:32 * (node.d - 1)]"""
+
+
 QUERIES = {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
