@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, fingerprints, licenses, neardup, packing, passages, periodic, quality, suffixes, toxicity, trie, urls
+from veilspark.llm import bpe, fingerprints, licenses, neardup, packing, passages, periodic, quality, secrets, suffixes, toxicity, trie, urls
 from veilspark.llm.common import read
 
 SQL: dict[str, str] = {}
@@ -110,6 +110,11 @@ rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com'
 fit AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh) DESC, length(rp) DESC) AS k FROM s JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM s LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (page_id)"""
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.secret_scan(docs, secrets.learn(docs))
+
+
 def _crc32(text: str) -> str:
     """CRC-32 of a short ASCII text, bit by bit."""
     byte = "list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, x)::BIGINT)"
