@@ -119,12 +119,16 @@ def native_scan(text: Column, rule: str, config: Config | None = None) -> Column
 def explode_matches(df: DataFrame, text: str = "text", *keys: str, detector: Detector | None = None) -> DataFrame:
     """A row for each match: the key columns and the fields of the match."""
     found = df.select(*keys, (detector or Detector.whole()).scan(text).alias("found"))
-    return found.select(*keys, F.inline("found"))
+    # not inline: for that the optimiser infers a filter on the array and runs the kernel twice
+    return found.select(*keys, F.inline_outer("found")).filter("rule_name IS NOT NULL")
 
 
 def register_sql(spark: SparkSession, detector: Detector | None = None) -> None:
-    """SQL functions redact_text, redact_count, scan_count (native ones need no registration: use the column forms)."""
-    detector = detector or Detector()
+    """SQL functions redact_text, redact_count, scan_count on whole texts; only a given detector has limits.
+
+    redact_truncated says whether a limit has cut a text, of which redact_text then has the head alone.  (Native functions need no registration: use the column forms.)
+    """
+    detector = detector or Detector.whole()
     full, count = detector._kernel(None, None, True), detector._kernel(None, None, False)
 
     @F.arrow_udf("string")
@@ -142,5 +146,10 @@ def register_sql(spark: SparkSession, detector: Detector | None = None) -> None:
         run = count().scan
         return pa.array([len(run(x) or ()) for x in column.to_pylist()], pa.int32())
 
-    for name, function in (("redact_text", redact_text), ("redact_count", redact_count), ("scan_count", scan_count)):
+    @F.arrow_udf("boolean")
+    def redact_truncated(column: pa.Array) -> pa.Array:
+        run = full().prepared
+        return pa.array([bool(x) and run(x)[1] for x in column.to_pylist()], pa.bool_())
+
+    for name, function in (("redact_text", redact_text), ("redact_count", redact_count), ("scan_count", scan_count), ("redact_truncated", redact_truncated)):
         spark.udf.register(name, function)

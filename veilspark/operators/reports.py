@@ -12,7 +12,9 @@ def match_counts(df: DataFrame, by: list[str], text: str = "text", detector: Det
     """Documents that hold a match, for each group and rule; counts are partial before the shuffle."""
     names = F.transform((detector or Detector.whole()).scan(text), lambda m: m["rule_name"])
     per_doc = df.select(*by, F.array_distinct(names).alias("rules"))
-    return per_doc.select(*by, F.explode("rules").alias("rule_name")).groupBy(*by, "rule_name").agg(F.count("*").alias("n_docs"))
+    # not explode: for that the optimiser infers a filter on the array and runs the kernel twice
+    named = per_doc.select(*by, F.explode_outer("rules").alias("rule_name")).filter("rule_name IS NOT NULL")
+    return named.groupBy(*by, "rule_name").agg(F.count("*").alias("n_docs"))
 
 
 def rollup_counts(df: DataFrame, by: list[str], text: str = "text", detector: Detector | None = None) -> DataFrame:

@@ -150,8 +150,9 @@ def with_(ctes: str, query: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{query}"
 
 
-def scanned(source: str, query: str, **more) -> str:
-    return with_(resolved(source, **more), query)
+def scanned(source: str, query: str, more: str = "", **rules) -> str:
+    """``query`` over ``kept`` and further CTEs."""
+    return with_(resolved(source, **rules) + (f",\n{more}" if more else ""), query)
 
 
 def redacted(source: str, query: str, **more) -> str:

@@ -11,10 +11,14 @@ from veilspark.functions import spans
 from veilspark.functions.entropy import shannon_entropy
 from veilspark.functions.rules import BUILTIN_RULES
 from veilspark.operators.detector import Detector, explode_matches, native_redact
+from veilspark.operators.intervals import interval_anti_join, interval_join, occurrences
 from veilspark.operators.messages import redact_messages, redact_strings
+from veilspark.operators.ordered import as_of_join, densest
 from veilspark.operators.reports import audit, match_counts, rollup_counts, top_documents
 from veilspark.plans.config import Config, CustomRule, Entropy
 from veilspark.sources.tables import read_table, spread
+from veilspark.streaming.redact import redact_stream
+from veilspark.streaming.stateful import drained, rate_alarms, sessions, sliding_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +45,8 @@ DOCS = "SELECT doc_id AS id, text FROM documents"
 def _rule_matches(df: DataFrame, rule: str, whitelist: bool = True) -> DataFrame:
     """Matches of one rule, by Spark's own functions on normalised whole texts."""
     found = df.select("doc_id", N.normalize_native(F.col("text")).alias("text")).select("doc_id", spans.rule_spans(F.col("text"), rule, whitelist).alias("m"))
-    return found.select("doc_id", F.inline("m")).select("doc_id", "start", "end", "value", "confidence")
+    # not inline: for that the optimiser infers a filter on the array and computes it twice
+    return found.select("doc_id", F.inline_outer("m")).filter("rule_name IS NOT NULL").select("doc_id", "start", "end", "value", "confidence")
 
 
 for _rule in BUILTIN_RULES:
@@ -60,7 +65,7 @@ def ipv4_scope(spark, sf):
     return ip.groupBy("doc_id").agg(F.count("*").alias("n_ip"), F.count_if(F.col("value").rlike(r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.)")).alias("n_private"))
 
 
-#: One literal text for each rule, with neighbours that must not be found, and overlaps.
+#: A text for each rule, with neighbours that must not be found, and overlaps; appended to the documents, so that every rule has hits in whole texts.
 CASES = (
     "host 203.0.113.9 up, not 203.0.113.10. nor 10.1.2.3", "at 0xC0A80001 now", "addr [2001:db8:0:0:0:0:0:1] x", "x 2001-0db8-0000-0000-0000-0000-0000-0001 y", "id 123e4567-e89b-12d3-a456-426614174000 x",
     "id 123e4567e89b12d3a456426614174000 x", "mail a.b@corp.test now, x@example.com not", "call 13912345678 now", "call (139) 1234-5678 now", "call +1-555-0100200 now", "id 11010519491231002X x", "id 110105-1949-12-31-002X x",
@@ -68,30 +73,33 @@ CASES = (
     "eyJabcdefghijkl.abcdefghijkl.abcdefghijkl", "eyJabcdefghijkl .\n abcdef .\n abcdef", "postgresql+driver://u:p@h/db x", "run psql -h host -U user", "password=hunter22", "http://h/?token=abcd1234", "the api_key: abcdef",
     "4111 1111 1111 1111 and 4392 5799 1234 5678", "Authorization: Bearer abcdefghijklmnop", "p%40q.test is p@q.test, &lt;8.8.8.8&gt; too", "postgres://u:p@203.0.113.9/x",
 )
-_CASE_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(t.replace("'", "''") for t in CASES)) + ") AS t(id, text)"
+_CASE_LIST = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in CASES) + "]"
+_CASE_ROWS = f"SELECT doc_id AS id, coalesce(text, '') || chr(10) || chr(10) || {_CASE_LIST}[doc_id % {len(CASES)} + 1] AS text FROM documents"
 
 
-def _cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CASES)), "doc_id int, text string")
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, each with one of the cases behind it."""
+    case = F.element_at(F.array(*map(F.lit, CASES)), (F.col("doc_id") % len(CASES) + 1).cast("int"))
+    return docs(spark, sf).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), case).alias("text"))
 
 
 @query(oracle.with_(f"{oracle.normalised(_CASE_ROWS)},\n{oracle.found()}", "SELECT id AS doc_id, rule_name, CAST(start AS INT) AS start, CAST(e AS INT) AS \"end\", value, confidence FROM found"))
 def rule_cases(spark, sf):
-    """Every rule by itself over literal texts, of which each rule finds one at least."""
-    texts = _cases(spark).select("doc_id", N.normalize_native(F.col("text")).alias("text"))
-    found = texts.select("doc_id", F.inline(F.concat(*[spans.rule_spans(F.col("text"), r) for r in BUILTIN_RULES])))
+    """Every rule by itself over whole documents with a case of each rule behind them, by Spark's own functions."""
+    texts = _cases(spark, sf).select("doc_id", N.normalize_native(F.col("text")).alias("text"))
+    found = texts.select("doc_id", F.inline_outer(F.concat(*[spans.rule_spans(F.col("text"), r) for r in BUILTIN_RULES]))).filter("rule_name IS NOT NULL")
     return found.select("doc_id", "rule_name", "start", "end", "value", "confidence")
 
 
 @query(oracle.scanned(_CASE_ROWS, "SELECT id AS doc_id, m.rule_name AS rule_name, CAST(m.start AS INT) AS start, CAST(m.e AS INT) AS \"end\", m.value AS value, m.confidence AS confidence FROM kept"))
 def scan_cases(spark, sf):
-    """All rules over the literal texts, overlaps resolved."""
-    return explode_matches(_cases(spark), "text", "doc_id").select("doc_id", "rule_name", "start", "end", "value", "confidence")
+    """All rules over documents with a case behind them, overlaps resolved."""
+    return explode_matches(_cases(spark, sf), "text", "doc_id").select("doc_id", "rule_name", "start", "end", "value", "confidence")
 
 
 @query(oracle.redacted(_CASE_ROWS, "SELECT id AS doc_id, text, replacements FROM done"))
 def redact_cases(spark, sf):
-    r = _cases(spark).select("doc_id", Detector.whole().filter("text").alias("r"))
+    r = _cases(spark, sf).select("doc_id", Detector.whole().filter("text").alias("r"))
     return r.select("doc_id", "r.text", "r.replacements")
 
 
@@ -165,7 +173,7 @@ def scan_entropy(spark, sf):
 @query(oracle.scanned(DOCS, f"SELECT id AS doc_id, {_MATCH} FROM kept", rules=[], custom={"license_line": (r"Licensed under [^\n]+", "[LICENSE]")}))
 def custom_rule_scan(spark, sf):
     found = Detector.whole().add_rule_direct(CustomRule("license_line", r"Licensed under [^\n]+", "[LICENSE]")).scan_with("text", ["license_line"])
-    return docs(spark, sf).select("doc_id", F.inline(found))
+    return docs(spark, sf).select("doc_id", F.inline_outer(found)).filter("rule_name IS NOT NULL")
 
 
 @query(oracle.redacted(DOCS, _REDACTED, rules=["ipv4", "email", "credit_card"], placeholder="[X]"))
@@ -229,7 +237,124 @@ def redact_nested_messages(spark, sf):
     return redact_messages(turns).select("conv_id", "turn", "total_redacted", F.to_json("messages").alias("messages"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.name}', '{r.placeholder}', {r.priority})" for i, r in enumerate(BUILTIN_RULES)) + ") AS t(ord, rule_name, placeholder, priority)")
+_CATALOGUE = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r.name}', '{r.placeholder}', {r.priority})" for i, r in enumerate(BUILTIN_RULES)) + ") AS t(ord, rule_name, placeholder, priority)"
+
+
+@query(oracle.scanned(DOCS, f"SELECT ord, rule_name, placeholder, priority, count(id) AS n_matches FROM ({_CATALOGUE}) LEFT JOIN (SELECT id, m.rule_name AS rule_name FROM kept) USING (rule_name) GROUP BY ALL"))
 def rule_catalogue(spark, sf):
+    """The rules, and how often each is found in the documents."""
     rows = [(i, r.name, r.placeholder, r.priority) for i, r in enumerate(BUILTIN_RULES)]
-    return spark.createDataFrame(rows, "ord int, rule_name string, placeholder string, priority int")
+    rules = spark.createDataFrame(rows, "ord int, rule_name string, placeholder string, priority int")
+    counts = explode_matches(docs(spark, sf), "text", "doc_id").groupBy("rule_name").agg(F.count("*").alias("n"))
+    return rules.join(counts, "rule_name", "left").select("ord", "rule_name", "placeholder", "priority", F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"))
+
+
+# across rows: order, intervals, streams
+#: A custom rule for conversations, which hold little that the built-in rules know.
+_WATCHED = r" (?:the|die|que) "
+
+
+@query(oracle.scanned(
+    "SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, text FROM conversations",
+    """SELECT t.conv_id, t.turn, u.turn AS user_turn, u.n > 0 AS user_hit
+    FROM conversations t ASOF LEFT JOIN (SELECT conv_id, turn, count(k.id) AS n FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, * FROM conversations) c LEFT JOIN kept k ON k.id = c.id WHERE role = 'user' GROUP BY conv_id, turn) u
+    ON t.conv_id = u.conv_id AND t.turn > u.turn""", rules=[], custom={"watched": (_WATCHED, "[WORD]")}))
+def asof_turn_hits(spark, sf):
+    """For each turn the last earlier turn of the user, and whether it held a watched word."""
+    turns = read_table(spark, sf, "conversations")
+    found = Detector.whole().add_rule_direct(CustomRule("watched", _WATCHED, "[WORD]")).scan_with("text", ["watched"])
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", (F.coalesce(F.size(found), F.lit(0)) > 0).alias("hit"))
+    joined = as_of_join(turns.select("conv_id", "turn"), asked, ["conv_id"], "turn", strict=True)
+    return joined.select("conv_id", "turn", F.col("as_of.turn").alias("user_turn"), F.col("as_of.hit").alias("user_hit"))
+
+
+@query("""SELECT p.event_id, p.user_id, CASE WHEN epoch_us(p.ts) - epoch_us(c.ts) <= 86400000000 THEN c.event_id END AS click_id, CASE WHEN epoch_us(p.ts) - epoch_us(c.ts) <= 86400000000 THEN c.value END AS click_value
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def asof_clicks(spark, sf):
+    """For each purchase the last click of its user within a day."""
+    events = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    clicks = events.filter("event_type = 'click'").select("user_id", "ts", "event_id", "value")
+    joined = as_of_join(events.filter("event_type = 'purchase'"), clicks, ["user_id"], "ts", tolerance=86_400_000_000, ties=["event_id"])
+    return joined.select("event_id", "user_id", F.col("as_of.event_id").alias("click_id"), F.col("as_of.value").alias("click_value"))
+
+
+#: Characters around a passage that count as near it.
+NEAR = 3_000
+_PASSAGES = """held AS (SELECT n.id, b.item_id, b.text AS p, string_split(n.text, b.text) AS g FROM n JOIN benchmark b ON len(regexp_extract_all(b.text, '[^ \t\n\x0B\f\r]+')) > 2 AND contains(n.text, b.text)),
+passage AS (SELECT id, item_id, length(array_to_string(g[1:i], '')) + (i - 1) * length(p) AS ps, length(array_to_string(g[1:i], '')) + i * length(p) AS pe FROM (SELECT *, unnest(range(1, len(g))) AS i FROM held))"""
+_MATCH_ROW = "kept.id AS doc_id, m.rule_name AS rule_name, CAST(m.start AS INT) AS start, CAST(m.e AS INT) AS \"end\""
+
+
+def _passages(spark, sf) -> DataFrame:
+    """Where the texts of ``benchmark`` stand in the documents, normalised as the detector does."""
+    whole = docs(spark, sf).select("doc_id", N.normalize_native(F.col("text")).alias("text"))
+    return occurrences(whole, read_table(spark, sf, "benchmark").select("item_id", "text"), "doc_id", "text", "item_id", "text")
+
+
+def _spans(spark, sf) -> DataFrame:
+    return explode_matches(docs(spark, sf), "text", "doc_id").select("doc_id", "rule_name", "start", "end")
+
+
+@query(oracle.with_(f"{oracle.normalised(DOCS)},\n{_PASSAGES}", "SELECT id AS doc_id, item_id, CAST(ps AS INT) AS start, CAST(pe AS INT) AS \"end\" FROM passage"))
+def benchmark_passages(spark, sf):
+    return _passages(spark, sf)
+
+
+@query(oracle.scanned(DOCS, f"SELECT {_MATCH_ROW} FROM kept WHERE NOT EXISTS (FROM passage p WHERE p.id = kept.id AND m.start - {NEAR} < pe AND ps < m.e + {NEAR})", more=_PASSAGES))
+def matches_far_from_passages(spark, sf):
+    """Matches of all rules that are not near a passage of ``benchmark``: an interval anti-join."""
+    return interval_anti_join(_spans(spark, sf), _passages(spark, sf), ["doc_id"], slack=NEAR)
+
+
+@query(oracle.scanned(DOCS, f"SELECT {_MATCH_ROW}, item_id, CAST(ps AS INT) AS passage_start FROM kept JOIN passage p ON p.id = kept.id AND m.start - {NEAR} < pe AND ps < m.e + {NEAR}", more=_PASSAGES))
+def matches_near_passages(spark, sf):
+    """Each match with each passage of ``benchmark`` that it is near: an interval join."""
+    pairs = interval_join(_spans(spark, sf), _passages(spark, sf), ["doc_id"], slack=NEAR)
+    return pairs.select("left.*", F.col("right.item_id").alias("item_id"), F.col("right.start").alias("passage_start"))
+
+
+@query(oracle.scanned(DOCS, "SELECT doc_id, CAST(start AS INT) AS start, n FROM (SELECT id AS doc_id, m.start AS start, count(*) OVER (PARTITION BY id ORDER BY m.start RANGE BETWEEN CURRENT ROW AND 999 FOLLOWING) AS n FROM kept) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, start) = 1"))
+def densest_stretch(spark, sf):
+    """The 1,000 characters of each document in which most matches begin, by a RANGE frame."""
+    return densest(_spans(spark, sf), ["doc_id"], "start", 1_000)
+
+
+def _events(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+
+
+def _stream(spark, sf, build) -> DataFrame:
+    return drained(spark, f"{sf}/events.parquet", lambda e: build(_events(e)), time="ts")
+
+
+_US = "CAST(epoch_us({}) AS BIGINT)"
+
+
+@query(f"""SELECT s // 1000000 AS start_s, event_type, count(*) AS n FROM (SELECT event_type, unnest(range(u // 900000000 - 3, u // 900000000 + 1)) * 900000000 AS s FROM (SELECT event_type, {_US.format('ts')} AS u FROM events)) GROUP BY ALL""")
+def stream_sliding_counts(spark, sf):
+    """Events by type in windows of an hour every quarter of an hour, as a stream."""
+    found = _stream(spark, sf, lambda e: sliding_counts(e, "ts", ["event_type"]))
+    return found.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
+
+
+@query(f"""SELECT user_id, min(u) AS start_us, max(u) AS last_us, count(*) AS n FROM (
+    SELECT user_id, u, sum(CASE WHEN gap < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY u ROWS UNBOUNDED PRECEDING) AS k
+    FROM (SELECT user_id, u, u - lag(u) OVER (PARTITION BY user_id ORDER BY u) AS gap FROM (SELECT user_id, {_US.format('ts')} AS u FROM events))) GROUP BY user_id, k""")
+def stream_sessions(spark, sf):
+    """Sessions of users that end after six hours without an event, as a stream."""
+    found = _stream(spark, sf, lambda e: sessions(e, "ts", "user_id"))
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), (F.unix_micros("end") - 6 * 3_600_000_000).alias("last_us"), "n")
+
+
+@query(f"""SELECT user_id, event_id, u AS at_us, f AS since_us FROM (
+    SELECT user_id, event_id, u, lag(u, 3) OVER (PARTITION BY user_id ORDER BY u, event_id) AS f FROM (SELECT user_id, event_id, {_US.format('ts')} AS u FROM events)) WHERE u - f <= 43200000000""")
+def stream_rate_alarms(spark, sf):
+    """Every event that is its user's fourth within twelve hours, as a stream with state of its own."""
+    found = _stream(spark, sf, lambda e: rate_alarms(e, "user_id", "ts", "event_id", n=4, seconds=43_200))
+    return found.select("user_id", "event_id", F.unix_micros("ts").alias("at_us"), F.unix_micros("since").alias("since_us"))
+
+
+@query(oracle.redacted(DOCS, "SELECT id AS doc_id, text, replacements AS n_redacted FROM done"))
+def stream_redact_documents(spark, sf):
+    """Redaction of the documents as a stream."""
+    return drained(spark, f"{sf}/documents.parquet", lambda d: redact_stream(d.select("doc_id", "text")))

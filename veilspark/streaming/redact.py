@@ -16,5 +16,5 @@ def redact_stream(stream: DataFrame, text: str = "text", detector: Detector | No
 
 def windowed_counts(stream: DataFrame, time: str, text: str = "text", window: str = "5 minutes", late: str = "10 minutes", detector: Detector | None = None) -> DataFrame:
     """Matches for each window and rule; rows later than ``late`` are dropped by the watermark."""
-    found = stream.withWatermark(time, late).select(time, F.explode((detector or Detector.whole()).scan(text)).alias("m"))
+    found = stream.withWatermark(time, late).select(time, F.explode_outer((detector or Detector.whole()).scan(text)).alias("m")).filter("m IS NOT NULL")
     return found.groupBy(F.window(time, window).alias("window"), F.col("m.rule_name").alias("rule_name")).agg(F.count("*").alias("n_matches"))
