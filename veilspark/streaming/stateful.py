@@ -1,8 +1,8 @@
 """Windows, sessions and rate alarms over events, for streams and tables alike.
 
 Each function takes a streaming or a batch DataFrame and means the same by both: on a table the watermark has no effect
-and every row counts; on a stream rows later than ``late`` behind the newest one are dropped, and state goes once the
-watermark has passed it.  ``drained`` runs a stream over all files there are and then closes it, so its result is the batch result
+and every row counts; on a stream rows later than ``late`` behind the newest one are dropped once the watermark has moved on
+(for windows and sessions a batch later), and state goes once the watermark has passed it.  ``drained`` runs a stream over all files there are and then closes it, so its result is the batch result
 of all rows that weren't too late.  Rows whose time is NULL count in no window; a NULL key is a key.
 """
 
@@ -70,10 +70,12 @@ def _waiting(key: str, row_id: str, n: int, seconds: int):
         import pandas as pd
 
         times, ids, recent = map(list, state.get) if state.exists else ([], [], [])
+        passed = state.getCurrentWatermarkMs() * 1000
         for frame in frames:
+            # Spark drops late rows by the watermark of the batch before
+            frame = frame[frame["_us"] > passed]
             times += frame["_us"].tolist()
             ids += frame[row_id].tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
         waiting, out = sorted(zip(times, ids, strict=True)), []
         done = [x for x in waiting if x[0] <= passed]
         for t, i in done:
