@@ -5,10 +5,12 @@ Offsets are code points from 0, half open, on the text that was searched.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.rules import BY_NAME, DOMAIN_WHITELIST, HOSTNAME_WHITELIST, IP_RULES, IP_WHITELIST, Rule
+from veilspark.functions.rules import BY_NAME, DOMAIN_WHITELIST, GATES, HOSTNAME_WHITELIST, IP_RULES, IP_WHITELIST, NEEDLES, Rule
 
 MATCH_FIELDS = "rule_name string, placeholder string, start int, end int, value string, entropy double, confidence string"
 MATCH_TYPE = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MATCH_FIELDS.split(', '))}>>"
@@ -32,6 +34,17 @@ def is_whitelisted(rule_name: str, value: Column, ips=(), domains=(), strings=()
     return hit | low.isin(*HOSTNAME_WHITELIST)
 
 
+def _may_match(text: Column, rule: Rule) -> Column:
+    """Cheap conditions that every text with a match of a built-in rule fulfils, before its pattern is tried."""
+    hit = F.lit(True)
+    if rule.name not in BY_NAME or rule.pattern != BY_NAME[rule.name].pattern:
+        return hit
+    if rule.name in NEEDLES:
+        folded, words = NEEDLES[rule.name]
+        hit = text.rlike("(?Ui)" + "|".join(words)) if folded else reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return hit & text.rlike("(?Ud)" + GATES[rule.name]) if rule.name in GATES else hit
+
+
 def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True, lists: tuple = ((), (), ()), ipv6_max_bytes: int | None = None) -> Column:
     """array of matches of one rule, left to right; ``lists`` are further addresses, domains and strings that are never reported.
 
@@ -63,7 +76,7 @@ def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True, lists: tu
     found = F.aggregate(pairs, start, add, lambda acc: acc["out"])
     if whitelist:
         found = F.filter(found, lambda m: ~is_whitelisted(rule.name, m["value"], *lists))
-    hit = text.rlike(pattern)
+    hit = _may_match(text, rule) & text.rlike(pattern)
     if ipv6_max_bytes is not None and rule.name in ("ipv6", "ipv6_hyphen"):
         hit = hit & (F.octet_length(text) <= ipv6_max_bytes)
     return F.when(text.isNull(), empty).when(hit, found).otherwise(F.array().cast(MATCH_TYPE))
