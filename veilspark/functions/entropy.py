@@ -56,19 +56,38 @@ def high_entropy(text: str, threshold: float, min_length: int, sample_chars: int
         counts: dict[str, int] = {}
         for c in sample[pos : pos + min_length]:
             counts[c] = counts.get(c, 0) + 1
-        bits = entropy_of(counts, min_length)
-        if bits < threshold:
+        if entropy_of(counts, min_length) < threshold:
             pos += max(1, min_length // 3)
             continue
-        end = pos + min_length
+        # entropy is log n less the sum of c log c over n; one more character changes one term of the sum
+        end, total = pos + min_length, math.fsum(_weight(n) for n in counts.values())
         while end < len(sample):
             c = sample[end]
-            counts[c] = counts.get(c, 0) + 1
-            more = entropy_of(counts, end + 1 - pos)
-            if more < threshold:
+            n = counts.get(c, 0) + 1
+            counts[c] = n
+            total += _weight(n) - _weight(n - 1)
+            size = end + 1 - pos
+            bits = math.log2(size) - total / size
+            # rounding never decides: near the threshold all counts are summed
+            if bits < threshold - _NEAR or bits < threshold + _NEAR and entropy_of(counts, size) < threshold:
+                counts[c] = n - 1
+                if n == 1:
+                    del counts[c]
                 break
-            end, bits = end + 1, more
+            end += 1
         if plausible(sample[pos:end]):
-            found.append((pos, end, bits))
+            found.append((pos, end, entropy_of(counts, end - pos)))
         pos = end
     return found
+
+
+#: By how much a running sum may be off.
+_NEAR = 1e-7
+_WEIGHTS = [0.0, 0.0]
+
+
+def _weight(n: int) -> float:
+    """n log n, kept for small n."""
+    while len(_WEIGHTS) <= min(n, 100_000):
+        _WEIGHTS.append(len(_WEIGHTS) * math.log2(len(_WEIGHTS)))
+    return _WEIGHTS[n] if n < len(_WEIGHTS) else n * math.log2(n)

@@ -131,11 +131,16 @@ def found(rules: list[str] | None = None, custom: dict[str, tuple[str, str]] | N
     return "found AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
 
 
-def resolved(source: str, **more) -> str:
-    """CTEs up to ``kept(id, m)``: the matches that are left once overlaps are resolved, in order."""
+def resolved(source: str, entropy: tuple[float, int] | None = None, **more) -> str:
+    """CTEs up to ``kept(id, m)``: the matches that are left once overlaps are resolved, in order; with ``entropy`` (threshold, window) stretches that no match overlaps too."""
     m = "{'rule_name': r.rule_name, 'placeholder': r.placeholder, 'prio': r.prio, 'start': r.start, 'e': r.e, 'value': r.value, 'confidence': r.confidence}"
+    ctes = found(**more)
+    if entropy:
+        ctes = ctes.replace("found AS", "by_rule AS", 1) + f""",
+{entropy_stretches(*entropy)},
+found AS MATERIALIZED (SELECT * FROM by_rule UNION ALL SELECT id, 1000, 'high_entropy', '[SECRET]', 0, p, e, value, 'high' FROM stretch WHERE NOT EXISTS (FROM by_rule r WHERE r.id = stretch.id AND p < r.e AND stretch.e > r.start))"""
     return f"""{normalised(source)},
-{found(**more)},
+{ctes},
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, prio, e DESC, ord) AS rn FROM found),
 fold AS (SELECT id, rn, [{m}] AS kept FROM ranked r WHERE rn = 1
     UNION ALL SELECT f.id, r.rn, CASE WHEN r.start >= f.kept[-1].e THEN list_append(f.kept, {m})
@@ -146,6 +151,29 @@ fold AS (SELECT id, rn, [{m}] AS kept FROM ranked r WHERE rn = 1
 kept AS (SELECT id, unnest(kept) AS m FROM (SELECT id, arg_max(kept, rn) AS kept FROM fold GROUP BY id))"""
 
 
+def entropy_stretches(threshold: float, size: int) -> str:
+    """CTEs up to ``stretch(id, p, e, value, bits)``: a window at or over the threshold grows by characters while it stays there, and the search goes on behind it.
+
+    Windows under the threshold move on by a third, so the next start is the next good window at a multiple of that.  The entropy of a growing
+    stretch is log n less the running sum of each character's change of c log c, over n.
+    """
+    step = max(1, size // 3)
+    plausible = r"""value <> repeat(value[1], length(value)) AND NOT regexp_matches(value, '[\n\r\t]') AND NOT regexp_matches(value, '(?i)data:[^;]+;base64,')
+        AND len(regexp_extract_all(value, '[一-鿿぀-ゟ゠-ヿ가-힯]')) <= 0.3 * length(value) AND len(regexp_extract_all(value, '[ \x{3000}]')) <= 0.25 * length(value)"""
+    weight = lambda n: f"(CASE WHEN {n} > 1 THEN ({n}) * log2({n}) ELSE 0 END)"
+    return f"""txt AS MATERIALIZED (SELECT id, text FROM n WHERE length(text) >= {size}),
+ch AS MATERIALIZED (SELECT id, unnest(range(0, length(text))) AS i, unnest(string_split(text, '')) AS c FROM txt),
+good AS MATERIALIZED (SELECT id, i AS p FROM (SELECT id, i, string_agg(c, '') OVER w AS v FROM ch WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING))
+    WHERE length(v) = {size} AND list_aggregate(string_split(v, ''), 'entropy') >= {threshold} - 1e-9),
+grown AS (SELECT id, CAST(-1 AS BIGINT) AS p, CAST(0 AS BIGINT) AS e FROM txt
+    UNION ALL SELECT id, p, coalesce(min(i) FILTER (WHERE i >= p + {size} AND bits < {threshold} - 1e-9), max(i) + 1) AS e
+    FROM (SELECT id, p, i, log2(i - p + 1) - sum({weight('m')} - {weight('m - 1')}) OVER (PARTITION BY id ORDER BY i) / (i - p + 1) AS bits
+        FROM (SELECT s.id, s.p, ch.i, row_number() OVER (PARTITION BY s.id, ch.c ORDER BY ch.i) AS m
+            FROM (SELECT grown.id, min(good.p) AS p FROM grown JOIN good ON good.id = grown.id AND good.p >= grown.e AND (good.p - grown.e) % {step} = 0 GROUP BY grown.id) s JOIN ch ON ch.id = s.id AND ch.i >= s.p))
+    GROUP BY id, p),
+stretch AS (SELECT id, p, e, value, list_aggregate(string_split(value, ''), 'entropy') AS bits FROM (SELECT id, p, e, substr(txt.text, p + 1, e - p) AS value FROM grown JOIN txt USING (id) WHERE p >= 0) WHERE {plausible})"""
+
+
 def with_(ctes: str, query: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{query}"
 

@@ -10,13 +10,17 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from veilspark.functions.rules import BUILTIN_RULES, ENTROPY_CHARS, IPV6_MAX_BYTES, MAX_TEXT_BYTES, Rule
+from veilspark.plans.ambiguity import ambiguous
 
 # Fixed value: it decides which rules are accepted. A quantified group that holds a quantifier itself, as in ``(a+)+``.
 NESTED_QUANTIFIER = re.compile(r"\([^()]*(?:[+*]|\{\d+,?\d*\})[^()]*\)[+*]")
 
 
-def validate_rule(name: str, pattern: str) -> None:
-    """Raise ValueError for a pattern that may run away, does not compile or can match nothing."""
+def validate_rule(name: str, pattern: str, compatible: bool = False) -> None:
+    """Raise ValueError for a pattern that may run away, does not compile or can match nothing.
+
+    ``compatible`` looks for nested quantifiers in the pattern's text only; otherwise its automaton is searched for ambiguous loops too.
+    """
     if NESTED_QUANTIFIER.search(pattern):
         raise ValueError(f"rule {name!r}: nested quantifiers may backtrack without end")
     try:
@@ -25,6 +29,8 @@ def validate_rule(name: str, pattern: str) -> None:
         raise ValueError(f"rule {name!r}: invalid pattern: {error}") from error
     if compiled.match(""):
         raise ValueError(f"rule {name!r}: the pattern matches the empty string")
+    if not compatible and (why := ambiguous(pattern)):
+        raise ValueError(f"rule {name!r}: {why}, which may backtrack without end")
 
 
 @dataclass(frozen=True)

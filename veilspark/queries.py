@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,15 @@ from veilspark.functions import spans
 from veilspark.functions.entropy import shannon_entropy
 from veilspark.functions.rules import BUILTIN_RULES
 from veilspark.operators.detector import Detector, explode_matches, native_redact
+from veilspark.operators.distinct import LG_K, add_load, cube_estimates, distinct_cube, sketch_states, stored_states
+from veilspark.operators.documents_json import redact_json
 from veilspark.operators.intervals import interval_anti_join, interval_join, occurrences
-from veilspark.operators.messages import redact_messages, redact_strings
+from veilspark.operators.messages import audit_tool_output, redact_messages, redact_strings, redact_tool_output
 from veilspark.operators.ordered import as_of_join, densest
-from veilspark.operators.reports import audit, match_counts, rollup_counts, top_documents
+from veilspark.operators.reports import audit, log_lines, match_counts, rollup_counts, top_documents
+from veilspark.operators.table_functions import register_table_functions
 from veilspark.plans.config import Config, CustomRule, Entropy
+from veilspark.sources.scratch import shared_folder
 from veilspark.sources.tables import read_table, spread
 from veilspark.streaming.redact import redact_stream
 from veilspark.streaming.stateful import drained, rate_alarms, sessions, sliding_counts
@@ -164,10 +170,11 @@ def scan_documents(spark, sf):
     return explode_matches(docs(spark, sf), "text", "doc_id")
 
 
-@query()
+@query(oracle.scanned(DOCS, "SELECT id AS doc_id, m.rule_name AS rule_name, m.placeholder AS placeholder, CAST(m.start AS INT) AS start, CAST(m.e AS INT) AS \"end\", m.value AS value, round(list_aggregate(string_split(m.value, ''), 'entropy'), 6) AS entropy, m.confidence AS confidence FROM kept WHERE m.rule_name = 'high_entropy'", entropy=(3.0, 12)))
 def scan_entropy(spark, sf):
-    """Stretches of high entropy over whole texts; tested against a search written window by window."""
-    return explode_matches(docs(spark, sf), "text", "doc_id", detector=Detector.whole(Config(entropy=Entropy(threshold=3.0)))).filter("rule_name = 'high_entropy'")
+    """Stretches of high entropy over whole texts."""
+    found = explode_matches(docs(spark, sf), "text", "doc_id", detector=Detector.whole(Config(entropy=Entropy(threshold=3.0)))).filter("rule_name = 'high_entropy'")
+    return found.withColumn("entropy", F.round("entropy", 6))
 
 
 @query(oracle.scanned(DOCS, f"SELECT id AS doc_id, {_MATCH} FROM kept", rules=[], custom={"license_line": (r"Licensed under [^\n]+", "[LICENSE]")}))
@@ -357,3 +364,79 @@ def stream_rate_alarms(spark, sf):
 def stream_redact_documents(spark, sf):
     """Redaction of the documents as a stream."""
     return drained(spark, f"{sf}/documents.parquet", lambda d: redact_stream(d.select("doc_id", "text")))
+
+
+_VALUES = "SELECT lang, source, m.value AS v, id FROM kept JOIN documents ON doc_id = id"
+
+
+def _valued(spark, sf) -> DataFrame:
+    return explode_matches(docs(spark, sf), "text", "doc_id", "lang", "source").select("doc_id", "lang", "source", "value")
+
+
+@query(oracle.scanned(DOCS, f"SELECT lang, source, CAST(grouping_id(lang, source) AS BIGINT) AS level, count(DISTINCT v) AS n_values FROM ({_VALUES}) GROUP BY CUBE (lang, source)"))
+def distinct_values_cube(spark, sf):
+    """Distinct matched values by language, source and all of their combinations."""
+    return distinct_cube(_valued(spark, sf), ["lang", "source"], "value")
+
+
+@query(oracle.scanned(DOCS, f"SELECT lang, source, CAST(grouping_id(lang, source) AS BIGINT) AS level, count(*) AS n_rows, true AS close FROM ({_VALUES}) GROUP BY CUBE (lang, source)"))
+def distinct_values_merged(spark, sf):
+    """The same from sketches of two loads that are stored and merged, and whether they are within five standard errors of the exact counts."""
+    values, by, at = _valued(spark, sf), ["lang", "source"], shared_folder(spark, "sketches")
+    for load in (0, 1):
+        add_load(sketch_states(values.filter(F.pmod("doc_id", F.lit(2)) == load), by, "value"), at, str(load))
+    states = stored_states(spark, at, by)
+    sums = states.cube(*by).agg(F.grouping_id().alias("level"), F.sum("n_rows").alias("n_rows"))
+    key = [*by, "level"]
+    exact = distinct_cube(values, by, "value", "exact").select(*(F.col(c).alias(f"x_{c}") for c in key), "exact")
+    guess = cube_estimates(states, by, "guess").select(*(F.col(c).alias(f"g_{c}") for c in key), "guess")
+    same = lambda p: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{p}_{c}")) for c in key])
+    far = 5 * 0.83 / 2 ** (LG_K / 2)
+    return sums.join(exact, same("x")).join(guess, same("g")).select(*key, "n_rows", (F.abs(F.col("guess") - F.col("exact")) <= F.greatest(F.lit(1.0), far * F.col("exact"))).alias("close"))
+
+
+@query(oracle.scanned(DOCS, "SELECT id AS doc_id, m.rule_name AS rule_name, CAST(m.start AS INT) AS start, m.value AS value FROM kept"))
+def lateral_matches(spark, sf):
+    """Matches by a table function in SQL."""
+    register_table_functions(spark)
+    docs(spark, sf).createOrReplaceTempView("veilspark_documents")
+    return spark.sql("SELECT d.doc_id, m.rule_name, m.start, m.value FROM veilspark_documents d, LATERAL explode_matches(d.text) m")
+
+
+@query(oracle.scanned(DOCS, "SELECT source, m.rule_name AS rule_name, count(*) AS n FROM kept JOIN documents ON doc_id = id GROUP BY ALL"))
+def table_matches(spark, sf):
+    """Matches of a table by an Arrow table function in SQL, counted by source."""
+    register_table_functions(spark)
+    docs(spark, sf).createOrReplaceTempView("veilspark_documents")
+    return spark.sql("SELECT key AS source, rule_name, count(*) AS n FROM scan_table(TABLE(SELECT source, text FROM veilspark_documents)) GROUP BY key, rule_name")
+
+
+_MAIL = " mail a.b@corp.test now"
+_SHAPES = """CASE turn % 4 WHEN 0 THEN '{"messages": [{"parts": [{"type": "text", "text": ' || T || '}, {"text":' || T || ' , "type":"reasoning"}]}]}'
+    WHEN 1 THEN '{"parts":[{"type":"tool","state":{"output":' || T || ',"n":1.50}},{"type":"step", "text": ' || RAW || '}]}'
+    WHEN 2 THEN '[' || T || ', {"note":' || T || ',"tags":["x",null,true, 1e3]}]' ELSE '{"type":"any","deep":{"er":[[' || T || ']]}}' END"""
+
+
+@query(oracle.redacted(f"SELECT id, text || '{_MAIL}' AS text FROM ({_TURNS}) WHERE text IS NOT NULL", f"""
+    SELECT conv_id, turn, CAST(replacements * (CASE WHEN turn % 4 IN (0, 2) THEN 2 ELSE 1 END) AS INT) AS n_redacted, {_SHAPES} AS json
+    FROM (SELECT t.conv_id, t.turn, done.replacements, CAST(to_json(done.text) AS VARCHAR) AS T, CAST(to_json(t.text || '{_MAIL}') AS VARCHAR) AS RAW FROM ({_TURNS}) t JOIN done ON done.id = t.id)"""))
+def redact_json_turns(spark, sf):
+    """Turns as JSON of mixed shapes, each with an address; parts of unknown kinds pass."""
+    token = F.to_json(F.array(F.concat("text", F.lit(_MAIL))))
+    turns = read_table(spark, sf, "conversations").filter("text IS NOT NULL").withColumn("T", F.substring(token, F.lit(2), F.length(token) - 2))
+    shaped = turns.select("conv_id", "turn", F.expr(_SHAPES.replace("RAW", "T")).alias("json"))
+    return shaped.select("conv_id", "turn", redact_json("json").alias("r")).select("conv_id", "turn", F.col("r.n").alias("n_redacted"), F.col("r.json").alias("json"))
+
+
+@query(oracle.redacted(f"SELECT id, text FROM ({_TURNS})", f"SELECT role AS tool, count(*) AS n_calls, count(*) FILTER (WHERE replacements > 0) AS n_redacted_calls, CAST(sum(coalesce(replacements, 0)) AS BIGINT) AS n_redacted FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, role FROM conversations) t LEFT JOIN done USING (id) GROUP BY role"))
+def tool_output_audit(spark, sf):
+    """Turns as the output of tools, redacted, and what a log keeps of it."""
+    turns = read_table(spark, sf, "conversations").select(F.col("role").alias("tool"), F.col("text").alias("output"))
+    return audit_tool_output(redact_tool_output(turns))
+
+
+@query(oracle.scanned(DOCS, """SELECT '2024-01-02' AS day, 'INFO' AS level, '[2024-01-02T03:04:05.000] [INFO] redact {"rule_name":"' || m.rule_name || '","n_matches":' || count(*) || '}' AS line FROM kept GROUP BY m.rule_name"""))
+def log_lines_by_rule(spark, sf):
+    """Lines for a log with the matches of each rule."""
+    counts = explode_matches(docs(spark, sf), "text", "doc_id").groupBy("rule_name").agg(F.count("*").alias("n_matches"))
+    return log_lines(counts, F.lit("2024-01-02 03:04:05").cast("timestamp"))
