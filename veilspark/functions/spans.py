@@ -5,12 +5,13 @@ Offsets are code points from 0, half open, on the text that was searched.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.rules import BY_NAME, DOMAIN_WHITELIST, GATES, HOSTNAME_WHITELIST, IP_RULES, IP_WHITELIST, NEEDLES, Rule
+from veilspark.functions.rules import BY_NAME, DOMAIN_WHITELIST, FOLDED, GATES, HOSTNAME_WHITELIST, IP_RULES, IP_WHITELIST, NEEDLES, Rule
 
 MATCH_FIELDS = "rule_name string, placeholder string, start int, end int, value string, entropy double, confidence string"
 MATCH_TYPE = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MATCH_FIELDS.split(', '))}>>"
@@ -45,8 +46,8 @@ def _may_match(text: Column, rule: Rule) -> Column:
     return hit & text.rlike("(?Ud)" + GATES[rule.name]) if rule.name in GATES else hit
 
 
-def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True, lists: tuple = ((), (), ()), ipv6_max_bytes: int | None = None) -> Column:
-    """array of matches of one rule, left to right; ``lists`` are further addresses, domains and strings that are never reported.
+def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True, lists: tuple = ((), (), ()), ipv6_max_bytes: int | None = None, checks: bool = True) -> Column:
+    """array of matches of one rule, left to right; ``lists`` are further addresses, domains and strings that are never reported; ``checks`` tries the rule's cheap conditions first.
 
     Values come from one pass and the gaps between them from another; a fold over both gives the offsets.
     """
@@ -76,12 +77,39 @@ def rule_spans(text: Column, rule: Rule | str, whitelist: bool = True, lists: tu
     found = F.aggregate(pairs, start, add, lambda acc: acc["out"])
     if whitelist:
         found = F.filter(found, lambda m: ~is_whitelisted(rule.name, m["value"], *lists))
-    hit = _may_match(text, rule) & text.rlike(pattern)
+    hit = (_may_match(text, rule) & text.rlike(pattern)) if checks else text.rlike(pattern)
     if ipv6_max_bytes is not None and rule.name in ("ipv6", "ipv6_hyphen"):
         hit = hit & (F.octet_length(text) <= ipv6_max_bytes)
     return F.when(text.isNull(), empty).when(hit, found).otherwise(F.array().cast(MATCH_TYPE))
 
 
+def lowered(text: Column) -> Column:
+    """Lower case, with the letters that a pattern without regard to case takes for ASCII ones as these."""
+    low = F.lower(text)
+    for letter, plain in FOLDED.items():
+        low = F.replace(low, F.lit(letter.lower()), F.lit(plain))
+    return low
+
+
+def every_rule_spans(text: Column, low: Column, rules: Iterable[Rule]) -> Column:
+    """Matches of each rule, one rule after the other, not resolved; ``low`` is the text ``lowered``. Rules with the same gate share it."""
+    empty, by_gate = F.array().cast(MATCH_TYPE), {}
+    for rule in rules:
+        by_gate.setdefault(GATES.get(rule.name) if rule == BY_NAME.get(rule.name) else None, []).append(rule)
+    parts = []
+    for gate, same in by_gate.items():
+        found = []
+        for rule in same:
+            spans = rule_spans(text, rule, checks=False)
+            if rule == BY_NAME.get(rule.name) and rule.name in NEEDLES:
+                folded, words = NEEDLES[rule.name]
+                spans = F.when(reduce(lambda a, b: a | b, [(low if folded else text).contains(w) for w in words]), spans).otherwise(empty)
+            found.append(spans)
+        every = F.concat(*found) if len(found) > 1 else found[0]
+        parts.append(every if gate is None else F.when(text.rlike("(?Ud)" + gate), every).otherwise(empty))
+    return F.concat(*parts)
+
+
 def not_covered(candidates: Column, regex_matches: Column) -> Column:
     """Those candidates that overlap no regex match: an interval anti-join within the row."""
     return F.filter(candidates, lambda e: ~F.exists(regex_matches, lambda r: (e["start"] < r["end"]) & (e["end"] > r["start"])))

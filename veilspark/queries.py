@@ -92,8 +92,8 @@ def _cases(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.with_(f"{oracle.normalised(_CASE_ROWS)},\n{oracle.found()}", "SELECT id AS doc_id, rule_name, CAST(start AS INT) AS start, CAST(e AS INT) AS \"end\", value, confidence FROM found"))
 def rule_cases(spark, sf):
     """Every rule by itself over whole documents with a case of each rule behind them, by Spark's own functions."""
-    texts = _cases(spark, sf).select("doc_id", N.normalize_native(F.col("text")).alias("text"))
-    found = texts.select("doc_id", F.inline_outer(F.concat(*[spans.rule_spans(F.col("text"), r) for r in BUILTIN_RULES]))).filter("rule_name IS NOT NULL")
+    texts = _cases(spark, sf).select("doc_id", N.normalize_native(F.col("text")).alias("text")).withColumn("low", spans.lowered(F.col("text")))
+    found = texts.select("doc_id", F.inline_outer(spans.every_rule_spans(F.col("text"), F.col("low"), BUILTIN_RULES))).filter("rule_name IS NOT NULL")
     return found.select("doc_id", "rule_name", "start", "end", "value", "confidence")
 
 
