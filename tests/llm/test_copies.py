@@ -435,3 +435,13 @@ def test_fingerprints_of_odd_rows(frame, odd):
     assert len(got) == len(odd) and all(r.near_next is not None and r.near_edited is not None for r in got)
     assert len(fingerprints.edited_fingerprints(frame(odd[:1])).collect()) == 1
     assert fingerprints.edited_fingerprints(frame(odd).filter("false")).count() == 0
+
+
+def test_rows_with_maps_under_repeated_keys(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, {"b": 1}, [1]), (1, text, {"a": 2}, [2]), (1, text + " x", None, None), (2, text, {"c": 3}, []), (3, None, {}, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, a array<int>")
+    got = neardup.without_near_duplicates(df, shingle=2)
+    assert got.schema == df.schema
+    kept = sorted((r.doc_id, r.m) for r in got.collect())
+    assert [k for k, _ in kept] == [1, 3] and kept[0][1] in ({"b": 1}, {"a": 2}, None) and kept[1][1] == {}

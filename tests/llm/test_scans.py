@@ -181,14 +181,15 @@ def test_odd_rows_and_no_labels(spark, frame, odd):
 def brute_quality(docs, line_docs, line_share, left):
     from collections import defaultdict
 
-    hosts, idents, sizes = defaultdict(set), {}, defaultdict(int)
+    hosts, idents, sizes = defaultdict(set), {}, defaultdict(set)
     lines = []
     for i, (_, t, _, h) in enumerate(docs):
         norm = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower())
         own = {norm(x) for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)}
         lines.append(own)
         idents[i] = frozenset(own)
-        sizes[h or ""] += 1
+        if own:
+            sizes[h or ""].add(idents[i])
         for x in own:
             hosts[h or "", x].add(idents[i])
     out = []
@@ -200,7 +201,7 @@ def brute_quality(docs, line_docs, line_share, left):
             count[g] = count.get(g, 0) + 1
         rep = len({p for i, g in enumerate(grams) if count[g] > 1 for p in (i, i + 1, i + 2)})
         raw = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        gone = sum(len(x) for x in own if len(hosts[h or "", x]) > max(line_docs, line_share * sizes[h or ""]))
+        gone = sum(len(x) for x in own if len(hosts[h or "", x]) > max(line_docs, line_share * len(sizes[h or ""])))
         total = sum(map(len, own))
         failed = len(w) < 50 or 100 * rep > 50 * len(w)
         out.append((k, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(raw) - len(set(raw)), rep, failed, gone, not failed and not (gone and total - gone < left * total)))
@@ -230,6 +231,17 @@ def test_copies_are_not_boilerplate(frame):
     assert all(r.kept for r in got)
 
 
+def test_copies_of_one_text_hide_no_shared_line(frame):
+    """30 documents share a menu line; 2,000 exact copies of another text in the host are one document more."""
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(60))
+    other = line()
+    docs = [(i, line() + "\nhome about contact", "en", "s") for i in range(30)] + [(1_000 + i, other, "en", "s") for i in range(2_000)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(docs)).collect()}
+    assert all(got[i].removed_chars == len("home about contact") and got[i].kept for i in range(30))
+    assert all(got[1_000 + i].removed_chars == 0 and got[1_000 + i].kept for i in range(2_000))
+
+
 def test_documents_that_are_mostly_shared_lines(frame):
     """30 menu lines and one line of its own in each document: each document counts, whatever the hashes of the lines."""
     rng = random.Random(2)

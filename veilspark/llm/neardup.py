@@ -411,7 +411,7 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "tex
     """Exactly one row of each group, with all its columns.
 
     That is the row with the smallest key (NULL first); of rows that share it, the one with the smallest
-    text hash, and of rows that repeat both, the least by all columns.
+    text hash, and of rows that repeat both, the least by all columns as JSON.
     """
     member, repeated = _members(df, key, text, shingle, percent)
     k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
@@ -420,6 +420,8 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "tex
         return df.join(gone, k == F.col("_k"), "left_anti")
     # repeated rows meet within a task before the shuffle
     th = text_hash(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    one = df.groupBy(k.alias("_k"), th.alias("_th")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_row"))
+    # as JSON any column has an order, a map too
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    one = df.groupBy(k.alias("_k"), th.alias("_th")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
     first = member.groupBy("root").agg(F.min(F.struct("k", "th")).alias("first")).select(F.col("first.k").alias("_k"), F.col("first.th").alias("_th"))
     return one.join(first, ["_k", "_th"], "left_semi").select("_row.*")

@@ -26,7 +26,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 
-#: A line is above the limit in its host if more distinct documents than both of these hold it.
+#: A line is above the limit in its host if more distinct documents hold it than this number and than this part of the host's distinct documents.
 LINE_DOCS = 20
 LINE_SHARE = 0.02
 #: A document is depleted if less than this part of its distinct lines' characters is left.
@@ -94,7 +94,8 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     """k, th, line_chars, removed_chars and the hashes of the lines, for documents that hold a line above the limit (one row for repeated rows)."""
     # read twice, so split, normalised and hashed once
     lines = written(document_lines(df, key, text, host), "lines")
-    sizes = df.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
+    # distinct documents on both sides: copies of one text make no line of the others rarer
+    sizes = lines.select("host", "ident").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     # equal lines of one document meet before the shuffle, and again before they are counted
     counted = lines.select("host", "lh", "ident").distinct().groupBy("host", "lh").agg(F.count("*").alias("n_docs"))
     above = counted.filter(F.col("n_docs") > line_docs).join(sizes, "host").filter(F.col("n_docs") > line_share * F.col("host_docs")).select("lh")

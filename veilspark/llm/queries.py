@@ -89,7 +89,7 @@ rep AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, co
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM rep GROUP BY doc_id),
 dl AS (SELECT doc_id, host, unnest(list_distinct(list_transform(l, lambda x: regexp_replace(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g')))) AS line FROM d),
 ident AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line) AS ident, sum(length(line)) AS total FROM dl GROUP BY doc_id),
-above AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT ident) AS n FROM dl JOIN ident USING (doc_id) GROUP BY host, line) JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host) WHERE n > 20 AND n > 0.02 * docs),
+above AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT ident) AS n FROM dl JOIN ident USING (doc_id) GROUP BY host, line) JOIN (SELECT host, count(DISTINCT ident) AS docs FROM (SELECT DISTINCT doc_id, host FROM dl) JOIN ident USING (doc_id) GROUP BY host) USING (host) WHERE n > 20 AND n > 0.02 * docs),
 cut AS (SELECT doc_id, sum(length(line)) AS removed FROM dl JOIN above USING (host, line) GROUP BY doc_id),
 base AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines FROM d)
