@@ -2,7 +2,8 @@
 
 ``explode_matches(text)`` stands in a LATERAL join and gives the matches of one text.  ``scan_table(TABLE(...))`` takes a table whose first column is a key and
 whose second is the text, reads it in Arrow batches where its rows lie (or as PARTITION BY deals them) and gives a row for each match with the key as a string.
-Both search whole texts unless a detector with limits is registered; a NULL text has no matches.
+Both search whole texts unless a detector with limits is registered; a NULL text has no matches, and what has none has no row (in a LEFT JOIN LATERAL neither: Spark
+pads no table function in Python).
 """
 
 from __future__ import annotations
