@@ -207,3 +207,41 @@ def odd_texts():
 
     texts = [t for t, _ in POSITIVE.values()]
     return [*texts, *(t.upper() for t in texts), *(t.replace("s", "ſ").replace("k", "K").replace("i", "İ") for t in texts), None, "", "paſſword=abcd1 apİ_key: zzzz1"]
+
+
+def test_profiles_never_hide_a_match():
+    """Whatever a rule matches passes its gate, its shape and its least number of digits, with digits of other scripts too."""
+    from test_redaction import POSITIVE
+
+    from veilspark.functions import rules as R
+    from veilspark.operators.kernel import Kernel, Profile
+
+    rng = random.Random(5)
+    kernel = Kernel(Config().whole(), None, None, False)
+    texts = [t for t, _ in POSITIVE.values()]
+    texts += [t.translate({ord("0") + i: chr(0x660 + i) for i in range(10) if rng.random() < 0.5}) for t in texts * 6]
+    texts += ["".join(rng.choice(texts) + rng.choice([" ", "é", "", "中", "-", "٣"]) for _ in range(3)) for _ in range(300)]
+    seen = set()
+    for text in texts:
+        profile = Profile(text)
+        for rule, pattern, _, gate in kernel.rules:
+            if any(m.end() > m.start() for m in pattern.finditer(text)):
+                seen.add(rule.name)
+                assert profile.may_match(rule.name) and (gate is None or profile.may_pass(gate) and kernel.gates[gate](text)), (rule.name, text)
+    assert seen == {r.name for r in BUILTIN_RULES} and set(R.SHAPES) <= set(R.GATES.values()) and set(R.LEAST_DIGITS) <= set(R.GATES)
+
+
+def test_one_automaton_names_the_same_rules_as_each_needle():
+    from veilspark.functions import rules as R
+    from veilspark.operators.kernel import Needles
+
+    rng = random.Random(6)
+    needles = Needles(R.NEEDLES)
+    words = sorted({x for _, xs in R.NEEDLES.values() for x in xs})
+    for _ in range(2_000):
+        text = "".join(w[: rng.randint(1, len(w))] if rng.random() < 0.4 else w for w in rng.choices([*words, " ", "é", "x", "B"], k=rng.randrange(9)))
+        low = text.lower()
+        each = {name for name, (_, xs) in R.NEEDLES.items() if any(x.lower() in low for x in xs)}
+        assert needles.rules(low) == each
+        # nothing that a needle as it is would let through is lost
+        assert {name for name, (folded, xs) in R.NEEDLES.items() if any(x in (low if folded else text) for x in xs)} <= each

@@ -62,7 +62,7 @@ NEEDLES: dict[str, tuple[bool, tuple[str, ...]]] = {
     "aws_access_key": (True, ("akia",)),
     "ssh_private_key": (False, ("-----BEGIN",)),
     "ssh_public_key": (True, ("h-",)),
-    "github_token": (False, ("gh",)),
+    "github_token": (False, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
     "jwt": (False, ("eyJ",)),
     "jwt_multiline": (False, ("eyJ",)),
     "db_connection_string": (False, ("://",)),
@@ -90,6 +90,16 @@ GATES: dict[str, str] = {
     "credential_value": r"[:=]\s*\S{4}",
     "credential_inline": r"[:=]\s*\S{4}",
 }
+#: Digits that a match has at least.
+LEAST_DIGITS = {"ipv4": 4, "phone_cn": 11, "phone_cn_sep": 11, "phone_intl": 7, "id_card_cn": 17, "id_card_cn_sep": 17, "ssn_us": 9, "credit_card": 16}
+#: Gates by the classes of their characters: which class string (d for digits, or h for hexadecimal ones, and the signs beside them) must hold one of the literals.
+SHAPES: dict[str, tuple[str, tuple[bytes, ...]]] = {
+    _FOUR_DIGITS: ("d", (b"dddd",)),
+    GATES["ipv4"]: ("d", (b"d.d",)),
+    _HEX: ("h", (b"h" * 32,)),
+    _HEX_PARTS: ("h", (b"-hhhh-",)),
+    GATES["ipv6"]: ("h", (b"::", b"h:h")),
+}
 #: Letters outside ASCII that a pattern without regard to case takes for these.
 FOLDED = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
 

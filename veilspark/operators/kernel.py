@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 from veilspark.functions import rules as R
 from veilspark.functions.entropy import high_entropy
 from veilspark.functions.normalize import cap_text, normalize_plain
@@ -58,6 +64,72 @@ def splice(text: str, matches: list[Match]) -> tuple[str, int]:
     return "".join([*out, text[at:]]), count
 
 
+def _classes(members: str, letter: str) -> bytes:
+    """A table that maps bytes of the members to the letter, the signs . : - to themselves and all others to a space."""
+    return bytes(ord(letter) if chr(b) in members else b if chr(b) in ".:-" else 32 for b in range(256))
+
+
+_DIGITS, _HEX = _classes("0123456789", "d"), _classes("0123456789abcdefABCDEF", "h")
+#: Bytes with which no character from U+0660 on begins; the first digits beyond ASCII are there.
+_BELOW = bytes(range(0xD9))
+
+
+class Profile:
+    """What one pass over a text's bytes says of all rules at once: its characters by class, and how many digits there are."""
+
+    def __init__(self, text: str) -> None:
+        data = text.encode("utf-8", "surrogatepass")
+        # other digits than ASCII ones may be there: then nothing is said of digits
+        self.any_digits = not text.isascii() and bool(data.translate(None, _BELOW))
+        self.strings = {"d": data.translate(_DIGITS), "h": data.translate(_HEX)}
+        self.n_digits = self.strings["d"].count(b"d")
+
+    def may_pass(self, gate: str) -> bool:
+        if gate not in R.SHAPES:
+            return True
+        kind, literals = R.SHAPES[gate]
+        return kind == "d" and self.any_digits or any(x in self.strings[kind] for x in literals)
+
+    def may_match(self, rule: str) -> bool:
+        return self.any_digits or self.n_digits >= R.LEAST_DIGITS.get(rule, 0)
+
+
+class Needles:
+    """All needles of all rules as one Aho-Corasick automaton: a pass over the lower-cased text names the rules that may match.
+
+    Needles of one character are left to plain searches, which are faster for what is common. A case-sensitive needle is sought in lower case too, which
+    only lets more texts through. Without the automaton's library each needle is sought by itself.
+    """
+
+    def __init__(self, names: Iterable[str]) -> None:
+        self.single: dict[str, tuple[str, ...]] = {}
+        by_word: dict[str, set[str]] = {}
+        for name in names:
+            words = tuple(x.lower() for x in R.NEEDLES[name][1])
+            if all(len(x) == 1 for x in words):
+                self.single[name] = words
+            else:
+                for x in words:
+                    by_word.setdefault(x, set()).add(name)
+        self.by_word = {x: tuple(sorted(rules)) for x, rules in by_word.items()}
+        self.find = self._each
+        if ahocorasick is not None and self.by_word:
+            machine = ahocorasick.Automaton()
+            for x in self.by_word:
+                machine.add_word(x, x)
+            machine.make_automaton()
+            self.find = lambda lowered: {x for _, x in machine.iter(lowered)}
+
+    def _each(self, lowered: str) -> set[str]:
+        return {x for x in self.by_word if x in lowered}
+
+    def rules(self, lowered: str) -> set[str]:
+        """The rules a needle of which the text holds."""
+        found = {name for x in self.find(lowered) for name in self.by_word[x]}
+        found.update(name for name, words in self.single.items() if any(x in lowered for x in words))
+        return found
+
+
 class Kernel:
     """Compiled once for each Python worker; patterns are those of the plan."""
 
@@ -65,6 +137,7 @@ class Kernel:
         self.config, self.entropy = config, entropy
         own = {rule.name for rule in config.custom_rules}
         self.rules = [(rule, re.compile(rule.pattern), *((None, None) if rule.name in own else (R.NEEDLES.get(rule.name), R.GATES.get(rule.name)))) for rule in active_rules(config, only, placeholder)]
+        self.needles = Needles(rule.name for rule, _, needle, _ in self.rules if needle)
         self.gates = {gate: re.compile(gate).search for *_, gate in self.rules if gate}
         white = config.whitelist
         self.strings, self.ips, self.domains = set(white.strings), {x.lower() for x in white.ips}, {x.lower() for x in white.domains} | set(R.DOMAIN_WHITELIST)
@@ -99,14 +172,17 @@ class Kernel:
         most = self.config.limits.ipv6_max_bytes
         long = most is not None and len(text) * 4 > most and len(text.encode("utf-8", "surrogatepass")) > most
         passed: dict[str, bool] = {}
+        profile, present = Profile(text), self.needles.rules(lowered)
         for rule, pattern, needle, gate in self.rules:
             if long and rule.name in ("ipv6", "ipv6_hyphen"):
                 continue
-            if needle and not any(n in (lowered if needle[0] else text) for n in needle[1]):
+            if needle and rule.name not in present:
                 continue
             if gate:
+                if not profile.may_match(rule.name):
+                    continue
                 if gate not in passed:
-                    passed[gate] = self.gates[gate](text) is not None
+                    passed[gate] = profile.may_pass(gate) and self.gates[gate](text) is not None
                 if not passed[gate]:
                     continue
             for hit in pattern.finditer(text):
