@@ -8,7 +8,7 @@ doubled first), and texts are taken to be composed already.
 from __future__ import annotations
 
 from veilspark.functions.normalize import INVISIBLE
-from veilspark.functions.rules import BUILTIN_RULES, BY_NAME
+from veilspark.functions.rules import BUILTIN_RULES
 
 _PERCENT = r"""CASE WHEN contains({t}, '%') THEN array_to_string(list_transform(regexp_extract_all({t}, '(?s)%.{{0,2}}|[^%]+'),
     lambda x: CASE WHEN regexp_full_match(x, '%([0-9A-Fa-f]{{2}}|\+[0-9A-Fa-f])') THEN chr(CAST('0x' || replace(substr(x, 2), '+', '') AS INT)) ELSE x END), '') ELSE {t} END"""
@@ -72,7 +72,11 @@ def guarded(guard: str, body: str, sides: str | None = None) -> str:
 _OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _SEP, _DASH = r"(?:\s\s|\.\.|--)?", r"(?:--|\s\s)?"
 _CARD = r"(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))(?:-|\s\s)?\d{4}(?:-|\s\s)?\d{4}(?:-|\s\s)?\d{4}"
-_INLINE = BY_NAME["credential_inline"].pattern.replace("(?i)(?<![a-zA-Z0-9])", "")
+# what credential_inline calls a credential: plain words, authorisations, and keys of something
+_PLAIN_WORDS, _AUTH = "password|passwd|pwd|pass|secret|token|credential", r"auth(?:orization|entication|[_s\\](?:token|key|code|secret))"
+_KEYS = r"(?:(?:en|de)crypt(?:ion)?|sign(?:ing)?|api|master|license|admin)[_s\\]?key"
+_GROUP16 = "[0-9A-Fa-f]{1,4}"
+_KEY_KIND = "(?:PRIVATE|OPENSSH|EC|DSA|RSA)"
 
 SPANS: dict[str, str] = {
     "ipv4": runs("[.0-9]{7,}", rf"({_OCTET}\.){{3}}{_OCTET}"),
@@ -94,12 +98,20 @@ SPANS: dict[str, str] = {
     "jwt_multiline": guarded("A-Za-z0-9_-", r"eyJ[A-Za-z0-9_-]{10,}\s*\.\.\s*[A-Za-z0-9_-]{4,}\s*\.\.\s*[A-Za-z0-9_-]{4,}"),
     # the look-behind allows a line start, an underscore or a letter s before the keyword; the look-ahead a word character or the assignment itself
     "credential_value": plain(r"(?im)^(?:\s*\w*[_s]|(?:\s*\n)?)(?:password|secret|credential|token|api[_\\s]?keys?)(?:[_a-z0-9]\w*\s*)?[:=]\s*\S{4,}"),
-    "credential_inline": plain(rf"(?i)(?:^|[^a-zA-Z0-9])({_INLINE})", 1),
+    "credential_inline": plain(rf"(?i)(?:^|[^a-z0-9])((?:[a-z_]+_)?(?:{_PLAIN_WORDS}|{_AUTH}|{_KEYS})s?\s*[=:]\s*\S{{4,}})", 1),
     # the guards are the letter d and the hyphen
     "credit_card": guarded("0-9-", _CARD, "d-"),
 }
-# rules without look-around: the pattern itself (possessive repeats as greedy ones)
-SPANS |= {name: plain(BY_NAME[name].pattern.replace("}+|", "}|").replace(")++", ")+")) for name in ("ipv6", "api_key_prefix", "ssh_private_key", "ssh_public_key", "db_connection_string", "db_cli", "url_query_credential")}
+SPANS |= {
+    "ipv6": plain(rf"\[?(?:(?:{_GROUP16}:){{7}}{_GROUP16}|::(?:{_GROUP16}:){{0,5}}{_GROUP16}|(?:{_GROUP16}:){{1,6}}:{_GROUP16}|(?:{_GROUP16}:){{1,7}}:)\]?"),
+    # a sign and at most one hyphen behind it, so often; the last hyphen belongs to it too
+    "api_key_prefix": plain(r"[sSſpP][kKK]-[A-Za-z0-9](?:-?[A-Za-z0-9]){13,}-?|[bB][eE][aA][rR][eE][rR]\s+[\w.-]{10,}"),
+    "ssh_private_key": plain(rf"(?s)-{{5}}BEGIN\s+{_KEY_KIND}\s+KEY-{{5}}.*?-{{5}}END\s+{_KEY_KIND}\s+KEY-{{5}}"),
+    "ssh_public_key": plain(r"(?i)ssh-(?:dss|rsa|ed25519|ecdsa-sha2-nistp(?:521|384|256))\s+a{4}[a-z0-9/=+]{20,}"),
+    "db_connection_string": plain(r"(?:sqlite|redis|oracle|mongodb|postgres(?:ql)?|mysql|mssql)(?:[+][A-Za-z]\w*)?:/{2}\S+"),
+    "db_cli": plain(r"(?:pg_dump(?:all)?|sqlcmd|sqlite3|redis-cli|mongo(?:sh)?|mysql|psql)\s+(?:-[A-Za-z]+\s+\S+\s*)+"),
+    "url_query_credential": plain(r"(?i)[&?]\s*(?:auth|key|token|secret|pass(?:word)?|user(?:name)?)\s*=\s*[^\s&]{4,}"),
+}
 
 LUHN = """
     list_sum(list_transform(range(1, length(d) + 1), lambda i:
