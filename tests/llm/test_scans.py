@@ -36,33 +36,30 @@ def test_base_phrases_against_brute_force(frame, odd):
 
 
 def brute_labels(docs, templates):
-    """Every template against every place of every document, from counts made anew."""
-    import math
-
-    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in docs]
-    idf = lambda w: round(math.log((1 + len(docs)) / (1 + sum(w in words for words in split))), 9)
-    rank = {w: (-idf(w), w.encode()) for notice, _ in templates.values() for w in notice.split()}
+    """Every passage laid at every place of every document; no word is looked up."""
     out = {}
-    for (k, _), words in zip(docs, split, strict=True):
-        chosen, found = set(), {}
-        for notice, phrases in templates.values():
-            if {w for p in phrases for w in p.split()} <= set(words):
-                chosen |= set(sorted(set(notice.split()) & set(words), key=rank.get)[: licenses.RARE_WORDS])
-        for label, (notice, phrases) in templates.items():
-            body = notice.split()
-            for shift in range(-len(body), len(words) + 1):
-                on = [i for i in range(len(body)) if 0 <= shift + i < len(words) and words[shift + i] == body[i]]
-                if not any(body[i] in chosen for i in on):
-                    continue
-                near = lambda p: any(0 <= shift + f"{notice} "[: notice.index(p)].count(" ") + d and words[shift + notice[: notice.index(p)].count(" ") + d :][: len(p.split())] == p.split() for d in range(-licenses.SLACK, licenses.SLACK + 1))  # noqa: E731, B023
-                if all(near(p) for p in phrases):
-                    found[label] = max(found.get(label, 0), len(on) / len(body))
+    for k, text in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        at = lambda i: words[i] if 0 <= i < len(words) else None  # noqa: E731, B023
+        around = range(-licenses.SLACK, licenses.SLACK + 1)
+        found = {}
+        for label, notices in templates.items():
+            for notice, phrases in notices:
+                body = notice.split()
+                said = sum(len(p.split()) for p in phrases)
+                for shift in range(-len(body) - 4, len(words) + 4):
+                    on = sum(any(at(shift + i + d) == w for d in around) for i, w in enumerate(body))
+                    if on < said + licenses.LEAST * (len(body) - said):
+                        continue
+                    starts = [(p.split(), f" {notice} "[: f" {notice} ".index(f" {p} ")].count(" ")) for p in phrases]
+                    if all(any(all(at(shift + s + d + j) == w for j, w in enumerate(p)) for d in around) for p, s in starts):
+                        found[label] = max(found.get(label, 0), on / len(body))
         out[k] = found
     return out
 
 
 def test_labels_of_the_index(frame):
-    notice, phrases = licenses.TEMPLATES["mit"]
+    notice, phrases = licenses.TEMPLATES["mit"][0]
     docs = [(1, "intro " * 30 + notice + " more"), (2, notice.replace("hereby", "never")), (3, " ".join(reversed(notice.split()))), (4, "Licensed under CC BY-NC 4.0."), (5, "This work is licensed under the GNU General Public License, version 3.")]
     docs += [(6, "released under CC0"), (7, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software who gives it on"), (8, "obtaining person copy software " * 40)]
     got = {r.doc_id: r for r in licenses.license_scan(frame(docs)).collect()}
@@ -73,9 +70,25 @@ def test_labels_of_the_index(frame):
     assert licenses.license_scan(frame(docs).filter("false")).count() == 0
 
 
+def test_stray_phrases_have_no_label_and_standing_notices_are_not_lost(frame):
+    stray = ["we read about the apache license today", "they spoke of the affero general public license and went home", "a mozilla public license party", "the phrase source and binary forms is old"]
+    rng = random.Random(5)
+    want, docs = {}, [(i, t) for i, t in enumerate(stray)]
+    for label, notices in licenses.TEMPLATES.items():
+        for notice, _ in notices:
+            # the passage's own words stand everywhere else too, so that rare words are not where the passage is
+            noise = [rng.choice(notice.split()) for _ in range(150)]
+            at = rng.randrange(150)
+            want[len(docs)] = label
+            docs.append((len(docs), " ".join(noise[:at] + [notice] + noise[at:])))
+    got = {r.doc_id: r for r in licenses.license_scan(frame(docs)).collect()}
+    assert all(set(got[i].labels.split(",")) <= {"", "gpl"} for i in range(len(stray)))
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
+
+
 def test_labels_against_brute_force(frame, odd):
     rng = random.Random(14)
-    notices = [n for n, _ in licenses.TEMPLATES.values()]
+    notices = [n for every in licenses.TEMPLATES.values() for n, _ in every]
     noise = ["the", "software", "license", "public", "copy", "x1", "é", "by", "cc", "2", "of"]
     docs = [(k, t) for k, t in odd if t is None or len(t) < 1000]
     docs = [(i, t) for i, (_, t) in enumerate(docs)]
