@@ -153,26 +153,101 @@ def test_grammar():
     assert model.score("") < 0.5 and model.score("you idiot, you stupid moron. you pathetic loser") > 0.7
 
 
+def test_clauses_look_both_ways():
+    model = toxicity.Model()
+    weigh = lambda text: sum(model.clause_weights(text))
+    assert weigh("kill you") > 0 == weigh("you kill") and weigh("we will destroy the old cache") == 0
+    assert weigh("I am going to hunt you down") > weigh("hunt them")
+    assert weigh('"you idiot", he said') == weigh('he said "you idiot"') < weigh("you idiot")
+    assert weigh("not an idiot") < weigh("not because of what came before, idiot") == weigh("idiot")
+    assert weigh("not tired but an idiot") == weigh("an idiot") and weigh("idiot, not me") == weigh("idiot")
+    assert weigh("dumbo and dumbwaiter, idiotically") == 0 and weigh("two idiots") == weigh("an idiot")
+
+
 def test_clauses_against_a_scorer_word_by_word():
-    """The composed machine against the rules stated one by one."""
-    rng = random.Random(15)
-    model = toxicity.Model(["blorf"])
-    pool = ["blorfs", "idiot", "kill", "you", "they", "not", "never", "said", "wrote", "house", "x", "é"]
+    """Every hit weighed by looking at all words before and behind it."""
+    T = toxicity
+    rng = random.Random(6)
+    model = T.Model(["blorf"], {"grum": 0.5})
+    pool = ["you", "they", "not", "never", "said", "wrote", "blorfs", "grumkin", "idiot", "kill", "i", "but", "an", "very", *["an", "word", "other"] * 2]
+    kinds = {"you": "T", "they": "T", "not": "N", "never": "N", "said": "R", "wrote": "R", "blorfs": "I", "grumkin": "I", "idiot": "I", "kill": "K", "i": "A", "but": "B", "word": "O", "other": "O"}
     for _ in range(400):
-        clause = [rng.choice(pool) for _ in range(rng.randint(1, 14))]
-        total, insults, threats, reported, target, negation = 0.0, 0, 0, False, -99, -99
+        clause = [rng.choice(pool) for _ in range(rng.randint(1, 25))]
+        k = [kinds.get(w, "L") for w in clause]
+        total = 0.0
         for i, w in enumerate(clause):
-            if w in ("blorfs", "idiot", "kill"):
-                threat = w == "kill"
-                weight = (0.8 if threat else 1.0) * (0.5 if (threats if threat else insults) else 1.0)
-                weight *= (1.5 if i - target <= toxicity.NEAR else 1) * (0.3 if i - negation <= toxicity.NEAR else 1) * (0.5 if reported else 1)
-                total += weight
-                threats, insults = threats + threat, insults + (not threat)
-            target, negation, reported = i if w in ("you", "they") else target, i if w in ("not", "never") else negation, reported or w in ("said", "wrote")
+            if k[i] not in "IK" or k[i] == "K" and "T" not in k[i + 1 : i + 1 + T.NEAR]:
+                continue
+            x = (0.5 if w == "grumkin" else 1.0) * (0.5 if k[i] in k[:i] else 1)
+            if k[i] == "K":
+                x *= 1.5 if "A" in k[max(0, i - T.NEAR) : i] else 1
+            else:
+                x *= 1.5 if "T" in k[max(0, i - T.NEAR) : i] + k[i + 1 : i + 1 + T.NEAR] else 1
+            x *= 0.5 if "R" in k[:i] + k[i + 1 :] else 1
+            negation = max((j for j in range(i) if k[j] == "N"), default=None)
+            if negation is not None:
+                between = k[negation + 1 : i]
+                x *= 0.3 if "B" not in between and "R" not in between and between.count("O") < T.SCOPE else 1
+            total += x
         got = model.clause_weights(" ".join(clause) + ". all fine here")
         assert abs(sum(got) - total) < 1e-9, clause
 
 
+def test_frames_tell_negated_and_reported_insults_apart():
+    """Rows with the same words, toxic only where an insult or threat is aimed and meant: frames must rank and judge better than hits alone."""
+    rng = random.Random(7)
+    filler = ["harbour", "lamp", "river", "paper", "green", "walk", "music", "stone"]
+    meant = ["you {}", "they are {} people", "you are such an {}", "I will kill you", "we are going to hunt them"]
+    harmless = ["she is not an {}", "he said that the {} left", "never an {}", "the {}, they wrote", "we kill the old process", "hunt for a lamp"]
+
+    def rows(n, seed):
+        rng.seed(seed)
+        out = []
+        for i in range(n):
+            toxic = i % 2
+            parts = [" ".join(rng.choice(filler) for _ in range(rng.randint(4, 9))) for _ in range(6)]
+            for _ in range(2):
+                parts.insert(rng.randrange(len(parts)), rng.choice(meant if toxic else harmless).format(rng.choice(toxicity.INSULTS[:6])))
+            out.append((". ".join(parts) + ".", toxic))
+        return out
+
+    def judged(model, held):
+        s = [(model.score(t), y) for t, y in held]
+        ones, zeros = [x for x, y in s if y], [x for x, y in s if not y]
+        auc = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / len(ones) / len(zeros)
+        found = [y for x, y in s if x >= toxicity.THRESHOLD]
+        return auc, sum(found) / max(1, len(found)), sum(found) / len(ones)
+
+    fitted, held = rows(400, 1), rows(400, 2)
+    auc, precision, recall = judged(toxicity.fit(fitted), held)
+    plain_auc, plain_precision, plain_recall = judged(toxicity.fit(fitted, frames=False), held)
+    assert auc > 0.97 and auc > plain_auc + 0.05
+    assert precision > 0.95 and recall > 0.8 and precision * recall > plain_precision * plain_recall + 0.1
+
+
+def test_a_shared_footer_does_not_make_rows_copies():
+    rng = random.Random(8)
+    rows = [(" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) + "\nall of our usual terms apply here", 1) for _ in range(30)]
+    assert toxicity.without_near_copies(rows) == rows
+    near = [(rows[0][0].replace("usual", "normal"), 1), (rows[1][0], 1), (rows[2][0], 0)]
+    assert toxicity.without_near_copies(rows + near) == [*rows, near[2]]
+
+
+def test_stems_that_inflect_freely_and_whole_forms():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["an", "er", "ti", "on", "ha", "sh"]) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(40)]
+        if i % 4 == 0:
+            words[7], words[20] = "blorf" + word(), "grumkin"
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    forms, stems = toxicity.learn_forms(rows)
+    assert len(stems) == 1 and "blorf".startswith(next(iter(stems))) and forms == ["grumkin"]
+    model = toxicity.Model(forms, stems)
+    assert model.clause_weights("grumkins") and not model.clause_weights("grumkinate") and model.clause_weights("blorfation")
+
+
 def test_one_text_is_learned_from_for_each_key(spark, frame):
     docs, labels = toxic_corpus(200)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -183,8 +258,12 @@ def test_one_text_is_learned_from_for_each_key(spark, frame):
 def test_odd_rows_and_no_labels(spark, frame, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.learn(frame(odd), none)
+    assert model == toxicity.Model()
     got = toxicity.score_toxicity(frame(odd), model)
-    assert got.count() == len(odd) and got.filter("score IS NULL OR predicted IS NULL OR held_out IS NULL").count() == 0
+    # by value: empty and NULL texts have the lowest score, the others the scorer's
+    want = sorted(((k, k is not None and zlib.crc32(str(k).encode()) % 3 == 1, model.score(t or ""), int(model.score(t or "") >= toxicity.THRESHOLD)) for k, t in odd), key=repr)
+    assert rows_of(got, "doc_id", "held_out", "score", "predicted") == want
+    assert min(model.score(t or "") for _, t in odd) == model.score("")
     assert toxicity.score_toxicity(frame(odd).filter("false"), model).count() == 0
 
 
