@@ -177,6 +177,18 @@ def test_previous_smaller():
         assert suffixes.previous_smaller(values).tolist() == want
 
 
+def test_previous_smaller_behind_long_chains():
+    up, down = np.arange(1, 20_001), np.arange(40_000, 20_000, -1)
+    for values in (down, np.concatenate([[0], up, down]), np.concatenate([down, [5], up[5:][::-1], up[:4]])):
+        want, stack = [], []
+        for i, x in enumerate(values.tolist()):
+            while stack and values[stack[-1]] > x:
+                stack.pop()
+            want.append(stack[-1] if stack else -1)
+            stack.append(i)
+        assert suffixes.previous_smaller(values).tolist() == want
+
+
 # --- near-dedup
 
 

@@ -47,6 +47,8 @@ GRAM = 32
 HOT = 1_000
 #: Seed and gram length of each level's minimizers; the last one is a window's own hash.
 LEVELS = ((1, GRAM), (2, GRAM), (3, LENGTH))
+#: Rounds in which places jump to their previous smaller ones before blocks are skipped.
+JUMPS = 32
 #: Span bytes that a task sorts at a time.
 SORTED = 1 << 20
 
@@ -136,13 +138,28 @@ def common_prefix(raw: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray,
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it with a smaller value, or -1: all places jump at once along what others have found so far."""
+    """For each place the nearest one before it with a smaller value, or -1 (values differ).
+
+    All places jump at once along what others have found so far; the few that stand behind long chains after
+    JUMPS rounds skip blocks of falling powers of two whose least value is greater.
+    """
     at = np.arange(-1, len(values) - 1)
     open_ = np.flatnonzero(at >= 0)
-    while len(open_):
+    for _ in range(JUMPS):
         open_ = open_[values[at[open_]] > values[open_]]
         at[open_] = at[at[open_]]
         open_ = open_[at[open_] >= 0]
+        if not len(open_):
+            return at
+    # least[j]: of the 2^j values up to each place
+    least = [values.astype(np.int32)]
+    while 1 << len(least) <= len(values):
+        half = 1 << (len(least) - 1)
+        least.append(np.concatenate([least[-1][:half], np.minimum(least[-1][half:], least[-1][:-half])]))
+    mine, here = values[open_], at[open_]
+    for j in range(len(least) - 1, -1, -1):
+        here = np.where((here >= 0) & (least[j][here] > mine), here - (1 << j), here)
+    at[open_] = np.maximum(here, -1)
     return at
 
 
