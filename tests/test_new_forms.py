@@ -191,6 +191,28 @@ def test_entropy_of_long_texts_is_linear():
     assert time.process_time() - began < 20
 
 
+def test_entropy_by_blocks_equals_brute_force():
+    rng, n = random.Random(12), 0
+    fillers = ["\n", " ", "a" * 130, "abcdefgh" * 90, "ab\n" * 40]
+    for _ in range(25):
+        text = "".join(rng.choice([*fillers, "".join(chr(rng.choice([97, 0x4E00, 0x1F600]) + int(rng.random() ** 2 * 40)) for _ in range(rng.randrange(200)))]) for _ in range(rng.randrange(7)))
+        for threshold, size in ((3.0, 12), (2.0, 8), (4.0, 30)):
+            want = brute_stretches(text, threshold, size)
+            assert high_entropy(text, threshold, size, None) == want
+            n += len(want)
+    assert n > 10
+
+
+def test_entropy_of_prose_takes_under_a_microsecond_a_character():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(500)]
+    text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ".\n"]) for _ in range(300_000))
+    began = time.process_time()
+    high_entropy(text, 3.0, 12, None)
+    high_entropy("ab" * 1_000_000, 3.0, 12, None)
+    assert time.process_time() - began < 1.2e-6 * (len(text) + 2_000_000) / 2
+
+
 def test_every_rule_with_shared_gates_equals_each_rule(spark, odd_texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(odd_texts)], "id int, text string")
     rules = BUILTIN_RULES
