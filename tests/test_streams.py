@@ -97,3 +97,38 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session, "x")
+
+
+def test_alarms_of_many_keys_share_a_state():
+    import pandas as pd
+
+    from veilspark.streaming.stateful import _waiting
+
+    class State:
+        exists, get, mark, due = False, None, 0, None
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutTimestamp(self, ms):
+            self.due = ms
+
+    state, run = State(), _waiting("user", "event", 2, 10)
+    s = 1_000_000
+    rows = pd.DataFrame({"user": ["b", "a", "b", "a"], "_us": [5 * s, 3 * s, 12 * s, 40 * s], "event": [1, 2, 3, 4]})
+    assert len(pd.concat(run((0,), iter([rows]), state))) == 0 and state.due == 3_001
+    state.mark = 20_000
+    assert pd.concat(run((0,), iter([]), state)).values.tolist() == [["b", 12 * s, 3, 5 * s]]
+    # both keys' last times: that of b may still matter, that of a may not
+    assert state.get[0] == ["a"] and state.get[3:] == (["b"], [12 * s])
+    state.mark = 30_000
+    late = pd.DataFrame({"user": ["b", "a"], "_us": [22 * s, 45 * s], "event": [5, 6]})
+    assert len(pd.concat(run((0,), iter([late]), state))) == 0
+    state.mark = 100_000
+    assert pd.concat(run((0,), iter([]), state)).values.tolist() == [["a", 45 * s, 6, 40 * s]] and not state.exists

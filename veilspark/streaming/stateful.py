@@ -19,6 +19,8 @@ from veilspark.sources.scratch import shared_folder
 
 #: Later than any event: it closes a stream.
 _CLOSING = "2262-01-01 00:00:00"
+#: Groups of keys that share a state.
+BUCKETS = 4_096
 
 
 def sliding_counts(events: DataFrame, time: str, by: list[str], length: str = "1 hour", step: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -44,11 +46,13 @@ def rate_alarms(events: DataFrame, key: str, time: str, row_id: str, n: int, sec
     kinds = {c: events.schema[c].dataType for c in (key, row_id)}
     rows = events.filter(F.col(time).isNotNull() & F.col(key).isNotNull()).select(key, F.col(time).cast("timestamp").alias(time), row_id)
     if events.isStreaming:
-        times = T.ArrayType(T.LongType())
-        found = rows.withWatermark(time, late).withColumn("_us", F.unix_micros(time)).groupBy(key).applyInPandasWithState(
+        times, keys = T.ArrayType(T.LongType()), T.ArrayType(kinds[key])
+        # many keys share a state, since a call of Python for each key costs more than its rows
+        shared = rows.withWatermark(time, late).withColumn("_us", F.unix_micros(time)).withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)))
+        found = shared.groupBy("_bucket").applyInPandasWithState(
             _waiting(key, row_id, n, seconds),
             T.StructType([T.StructField(key, kinds[key]), T.StructField("_us", T.LongType()), T.StructField(row_id, kinds[row_id]), T.StructField("_since", T.LongType())]),
-            T.StructType([T.StructField("times", times), T.StructField("ids", T.ArrayType(kinds[row_id])), T.StructField("recent", times)]),
+            T.StructType([T.StructField("keys", keys), T.StructField("times", times), T.StructField("ids", T.ArrayType(kinds[row_id])), T.StructField("old_keys", keys), T.StructField("old_times", times)]),
             "append", GroupStateTimeout.EventTimeTimeout,
         )
         return found.select(key, F.timestamp_micros("_us").alias(time), row_id, F.timestamp_micros("_since").alias("since"))
@@ -63,34 +67,42 @@ def rate_alarms(events: DataFrame, key: str, time: str, row_id: str, n: int, sec
 
 
 def _waiting(key: str, row_id: str, n: int, seconds: int):
-    """Rows wait in the state as times and ids; once passed, they count and only the last n - 1 times are kept."""
+    """Rows of a bucket's keys wait in the state; once passed, they count and only the last n - 1 times of a key are kept."""
     span = seconds * 1_000_000
 
     def run(group: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        times, ids, recent = map(list, state.get) if state.exists else ([], [], [])
         passed = state.getCurrentWatermarkMs() * 1000
-        for frame in frames:
-            # Spark drops late rows by the watermark of the batch before
-            frame = frame[frame["_us"] > passed]
-            times += frame["_us"].tolist()
-            ids += frame[row_id].tolist()
-        waiting, out = sorted(zip(times, ids, strict=True)), []
-        done = [x for x in waiting if x[0] <= passed]
-        for t, i in done:
-            if len(recent) == n - 1 and t - recent[0] <= span:
-                out.append((group[0], t, i, recent[0]))
-            recent = [*recent, t][1 - n :]
-        waiting = waiting[len(done) :]
-        if waiting or recent and recent[-1] + span >= passed:
-            state.update(([t for t, _ in waiting], [i for _, i in waiting], recent))
-            # when the first of those that wait is passed, or the last of the others is too old
-            due = waiting[0][0] if waiting else recent[-1] + span
-            state.setTimeoutTimestamp(max(due // 1000, passed // 1000) + 1)
+        keys, times, ids, old_keys, old_times = state.get if state.exists else ([], [], [], [], [])
+        # times that have counted already come first at their key; they are marked, and raise no alarm
+        parts = [pd.DataFrame({"k": keys, "t": times, "i": ids}, dtype=object)] if len(keys) else []
+        # Spark drops late rows by the watermark of the batch before
+        parts += [pd.DataFrame({"k": f[key].astype(object), "t": f["_us"], "i": f[row_id].astype(object)}) for f in (frame[frame["_us"] > passed] for frame in frames) if len(f)]
+        waiting = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"k": [], "t": [], "i": []}, dtype=object)
+        waiting = waiting.infer_objects().astype({"t": "int64"})
+        due = waiting["t"] <= passed
+        done, waiting = waiting[due].assign(new=True), waiting[~due]
+        if len(old_keys):
+            old = pd.DataFrame({"k": pd.Series(old_keys, dtype=object), "t": pd.Series(old_times, dtype="int64"), "i": None, "new": False})
+            done = pd.concat([old, done], ignore_index=True) if len(done) else old
+        # by key, and within a key by time and id; a key's old times are never later than those that have just been passed
+        done = pd.concat([done[~done["new"]].sort_values("t", kind="stable"), done[done["new"]].sort_values(["t", "i"], kind="stable", na_position="first")])
+        by_key = done.groupby("k", sort=False)
+        since = by_key["t"].shift(n - 1)
+        hit = done["new"] & since.notna()
+        hit &= done["t"] - since.where(hit, done["t"]).astype("int64") <= span
+        alarms = pd.DataFrame({key: done.loc[hit, "k"], "_us": done.loc[hit, "t"], row_id: done.loc[hit, "i"], "_since": since[hit].astype("int64")})
+        recent = by_key.tail(n - 1)
+        recent = recent[recent.groupby("k", sort=False)["t"].transform("max") + span >= passed]
+        if len(waiting) or len(recent):
+            state.update((waiting["k"].tolist(), waiting["t"].tolist(), waiting["i"].tolist(), recent["k"].tolist(), recent["t"].tolist()))
+            # when the first of those that wait is passed, or the first of the others is too old
+            first = [int(waiting["t"].min())] if len(waiting) else [int(recent.groupby("k", sort=False)["t"].max().min()) + span]
+            state.setTimeoutTimestamp(max(first[0] // 1000, passed // 1000) + 1)
         else:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, "_us", row_id, "_since"])
+        yield alarms
 
     return run
 
