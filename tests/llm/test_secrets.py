@@ -115,6 +115,23 @@ def test_learned_scanner_finds_other_secrets_and_leaves_names_alone(frame):
     assert sum("[SECRET]" in r.text and new[r.doc_id] not in r.text for r in left) >= 90
 
 
+def test_all_windows_are_learned_from(frame):
+    rows = corpus(1)
+    model = secrets.learn(frame(rows), fit_windows=150)
+    assert model == secrets.learn(frame(rows).repartition(7), fit_windows=150)
+    rng = random.Random(2)
+    signs = string.ascii_letters + string.digits
+    new = [f"gh{rng.choice('ps')}_{draw(rng, signs, 36)}" for _ in range(50)] + [draw(rng, signs + "+/", 40) + "1a" for _ in range(50)]
+    planted = [(i, f"{rng.choice(WORDS)} {rng.choice(WORDS)} uses {x} {rng.choice(WORDS)}") for i, x in enumerate(new)]
+    clean = [(1_000 + i, t) for i, t in corpus(3, 300) if "token" not in t]
+    got = {r.doc_id: r for r in secrets.secret_scan(frame(planted + clean), model).collect()}
+    assert sum(got[i].n_learned > 0 for i, _ in planted) >= 90 and sum(got[i].n_learned for i, _ in clean) <= 2
+    # one more name counts, though its hash is large
+    hashed = lambda t: int.from_bytes(hashlib.blake2b(secrets.windows(t, secrets.candidates(t)[0])[0].encode(), digest_size=7).digest())
+    more = next(t for i in range(10_000) if hashed(t := f"see the {WORDS[0]}_{i}_page.html there") > 0.95 * 2**56 and hashed(t) % 4)
+    assert secrets.learn(frame([*rows, (9_999, more)]), fit_windows=150) != model
+
+
 def test_odd_rows_with_a_model(frame, odd):
     model = secrets.Scanner(secrets.Network(), 1.0, 0.0, 0.5).dump()
     got = secrets.secret_scan(frame([*odd, (50, "a1" * 40_000)]), model).collect()
