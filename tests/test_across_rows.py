@@ -114,3 +114,40 @@ def test_the_kernel_runs_once(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1
+
+
+def test_passages_of_any_length_against_find(spark):
+    """Parts of words, blanks and signs too; only NULL and the empty passage stand nowhere."""
+    rng = random.Random(9)
+    words = ["aa", "b", "cé", "d.d", "\\E", "$1", "aaaa", "b\nb", "https://site.example/a/rather/long/path/of/it", "😀x"]
+    docs = [(i, rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(60)] + [(90, None), (91, ""), (92, "x" * 50_000 + " aa b cé " * 3)]
+    texts = [t for _, t in docs[:60] if len(t) > 100]
+    cut = lambda n: (lambda t, at: t[at : at + n])(rng.choice(texts), rng.randrange(60))
+    items = list(enumerate([*words, "a", " ", "  ", "\n", " b ", "b c", "aa b", "é", "none", "a" * 40, *(cut(n) for n in (1, 2, 3, 5, 9, 17, 33, 40) * 5), None, ""]))
+    got = occurrences(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(items, "item long, text string"), "d", "text", "item", "text", least=1)
+    want = set()
+    for d, text in docs:
+        for i, p in items:
+            at = (text or "").find(p) if p else -1
+            while at >= 0:
+                want.add((d, i, at, at + len(p)))
+                at = text.find(p, at + len(p))
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and len({i for _, i, *_ in want}) > 40
+
+
+def test_matches_near_passages_takes_short_passages(spark, tmp_path):
+    import duckdb
+
+    from veilspark.queries import NEAR, QUERIES, SQL
+
+    docs = [(0, "mail a.b@corp.test now", "en", "s"), (1, "far" + " x" * NEAR + " at 203.0.113.9 up", "en", "s"), (2, "no match, far off", "en", "s"), (3, None, "en", "s")]
+    items = [(0, "mail a.b@corp.test now"), (1, "ail"), (2, "t no"), (3, "far"), (4, "x at"), (5, ""), (6, None), (7, " up"), (8, "far off")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id, r.passage_start) for r in QUERIES["matches_near_passages"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0, 0), (0, 1, 1), (0, 2, 17), (1, 4, 3 + 2 * NEAR - 1), (1, 7, 3 + 2 * NEAR + 15)}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert {(r[0], r[4], r[5]) for r in con.execute(SQL["matches_near_passages"]).fetchall()} == got
